@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("simhash",)
+_MODULES = ("simhash", "mixing")
 
 
 def _merged(name: str) -> dict:
