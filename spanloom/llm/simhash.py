@@ -133,27 +133,56 @@ def _distance(a: Column, b: Column, words: int) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(a[w].bitwiseXOR(b[w])) for w in range(words)])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root of every node that has an edge (a, b).
+#: So many edges at most, 16 bytes each, are finished in one task.
+LOCAL_EDGES = 200_000
 
-    Each round every node goes over to the neighbour of least hash if that is less
-    than its own; the hash changes with the round, so the graph shrinks by a constant
-    factor whatever its shape. Both tables are checkpointed each round.
+
+def _finish(edges: DataFrame) -> DataFrame:
+    """node, root by union-find in one task; only for edges of a checked number."""
+
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = top(a), top(b)
+                up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(top, nodes), pa.int64())], names=["node", "root"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """node, root of every node that has an edge (a, b) to another.
+
+    Each round every node goes over to the neighbour of least hash if that is less than
+    its own; the hash changes with the round, so the graph shrinks by a constant factor
+    whatever its shape. What is left below ``local_edges`` is finished in one task.
     """
     edges = checkpoint(edges.select("a", "b").where("a <> b").distinct())
-    roots, n = None, 0
-    while not edges.isEmpty():
+    roots, n, left = None, 0, edges.count()
+    while left > local_edges:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(n)).alias("h"), F.col(c).alias("node"))  # noqa: E731, B023
         step = checkpoint(both.groupBy("a").agg(F.min(rank("b")).alias("best")).select(F.col("a").alias("node"), F.least(F.col("best"), rank("a"))["node"].alias("up")))
-        if roots is None:
-            roots = step.select("node", F.col("up").alias("root"))
-        else:
-            roots = checkpoint(roots.join(step.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        roots = _climb(roots, step)
         up = lambda c: step.select(F.col("node").alias(c), F.col("up").alias(f"up_{c}"))  # noqa: E731, B023
         edges = checkpoint(edges.join(up("a"), "a").join(up("b"), "b").where("up_a <> up_b").select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
-        n += 1
-    return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        n, left = n + 1, edges.count()
+    return _climb(roots, _finish(edges).withColumnRenamed("root", "up"))
+
+
+def _climb(roots: DataFrame | None, step: DataFrame) -> DataFrame:
+    """node, root after every root has gone up by ``step`` (node, up)."""
+    if roots is None:
+        return step.select("node", F.col("up").alias("root"))
+    return checkpoint(roots.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
 
 
 _CENTRES = 3
@@ -161,7 +190,7 @@ _CENTRES = 3
 
 def link(nodes: DataFrame, scheme: Scheme = EXACT_4) -> DataFrame:
     """node, root for the distinct fingerprints ``nodes`` (node long, fp) that have a partner."""
-    keyed = checkpoint(nodes.select("node", "fp", F.explode(_homes(F.col("fp"), scheme)).alias("key")))
+    keyed = nodes.select("node", "fp", F.explode(_homes(F.col("fp"), scheme)).alias("key"))
     pick = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.col("node").alias("centre"), F.col("fp").alias("c_fp")))
     centres = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[pick(i).alias(f"c{i}") for i in range(_CENTRES)]).where("n > 1")
     centres = centres.select("key", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(_CENTRES)]).cast("array<struct<h:bigint,centre:bigint,c_fp:array<bigint>>>"))).alias("c")).select("key", "c.centre", "c.c_fp")
@@ -184,7 +213,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT_4, id_col: str = "do
     prints = checkpoint(fingerprints(docs, scheme, id_col, text_col))
     node = (lambda c: c[0]) if scheme.words == 1 else F.xxhash64  # noqa: E731  equal fingerprints, equal node
     nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).select(node(F.col("fp")).alias("node"), "fp", "first_id"))
-    roots = checkpoint(nodes.join(link(nodes.select("node", "fp"), scheme), "node").select("node", "root", "first_id"))
+    roots = nodes.join(link(nodes.select("node", "fp"), scheme), "node").select("node", "root", "first_id")
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = roots.join(least, "root").select("node", "component_id")
     return prints.withColumn("node", node(F.col("fp"))).join(ids, "node").select("doc_id", "fp", "component_id")
