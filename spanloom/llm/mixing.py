@@ -81,16 +81,17 @@ def schedule(sources: DataFrame) -> DataFrame:
     slots = slots.withColumn("cell", F.shiftright("point", POINT_BITS - CELL_BITS))
     cell = lambda c: F.shiftright(c, POINT_BITS - CELL_BITS)
     bands = live.where("lo < hi").select("k", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))).alias("cell"))
-    hit = slots.join(bands, "cell").where("point >= lo and point < hi").select("k", "chunk", "slot")
+    # Merge joins by hint: the planner sees the size before explode, and would broadcast all slots.
+    hit = slots.join(bands.hint("merge"), "cell").where("point >= lo and point < hi").select("k", "chunk", "slot")
 
     counts = hit.groupBy("k", "chunk").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("skipped", F.sum("n").over(W.partitionBy("k").orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
-    ranked = hit.withColumn("rank", F.row_number().over(W.partitionBy("k", "chunk").orderBy("slot")) - 1).join(counts.select("k", "chunk", "skipped"), ["k", "chunk"])
+    ranked = hit.withColumn("rank", F.row_number().over(W.partitionBy("k", "chunk").orderBy("slot")) - 1).join(counts.select("k", "chunk", "skipped").hint("merge"), ["k", "chunk"])
     ranked = ranked.select("k", "slot", (F.col("rank") + F.col("skipped")).alias("rank"))
     late = live.join(counts.groupBy("k").agg(F.sum("n").alias("have")), "k", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     late = late.where("have < slots").select("k", F.lit(None).cast("long").alias("slot"), F.explode(F.sequence("have", F.col("slots") - 1)).alias("rank"))
 
-    s = ranked.unionByName(late).join(live.select("k", "source_size", "blocks", "rest", "slots"), "k").where("rank < slots")
+    s = ranked.unionByName(late).join(live.select("k", "blocks", "rest", "slots"), "k").where("rank < slots")
     last = (F.col("rank") == F.col("slots") - 1) & (F.col("rest") > 0)
     s = s.withColumn("block", F.col("rank") % F.col("blocks"))
     return s.select("k", "slot", "rank", "block", F.when(last, F.col("rest") - F.col("block") * BLOCK).otherwise(F.lit(BLOCK).cast("long")).alias("upto"))
@@ -111,7 +112,7 @@ def mix(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     pieces = d.withColumn("block", F.explode(F.sequence(F.floor(F.col("off") / BLOCK), F.floor((F.col("off") + F.col("size") - 1) / BLOCK))))
     start = F.col("block") * BLOCK
     pieces = pieces.withColumn("a", F.greatest(F.col("off") - start, F.lit(0))).withColumn("b", F.least(F.col("off") + F.col("size") - start, F.lit(BLOCK)))
-    m = pieces.join(schedule(sources), ["k", "block"]).withColumn("words", F.least("b", "upto") - F.col("a"))
+    m = pieces.join(schedule(sources).hint("merge"), ["k", "block"]).withColumn("words", F.least("b", "upto") - F.col("a"))
     return m.where("words > 0").select("k", "slot", "rank", "block", "doc_id", "size", "off", "words")
 
 
