@@ -33,7 +33,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """``mapInArrow`` with one function from a record batch to named columns."""
-    names = [f.split()[0] for f in schema.split(", ")]
+    names = [f.split()[0] for f in schema.split(", ")]  # a comma inside a type has no space behind it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
