@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("topk", "mixing", "language", "quality", "pieces", "matroska", "simhash", "licenses", "webtext")
+_MODULES = ("topk", "mixing", "language", "quality", "pieces", "matroska", "simhash", "revisits", "licenses", "webtext")
 
 
 def _merged(name: str) -> dict:
