@@ -77,7 +77,9 @@ def sample(docs: DataFrame, may_learn: Column, lang_col: str = "lang", text_col:
 
 def _strings(data: np.ndarray, length: int) -> np.ndarray:
     """The strings of ``length`` bytes that end at each byte, as numbers; the first few have no such string."""
-    out = np.zeros(max(0, len(data) - length + 1), np.uint64)
+    if len(data) < length:
+        return np.empty(0, np.uint64)
+    out = np.zeros(len(data) - length + 1, np.uint64)
     for i in range(length):
         out = (out << np.uint64(8)) | data[i : len(data) - length + 1 + i].astype(np.uint64)
     return out
