@@ -17,17 +17,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through files in the shared folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which the whole cluster shares.
 
-    The folder is taken from the session; one of our own is made only where that
-    setting is missing, as in tests on one machine.
+    One of our own is made only where that setting is missing, as in tests on one machine.
     """
-    spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="spanloom-"))
+    return jsc.getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through files in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -25,7 +25,7 @@ read. An empty table gives no rows; if all sizes are 0, all targets are 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,10 +38,17 @@ POINT_BITS = 52
 CELL_BITS = 12
 
 
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
+
+
+def _source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, k (a name of the source that is never null), place, bucket."""
-    d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"))
-    d = d.withColumn("k", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
+    d = docs.select("doc_id", "source", _size().alias("size"), _source_key().alias("k"))
     d = d.withColumn("place", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return d.withColumn("bucket", F.substring("place", 1, 3))
 
@@ -116,15 +123,33 @@ def mix(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     return m.where("words > 0").select("k", "slot", "rank", "block", "doc_id", "size", "off", "words")
 
 
-def taken(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per row of ``docs``."""
+def _taken(docs: DataFrame) -> DataFrame:
+    """doc_id, k, size, off, source_size, target, taken: one row per row of ``docs``."""
     sizes = checkpoint(sized(docs))
     sources = checkpoint(targets(sizes))
-    none = F.lit(0).cast("long").alias("words")
-    got = mix(sizes, sources).select("k", "off", "doc_id", "size", "words").unionByName(stream(sizes).where("size > 0").select("k", "off", "doc_id", "size", none))
-    got = got.groupBy("k", "off", "doc_id", "size").agg(F.sum("words").alias("taken")).drop("off")
-    got = got.unionByName(sizes.where("size = 0").select("k", "doc_id", "size", none.alias("taken")))
-    return got.join(sources.select("k", "source_size", "target"), "k").select("doc_id", "size", "source_size", "target", "taken")
+    none = F.lit(0).cast("long")
+    got = mix(sizes, sources).select("k", "off", "doc_id", "size", "words").unionByName(stream(sizes).where("size > 0").select("k", "off", "doc_id", "size", none.alias("words")))
+    got = got.groupBy("k", "off", "doc_id", "size").agg(F.sum("words").alias("taken"))
+    got = got.unionByName(sizes.where("size = 0").select("k", none.alias("off"), "doc_id", "size", none.alias("taken")))
+    return got.join(sources.select("k", "source_size", "target"), "k")
+
+
+def taken(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken: one row per row of ``docs``."""
+    return _taken(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them: taken over size, to the nearest whole number.
+
+    All but one document a source are taken a whole number of times. Documents without words go.
+    """
+    alike = ["__k", "__size", "__id", "__no"]
+    got = _taken(docs).where("taken > 0").select(F.col("k").alias("__k"), F.col("size").alias("__size"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), "off", F.rint(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    got = got.withColumn("__no", F.row_number().over(W.partitionBy(*alike[:3]).orderBy("off"))).select(*alike, "__times").where("__times > 0")
+    rows = docs.withColumns({"__k": _source_key(), "__size": _size(), "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    rows = rows.withColumn("__no", F.row_number().over(W.partitionBy(*alike[:3]).orderBy("text")))
+    return rows.join(got, alike).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

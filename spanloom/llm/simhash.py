@@ -24,6 +24,7 @@ read, so further columns of any name are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 from itertools import repeat
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import checkpoint, map_batches, read
@@ -57,11 +59,31 @@ class Scheme:
     words: int
     distance: int
     segments: tuple[Segment, ...]
+    distinct: bool = False  # each shingle counts once, however often it is repeated
 
 
 #: 64 bits, 4 differing bits: radii 1, 1, 0 sum to 4 - 3 + 1, so no pair is missed.
 EXACT_4 = Scheme(4, 42, 1, 4, (Segment(0, 0, 22, 1), Segment(0, 22, 21, 1), Segment(0, 43, 21, 0)))
 
+#: Differing bits of the first fingerprint word up to which a match of a wider fingerprint is looked at.
+COARSE = 20
+
+
+def near_scheme(n: int) -> Scheme:
+    """A scheme for near copies among ``n`` documents: five words, a Jaccard similarity of 0.8 or more.
+
+    Shingle sets of that similarity differ in about 14 of 100 fingerprint bits, and up to
+    19 by chance. A segment is as wide as it takes to number the documents, so a table
+    entry holds a few of them whatever ``n`` is; there are as many segments as it takes
+    for all but 2 of 100 such pairs to agree on one up to a bit.
+    """
+    width = min(32, max(18, n.bit_length()))
+    hit = 0.86**width + width * 0.14 * 0.86 ** (width - 1)
+    m, a_word = math.ceil(math.log(0.02) / math.log(1 - hit)), 64 // width
+    words = -(-m // a_word)
+    segments = tuple(Segment(i // a_word, i % a_word * width, width, 1) for i in range(m))
+    return Scheme(5, 42, words, round(0.1875 * 64 * words), segments, distinct=True)
+
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
     """The splitmix64 finaliser of ``h`` moved by ``k`` steps."""
@@ -88,14 +110,17 @@ def fingerprint(text: str | None, scheme: Scheme = EXACT_4) -> list[int]:
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(scheme.shingle, len(words))
     starts, ends = starts[: len(words) - k + 1], ends[k - 1 :]
-    counts = [np.zeros(64, np.int64) for _ in range(scheme.words)]
-    for at in range(0, len(starts), _CHUNK):
-        cuts = map(slice, starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist())
-        n = min(_CHUNK, len(starts) - at)
-        h = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cuts), repeat(scheme.seed)), np.uint64, n)
+    cuts = map(slice, starts.tolist(), ends.tolist())
+    shingles = map(joined.__getitem__, cuts)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(scheme.seed)), np.uint64, len(starts))
+    if scheme.distinct:
+        hashes = np.unique(hashes)
+    counts = np.zeros((scheme.words, 64), np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        h = hashes[at : at + _CHUNK]
         for w in range(scheme.words):
             counts[w] += _bit_counts(_mix(h, w) if w else h)
-    return [int(np.packbits(2 * c > len(starts), bitorder="little").view(np.int64)[0]) for c in counts]
+    return [int(np.packbits(2 * c > len(hashes), bitorder="little").view(np.int64)[0]) for c in counts]
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = EXACT_4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,11 +224,14 @@ def link(nodes: DataFrame, scheme: Scheme = EXACT_4) -> DataFrame:
     first = components(stars)
 
     labelled = checkpoint(nodes.join(first, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("comp")))
-    left = labelled.select("node", "fp", "comp", F.explode(_probes(F.col("fp"), scheme)).alias("key"))
-    right = labelled.select(F.col("fp").alias("fp2"), F.col("comp").alias("comp2"), F.explode(_homes(F.col("fp"), scheme)).alias("key2"))
-    close = _distance(F.col("fp"), F.col("fp2"), scheme.words) <= scheme.distance
-    found = left.join(right, (F.col("key") == F.col("key2")) & (F.col("comp") != F.col("comp2")) & close)
-    second = components(found.select(F.least("comp", "comp2").alias("a"), F.greatest("comp", "comp2").alias("b")))
+    left = labelled.select(F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("fp")[0].alias("fa"), F.explode(_probes(F.col("fp"), scheme)).alias("key"))
+    right = labelled.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("fp")[0].alias("fb"), F.explode(_homes(F.col("fp"), scheme)).alias("key_b"))
+    close = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= (scheme.distance if scheme.words == 1 else COARSE)
+    found = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & close).select("a", "b", "comp_a", "comp_b")
+    if scheme.words > 1:
+        full = lambda c: labelled.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"))
+        found = found.distinct().join(full("a"), "a").join(full("b"), "b").where(_distance(F.col("fp_a"), F.col("fp_b"), scheme.words) <= scheme.distance)
+    second = components(found.select(F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b")))
     up = second.select(F.col("node").alias("comp"), F.col("root").alias("top"))
     return labelled.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("root"))
 
@@ -219,6 +247,23 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT_4, id_col: str = "do
     return prints.withColumn("node", node(F.col("fp"))).join(ids, "node").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, scheme: Scheme | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row of least id, and of rows that repeat an id one.
+
+    A row without an id is placed by a hash of its text, which is less than any id.
+    """
+    scheme = scheme or near_scheme(docs.count())
+    own = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col).bitwiseOR(F.lit(-(1 << 63)))).alias(_ROW_ID)
+    rows = docs.select(own, *docs.columns)
+    kept = near_duplicates(rows.select(_ROW_ID, text_col), scheme, _ROW_ID, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(_ROW_ID)).distinct()
+    first = W.partitionBy(_ROW_ID).orderBy(text_col)
+    one = rows.join(kept, _ROW_ID).withColumn(_ROW_NO, F.row_number().over(first)).where(F.col(_ROW_NO) == 1)
+    return one.select(*docs.columns)
+
+
+_ROW_ID, _ROW_NO = "__row_id", "__row_no"
+
+
 def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
