@@ -1 +1 @@
-
+"""Column types and scalar helpers."""
