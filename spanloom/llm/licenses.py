@@ -131,7 +131,7 @@ NOTICES = (
 )
 
 #: No rule can match a text without one of these.
-GATES = ("licen", "spdx", " under ", " by ", " subject ", "permi", "distribut", "endorse", "origin", "domain", " option ", " org ", " fuck ", "reserved", "proprietary")
+GATES = ("licen", "spdx", " under ", " governed ", " subject ", " covered ", " cc ", "permi", "distribut", "endorse", "origin", "domain", " option ", " org ", " fuck ", "reserved", "proprietary")
 
 _BEFORE, _BEHIND = "(?<= )", "(?= )"
 
@@ -177,7 +177,7 @@ def resolved(detections: Column) -> Column:
     kept = F.array().cast(f"array<{_DETECTION}>")
 
     def step(acc: Column, d: Column) -> Column:
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         apart = (F.size(acc) == 0) | (d["start"] > -last["far"])
         inside = d["far"] >= last["far"]
         return (
@@ -191,7 +191,8 @@ def resolved(detections: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, base (array of places with label) and detections (array of what the rules found)."""
-    d = docs.select(F.col(id_col).alias("doc_id"), joined_words(F.col(text_col)).alias("joined"))
+    # Through explode the joined words are worked out once, not again in each expression that uses them.
+    d = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(joined_words(F.col(text_col)))).alias("joined"))
     d = d.withColumn("n_words", F.greatest(_spaces(F.col("joined")) - 1, F.lit(0)).cast("long"))
     joined = F.col("joined")
 
