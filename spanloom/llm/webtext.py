@@ -24,12 +24,14 @@ ends with its parent. Columns beside page_id, url and html are not read.
 from __future__ import annotations
 
 import html
+import json
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import checkpoint, map_batches, read
@@ -157,48 +159,47 @@ def keep(found: list[tuple[str, bool, bool]], starts: list[int]) -> str:
     return "\n".join(out)
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """key (of equal rows), page_id, url, host, found (blocks), suffixes (hashes of prefixes), stream (hash)."""
-    schema = "page_id long, url string, key long, host string, found array<struct<text:string,inside:boolean,gone:boolean>>, suffixes array<long>, stream long"
-    kind = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_()), ("gone", pa.bool_())]))
-    digest = lambda x: xxhash.xxh64_intdigest(x) - (1 << 63)
+def _key() -> Column:
+    """A hash that equal rows share."""
+    return F.xxhash64("page_id", "url", "html").alias("key")
+
+
+def streams(pages: DataFrame) -> DataFrame:
+    """key, host, suffixes (hashes of their prefixes), stream (a hash of the whole)."""
 
     def rows(batch: pa.RecordBatch) -> dict:
-        ids, urls, raw = (batch.column(i).to_pylist() for i in range(3))
-        found = [blocks(x) for x in raw]
-        tokens = [[t for part in stream(f) for t in part] for f in found]
-        return {
-            "page_id": batch.column(0),
-            "url": batch.column(1),
-            "key": pa.array([digest(repr((i, u)) + (x or "")) for i, u, x in zip(ids, urls, raw)], pa.int64()),
-            "host": pa.array(map(host_of, urls), pa.string()),
-            "found": pa.array([[{"text": a, "inside": b, "gone": c} for a, b, c in f] for f in found], kind),
-            "suffixes": pa.array(map(prefixes, tokens), pa.list_(pa.int64())),
-            "stream": pa.array([digest("\x1f".join(t)) for t in tokens], pa.int64()),
-        }
-
-    return map_batches(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), rows, schema)
-
-
-def repeated(pages: DataFrame) -> DataFrame:
-    """key, starts: where prefixes start that distinct streams of the host share. From ``parsed``."""
-    suffixes = pages.select("key", "host", "stream", F.posexplode("suffixes").alias("start", "prefix"))
+        tokens = [[t for part in stream(blocks(x)) for t in part] for x in batch.column(2).to_pylist()]
+        whole = [xxhash.xxh64_intdigest("\x1f".join(t)) - (1 << 63) for t in tokens]
+        hosts = map(host_of, batch.column(1).to_pylist())
+        return {"key": batch.column(0), "host": pa.array(hosts, pa.string()), "suffixes": pa.array(map(prefixes, tokens), pa.list_(pa.int64())), "stream": pa.array(whole, pa.int64())}
+
+    return map_batches(pages.select(_key(), "url", "html"), rows, "key long, host string, suffixes array<long>, stream long")
+
+
+def repeated(found: DataFrame) -> DataFrame:
+    """key, starts: where prefixes start that distinct streams of the host share. From ``streams``."""
+    suffixes = found.select("key", "host", "stream", F.posexplode("suffixes").alias("start", "prefix"))
     shared = suffixes.groupBy("host", "prefix").agg(F.min("stream").alias("a"), F.max("stream").alias("b")).where("a <> b").select("host", "prefix")
     return suffixes.join(shared, ["host", "prefix"]).groupBy("key").agg(F.collect_set("start").alias("starts"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_repeated (prefixes of its stream that other pages of the host have)."""
-    schema = "page_id long, url string, text string, n_chars long, n_repeated long"
-    all_pages = checkpoint(parsed(pages))
-    joined = all_pages.select("key", "page_id", "url", "found").join(repeated(all_pages), "key", "left").select("page_id", "url", "found", "starts")
 
-    def rows(batch: pa.RecordBatch) -> dict:
+    def pack(batch: pa.RecordBatch) -> dict:
+        packed = [zlib.compress(json.dumps(blocks(x), ensure_ascii=False).encode(), 1) for x in batch.column(3).to_pylist()]
+        return {"key": batch.column(0), "page_id": batch.column(1), "url": batch.column(2), "packed": pa.array(packed, pa.binary())}
+
+    def finish(batch: pa.RecordBatch) -> dict:
         starts = [x or [] for x in batch.column(3).to_pylist()]
-        text = [keep([(b["text"], b["inside"], b["gone"]) for b in found], s) for found, s in zip(batch.column(2).to_pylist(), starts)]
+        text = [keep(json.loads(zlib.decompress(x)), s) for x, s in zip(batch.column(2).to_pylist(), starts)]
         return {"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64()), "n_repeated": pa.array(map(len, starts), pa.int64())}
 
-    return map_batches(joined, rows, schema)
+    # Pages are parsed twice, which costs less than keeping their text until the repeats are known.
+    starts = repeated(checkpoint(streams(pages)))
+    packed = map_batches(pages.select(_key(), F.col("page_id").cast("long").alias("page_id"), "url", "html"), pack, "key long, page_id long, url string, packed binary")
+    joined = packed.join(starts, "key", "left").select("page_id", "url", "packed", "starts")
+    return map_batches(joined, finish, "page_id long, url string, text string, n_chars long, n_repeated long")
 
 
 def op4_webtext(spark: SparkSession, sf_dir: str) -> DataFrame:
