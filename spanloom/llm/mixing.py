@@ -36,6 +36,8 @@ MAX_EPOCHS = 3
 CHUNK = 1 << 14
 POINT_BITS = 52
 CELL_BITS = 12
+#: Up to so many sources their shares are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def _size() -> Column:
@@ -83,22 +85,25 @@ def schedule(sources: DataFrame) -> DataFrame:
     live = sources.where("slots > 0").select("k", "source_size", "blocks", "rest", "slots", "lo", "hi", "all_slots")
     chunks = live.agg(F.max("all_slots").alias("n")).where("n > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))).alias("chunk"), "n")
     first = F.col("chunk") * CHUNK
-    slots = chunks.repartition("chunk").select("chunk", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("n")) - 1)).alias("slot"))
+    # As many tasks as asked for: the few rows of chunks would else be put into one before explode.
+    spread = chunks.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk")
+    slots = spread.select("chunk", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("n")) - 1)).alias("slot"))
     slots = slots.withColumn("point", F.conv(F.reverse(F.lpad(F.bin("slot"), POINT_BITS, "0")), 2, 10).cast("long"))
     slots = slots.withColumn("cell", F.shiftright("point", POINT_BITS - CELL_BITS))
     cell = lambda c: F.shiftright(c, POINT_BITS - CELL_BITS)
-    bands = live.where("lo < hi").select("k", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))).alias("cell"))
+    bands = live.where("lo < hi").select("k", "lo", "hi", "blocks", "rest", "slots", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))).alias("cell"))
     # Merge joins by hint: the planner sees the size before explode, and would broadcast all slots.
-    hit = slots.join(bands.hint("merge"), "cell").where("point >= lo and point < hi").select("k", "chunk", "slot")
+    hit = slots.join(bands.hint("merge"), "cell").where("point >= lo and point < hi")
+    hit = checkpoint(hit.select("k", "chunk", "slot", "blocks", "rest", "slots"))
 
     counts = hit.groupBy("k", "chunk").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("skipped", F.sum("n").over(W.partitionBy("k").orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
     ranked = hit.withColumn("rank", F.row_number().over(W.partitionBy("k", "chunk").orderBy("slot")) - 1).join(counts.select("k", "chunk", "skipped").hint("merge"), ["k", "chunk"])
-    ranked = ranked.select("k", "slot", (F.col("rank") + F.col("skipped")).alias("rank"))
+    ranked = ranked.select("k", "slot", (F.col("rank") + F.col("skipped")).alias("rank"), "blocks", "rest", "slots")
     late = live.join(counts.groupBy("k").agg(F.sum("n").alias("have")), "k", "left").withColumn("have", F.coalesce("have", F.lit(0)))
-    late = late.where("have < slots").select("k", F.lit(None).cast("long").alias("slot"), F.explode(F.sequence("have", F.col("slots") - 1)).alias("rank"))
+    late = late.where("have < slots").select("k", F.lit(None).cast("long").alias("slot"), F.explode(F.sequence("have", F.col("slots") - 1)).alias("rank"), "blocks", "rest", "slots")
 
-    s = ranked.unionByName(late).join(live.select("k", "blocks", "rest", "slots"), "k").where("rank < slots")
+    s = ranked.unionByName(late).where("rank < slots")
     last = (F.col("rank") == F.col("slots") - 1) & (F.col("rest") > 0)
     s = s.withColumn("block", F.col("rank") % F.col("blocks"))
     return s.select("k", "slot", "rank", "block", F.when(last, F.col("rest") - F.col("block") * BLOCK).otherwise(F.lit(BLOCK).cast("long")).alias("upto"))
@@ -131,7 +136,9 @@ def _taken(docs: DataFrame) -> DataFrame:
     got = mix(sizes, sources).select("k", "off", "doc_id", "size", "words").unionByName(stream(sizes).where("size > 0").select("k", "off", "doc_id", "size", none.alias("words")))
     got = got.groupBy("k", "off", "doc_id", "size").agg(F.sum("words").alias("taken"))
     got = got.unionByName(sizes.where("size = 0").select("k", none.alias("off"), "doc_id", "size", none.alias("taken")))
-    return got.join(sources.select("k", "source_size", "target"), "k")
+    shares = sources.select("k", "source_size", "target")
+    shares = F.broadcast(shares) if shares.count() <= BROADCAST_SOURCES else shares
+    return got.join(shares, "k")
 
 
 def taken(docs: DataFrame) -> DataFrame:
