@@ -110,9 +110,17 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
         if m.group(2):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    flush()
-                    del stack[i:]
                     break
+                if tag not in BLOCK and stack[i][0] in BLOCK:  # an inline end tag doesn't end a block
+                    i = -1
+                    break
+            else:
+                i = -1
+            if i >= 0:
+                before = stack[i - 1][1:] if i else (False, False)
+                if before != (inside, gone):
+                    flush()
+                del stack[i:]
         elif tag not in VOID and not m.group(4).endswith("/"):
             if tag in BLOCK and stack and stack[-1][0] == "p":
                 stack.pop()  # a paragraph ends where a block begins
