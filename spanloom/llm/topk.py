@@ -16,7 +16,8 @@ lets the other blocks stop early. Blocks give back k rows a query at most.
 Defined cases: vectors that are null or hold null, NaN or infinite components take no
 part, nor do rows without an id. Vectors are held against those of the same length.
 Rows that repeat an id count once, with the least of their vectors. A query with fewer
-than k candidates gets them all; with none, no row. Ties go to the smaller id. An empty
+than k candidates gets them all; scores beyond 64 bits are returned as the
+limit of 64 bits; with none, no row. Ties go to the smaller id. An empty
 table gives no rows. Only the id and vector columns are read.
 """
 
@@ -44,6 +45,12 @@ def quantised(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(good).select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
+def _best_first(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object:  # lexsort has no order for Python's integers
+        return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])), np.int64)
+    return np.lexsort((ids, -scores))
+
+
 def threshold_topk(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, k: int, bound: int) -> tuple[np.ndarray, np.ndarray, int]:
     """The ids and scores of the k best rows that reach ``bound``, and how many rows were scored.
 
@@ -72,7 +79,7 @@ def threshold_topk(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, list
             keep = got >= bound
             best_ids, best = np.concatenate((best_ids, ids[fresh[keep]])), np.concatenate((best, got[keep]))
             if len(best) > k:
-                order = np.lexsort((best_ids, -best))[:k]
+                order = _best_first(best_ids, best)[:k]
                 best_ids, best = best_ids[order], best[order]
         if depth == n or not len(used):
             break
@@ -80,7 +87,7 @@ def threshold_topk(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, list
         if threshold < bound or (len(best) >= k and threshold < best.min()):
             break
         last, depth = depth, depth * 4
-    order = np.lexsort((best_ids, -best))
+    order = _best_first(best_ids, best)
     return best_ids[order], best[order], scored
 
 
@@ -126,9 +133,9 @@ def _held(asked: DataFrame, index: DataFrame, k: int, only_bounds: bool) -> Data
         lists = np.frombuffer(of(block, "lists"), np.int32).reshape(dim, len(ids))
         found = [threshold_topk(q[i], q_ids[i], ids, x, lists, k, int(bounds[i]))[:2] for i in range(len(q_ids))]
         if only_bounds:
-            kth = np.array([int(s[-1]) if len(s) == k else NONE for _, s in found], np.int64)
+            kth = np.array([max(NONE, min(int(s[-1]), -NONE - 1)) if len(s) == k else NONE for _, s in found], np.int64)
             return pa.table({"dim": pa.array([dim], pa.int32()), "part": pa.array([of(queries, "part")], pa.int32()), "bounds": [kth.tobytes()]})
-        scores = [int(s) for _, f in found for s in f]
+        scores = [max(NONE, min(int(s), -NONE - 1)) for _, f in found for s in f]
         return pa.table({"query_id": np.repeat(q_ids, [len(f) for f, _ in found]), "vec_id": np.concatenate([f for f, _ in found]), "score": pa.array(scores, pa.int64())})
 
     placed = index.join(asked.select(*keys), ["dim", "block"])  # a copy of the block for each block of queries
