@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import crc32_mod, map_batches, read
+from spanloom.llm.common import crc32_mod, map_batches, read, slices
 
 SAMPLE_ROWS = 20_000
 BINS = 32
@@ -136,22 +136,24 @@ def _tree(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _pair_tree(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The leaf values of a tree that cuts one axis of a table and each half along the other."""
+    """The leaf values of the best tree that cuts one axis of a table and each side along the other."""
     best, best_gain = np.zeros_like(g), 0.0
     for turned in (False, True):
         a, b, c = (x.T if turned else x for x in (g, h, n))
-        cut, _ = _split(a.sum(1), b.sum(1), c.sum(1))
-        if not cut:
-            continue
-        out, gain = np.zeros_like(a), 0.0
-        for part in (slice(0, cut), slice(cut, len(a))):
-            at, _ = _split(a[part].sum(0), b[part].sum(0), c[part].sum(0))
-            for piece in (slice(0, at), slice(at, a.shape[1])) if at else (slice(0, a.shape[1]),):
-                gs, hs = a[part, piece].sum(), b[part, piece].sum()
-                out[part, piece] = gs / (hs + 1)
-                gain += gs**2 / (hs + 1)
-        if gain > best_gain:
-            best, best_gain = (out.T if turned else out), gain
+        for cut in range(1, len(a)):
+            gain, leaves = 0.0, []
+            for part in (slice(0, cut), slice(cut, len(a))):
+                at, more = _split(a[part].sum(0), b[part].sum(0), c[part].sum(0))
+                at = at if more > 0 else 0
+                for piece in (slice(0, at), slice(at, a.shape[1])) if at else (slice(0, a.shape[1]),):
+                    gs, hs = a[part, piece].sum(), b[part, piece].sum()
+                    leaves.append((part, piece, gs / (hs + 1)))
+                    gain += gs**2 / (hs + 1)
+            if gain > best_gain:
+                out = np.zeros_like(a)
+                for part, piece, v in leaves:
+                    out[part, piece] = v
+                best, best_gain = (out.T if turned else out), gain
     return best
 
 
@@ -235,9 +237,8 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5, text_col: str =
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) >= least))
+        for batch in slices(batches):
+            yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) >= least))
 
     return docs.mapInArrow(run, docs.schema)
 
