@@ -96,9 +96,10 @@ def schedule(sources: DataFrame) -> DataFrame:
     hit = slots.join(bands.hint("merge"), "cell").where("point >= lo and point < hi")
     hit = checkpoint(hit.select("k", "chunk", "slot", "blocks", "rest", "slots"))
 
+    # The windows leave their rows dealt by k; dealt anew, the joins don't bring a whole source to one task.
     counts = hit.groupBy("k", "chunk").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("skipped", F.sum("n").over(W.partitionBy("k").orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
-    ranked = hit.withColumn("rank", F.row_number().over(W.partitionBy("k", "chunk").orderBy("slot")) - 1).join(counts.select("k", "chunk", "skipped").hint("merge"), ["k", "chunk"])
+    ranked = hit.withColumn("rank", F.row_number().over(W.partitionBy("k", "chunk").orderBy("slot")) - 1).join(counts.select("k", "chunk", "skipped").repartition("k", "chunk").hint("merge"), ["k", "chunk"])
     ranked = ranked.select("k", "slot", (F.col("rank") + F.col("skipped")).alias("rank"), "blocks", "rest", "slots")
     late = live.join(counts.groupBy("k").agg(F.sum("n").alias("have")), "k", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     late = late.where("have < slots").select("k", F.lit(None).cast("long").alias("slot"), F.explode(F.sequence("have", F.col("slots") - 1)).alias("rank"), "blocks", "rest", "slots")
@@ -114,7 +115,7 @@ def stream(sizes: DataFrame) -> DataFrame:
     here = W.partitionBy("k", "bucket").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     totals = sizes.groupBy("k", "bucket").agg(F.sum("size").alias("n"))
     totals = totals.withColumn("skipped", F.sum("n").over(W.partitionBy("k").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
-    d = sizes.withColumn("off", F.sum("size").over(here) - F.col("size")).join(totals.select("k", "bucket", "skipped"), ["k", "bucket"])
+    d = sizes.withColumn("off", F.sum("size").over(here) - F.col("size")).join(totals.select("k", "bucket", "skipped").repartition("k", "bucket"), ["k", "bucket"])
     return d.select("doc_id", "k", "size", (F.col("off") + F.col("skipped")).alias("off"))
 
 
