@@ -102,9 +102,13 @@ def scan_spans_pages(spark, sf_dir):
     return _scan_table(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
 
 
-@query("scan_spans_conversations", _corpus_sql("conversations", "conv_id * 1000 + turn", "text"))
+#: A turn with its speaker's address in front.
+_TURN = "concat(role, ' mail', CAST(conv_id AS STRING), '@example.org: ', text)"
+
+
+@query("scan_spans_conversations", _corpus_sql("conversations", "conv_id * 1000 + turn", _TURN))
 def scan_spans_conversations(spark, sf_dir):
-    return _scan_table(read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
+    return _scan_table(read(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS doc_id", f"{_TURN} AS text"))
 
 
 @query("dedup_overlaps", O.sql([*O.scan_ctes(ALL), *O.dedup_ctes()], 'SELECT doc_id, category, s AS start, CAST(e AS INTEGER) AS "end", CAST(round(confidence * 1000) AS INTEGER) AS confidence, v AS found FROM kept'))
