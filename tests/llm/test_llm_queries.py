@@ -25,3 +25,41 @@ def test_odd_rows_give_a_row_each(spark, odd, name):
 
 def test_each_operator_has_a_query():
     assert {n.split("_")[0] for n in llm.queries()} == {f"op{i}" for i in range(1, 11)}
+
+
+#: Names that operators use inside, or return.
+CLASHES = "fp node root a b key comp h n up k size place bucket off block slot rank words taken target lang_pred score bits held_out predicted joined base detections found starts packed stream suffixes v dim part x ids media ids_sha256 n_tokens decoded y text_hash error doc vec".split()
+
+
+def test_other_columns_of_any_name(spark, sf_dir, tmp_path):
+    """With further columns in every table the results are the same."""
+    from pyspark.sql import functions as F
+
+    for name in ("documents", "embeddings", "pages", "labels"):
+        t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        t.withColumns({c: F.lit("other") for c in CLASHES if c not in t.columns}).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, query in llm.queries().items():
+        a, b = (sorted(map(str, query(spark, d).collect())) for d in (sf_dir, str(tmp_path)))
+        assert a == b, name
+
+
+def test_pipeline_passes_other_columns_on(spark, sf_dir, tmp_path):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({c: F.lit("other") for c in CLASHES})
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / str(i)))
+        after = spark.read.parquet(str(tmp_path / str(i)))
+        assert after.columns == docs.columns and after.select("fp").distinct().collect() == [("other",)]
+        docs = after
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, empty, table):
+    import corpus_pipeline
+    from oddrows import DOCUMENTS, ODD
+
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    folder = table("documents", ODD, DOCUMENTS)
+    assert corpus_pipeline.run(spark, folder).count() >= 0
