@@ -49,7 +49,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar aside widget footer header masthead comment comments respond reply replies disqus share sharing social newsletter subscribe subscription signup login "
-    "search related recommended recommendations pagination pager toolbar skip hidden".split()
+    "search related recommended recommendations pagination pager toolbar".split()
 )
 #: Elements that hold the article whatever their class says.
 HOLDERS = frozenset(("html", "body", "article", "main"))
@@ -68,11 +68,13 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in DROPPED or tag == "header" and not in_article:
         return True
     if not attributes.strip() or tag in HOLDERS:
-        return "hidden" in attributes and tag not in ("html", "body") and any(n.lower() == "hidden" for n, _ in _ATTRIBUTE.findall(attributes))
+        return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
-        if name in ("class", "id") and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
+        if name in ("class", "id"):
+            marks = MARKS.intersection(re.split(r"[^a-z0-9]+", value))
+            if marks - {"header"} or marks and not in_article or "hidden" in value.split():
+                return True
         if name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
