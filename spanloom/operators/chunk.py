@@ -60,6 +60,7 @@ def rollup(results: DataFrame, key: str) -> DataFrame:
         values = F.collect_list(F.struct("chunk_index", F.col(c).alias("x")))
         return F.transform(F.array_sort(values, lambda a, b: a["chunk_index"] - b["chunk_index"]), lambda s: s["x"])
 
+    timed = [c for c in ("processing_time_ms",) if c in results.columns]
     out = r.groupBy(key).agg(
         F.max_by(F.struct("score", "sensitivity_level", "routing_suggestion"), F.struct("score", -F.col("chunk_index"))).alias("best"),
         F.flatten(ordered("entities")).alias("entities"),
@@ -67,9 +68,10 @@ def rollup(results: DataFrame, key: str) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("category_groups_found")))).alias("category_groups_found"),
         F.max_by(F.struct("top_category", "top_confidence"), F.struct("top_confidence", -F.col("chunk_index"))).alias("first"),
         F.count(F.lit(1)).alias("chunk_count"),
+        *[F.sum(c).alias(c) for c in timed],
     )
     return out.select(
         key, F.col("best.score").alias("score"), F.col("best.sensitivity_level").alias("sensitivity_level"), F.col("best.routing_suggestion").alias("routing_suggestion"),
         "category_groups_found", F.col("first.top_category").alias("top_category"), F.col("first.top_confidence").alias("top_confidence"),
-        F.size("entities").alias("entity_count"), "layers_invoked", "chunk_count", "entities",
+        F.size("entities").alias("entity_count"), "layers_invoked", "chunk_count", "entities", *timed,
     )

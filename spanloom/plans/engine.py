@@ -33,6 +33,8 @@ class Options:
     layers: tuple[str, ...] = ("REGEX", "NER", "RULES")
     min_confidence: float = 0.5
     context_boost: float = 0.0
+    #: Adds processing_time_ms, the time of a text's scan; results then differ from run to run.
+    timed: bool = False
     model: model.ModelOptions = field(default_factory=model.ModelOptions)
 
 
@@ -71,7 +73,9 @@ class Engine:
         rules = catalog.active_rules(active) if ruled else []
         text = F.coalesce(F.col(text_col), F.lit(""))
 
-        d = scan(df, patterns, rules, text_col, least, self.options.context_boost)
+        d = scan(df, patterns, rules, text_col, least, self.options.context_boost, self.options.timed)
+        if self.options.timed:
+            d = d.withColumnRenamed("scan_ms", "processing_time_ms")
         d = d.withColumn("after_scan", S.as_entities(text, S.without_overlaps(F.col("spans"))))
         d = d.withColumn("after_rules", apply_rules(text, F.col("after_scan"), F.col("hits")) if ruled else F.col("after_scan")).drop("spans", "hits")
         if "LLM" not in chosen:
@@ -115,9 +119,10 @@ class Engine:
 
     def analyze(self, df: DataFrame, text_col: str = "text", profiles: Sequence[str | Profile] | None = None, layers: Sequence[str] | None = None, min_confidence: float | None = None) -> DataFrame:
         """``df`` with the columns ``RESULT``. Columns of those names that ``df`` has are replaced."""
-        plain = df.drop(*[c for c in df.columns if c in (*RESULT, "spans", "hits", "after_scan", "after_rules", "after_model", "asked")])
+        result = (*RESULT, *["processing_time_ms"] * self.options.timed)
+        plain = df.drop(*[c for c in df.columns if c in (*result, "scan_ms", "spans", "hits", "after_scan", "after_rules", "after_model", "asked")])
         d = self.layered(plain, text_col, profiles, layers, min_confidence)
-        return self.finished(d, text_col, profiles, layers, min_confidence).select(*plain.columns, *RESULT)
+        return self.finished(d, text_col, profiles, layers, min_confidence).select(*plain.columns, *result)
 
     def analyze_texts(self, spark: SparkSession, texts: Sequence[str | None], tasks: int = 4, **how) -> DataFrame:
         """A row a text, with idx in the order given; a text that failed has error with its index."""

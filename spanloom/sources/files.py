@@ -67,8 +67,13 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
     return parse_examples(spark.read.text(path))
 
 
+#: Where options are looked for without a path.
+OPTION_FILES = (Path("spanloom.yaml"), Path.home() / ".config" / "spanloom" / "spanloom.yaml")
+
+
 def load_options(path: str | Path | None = None) -> Options:
-    """Options of a YAML file; the general ones without a path."""
+    """Options of a YAML file; without a path of the first of ``OPTION_FILES`` that is there, else the general ones."""
+    path = path or next((p for p in OPTION_FILES if p.exists()), None)
     if path is None:
         return Options()
     import yaml

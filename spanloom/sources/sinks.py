@@ -50,3 +50,13 @@ def mapping_from_json(raw: Column) -> Column:
     from spanloom.functions.types import MAPPING
 
     return F.from_json(raw, MAPPING)
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """A JSON object a line, in files of the folder ``path``."""
+    rows.write.mode("overwrite").json(path)
+
+
+def report_lines(metrics: DataFrame, name: str = "dataset") -> Column:
+    """A line of text for each row of evaluation metrics."""
+    return F.format_string("%s: precision %.1f%%, recall %.1f%%, F1 %.1f%% (TP %d FP %d FN %d TN %d)", name, F.col("precision") * 100, F.col("recall") * 100, F.col("f1") * 100, "tp", "fp", "fn", "tn")

@@ -177,6 +177,28 @@ def test_sinks(spark):
     assert sinks.entity_table(r, "idx").first().entity == "MNPI"
 
 
+def test_reports(spark, tmp_path):
+    m = evaluate.metrics(spark.createDataFrame([("a", "tp"), ("a", "fp")], "dataset string, outcome string"), "dataset")
+    assert m.select(sinks.report_lines(m).alias("x")).first().x == "a: precision 50.0%, recall 100.0%, F1 66.7% (TP 1 FP 1 FN 0 TN 0)"
+    sinks.write_jsonl(m, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_times(spark):
+    e = Engine(["finance"], Options(timed=True))
+    r = e.analyze_texts(spark, ["MNPI"]).first()
+    assert r.processing_time_ms > 0
+    d = e.analyze_documents(spark.createDataFrame([(1, "MNPI " * 50)], "doc_id long, text string"), size=50).first()
+    assert d.processing_time_ms > 0 and d.chunk_count == 5
+
+
+def test_options_are_looked_for(tmp_path, monkeypatch):
+    path = tmp_path / "spanloom.yaml"
+    path.write_text("profiles: [finance]")
+    monkeypatch.setattr(files, "OPTION_FILES", (tmp_path / "none.yaml", path))
+    assert files.load_options().profiles == ("finance",)
+
+
 # ---- streams
 
 
