@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import checkpoint, read
 
-ROWS_A_BLOCK = 2048
-QUERIES_A_BLOCK = 1024
+ROWS_A_BLOCK = 4096
+QUERIES_A_BLOCK = 4096
 START_DEPTH = 4
 NONE = -(1 << 63)
 
@@ -91,6 +91,16 @@ def threshold_topk(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, list
     return best_ids[order], best[order], scored
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """The numbers in the fewest of 2, 4 or 8 bytes each that hold them all."""
+    top = max(-int(x.min(initial=0)), int(x.max(initial=0)))
+    return np.ascontiguousarray(x.astype(np.int16 if top < 1 << 15 else np.int32 if top < 1 << 31 else np.int64)).tobytes()
+
+
+def _unpacked(raw: bytes, n: int, m: int) -> np.ndarray:
+    return np.frombuffer(raw, f"i{len(raw) // (n * m)}" if n * m else np.int64).reshape(n, m)
+
+
 def _blocks(rows: DataFrame, n: int, name: str, lists: bool) -> DataFrame:
     """dim, one of ``n`` block numbers, and the block's ids, components and sorted lists as bytes."""
 
@@ -99,9 +109,9 @@ def _blocks(rows: DataFrame, n: int, name: str, lists: bool) -> DataFrame:
         order = np.argsort(ids, kind="stable")
         dim = group.column("dim")[0].as_py()
         x = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(ids), dim)[order]
-        out = {"dim": pa.array([dim], pa.int32()), name: group.column(name)[:1].combine_chunks(), "ids": [ids[order].tobytes()], "x": [x.tobytes()]}
+        out = {"dim": pa.array([dim], pa.int32()), name: group.column(name)[:1].combine_chunks(), "ids": [ids[order].tobytes()], "x": [_packed(x)]}
         if lists:
-            out["lists"] = [np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T.astype(np.int32)).tobytes()]
+            out["lists"] = [_packed(np.argsort(x, axis=0, kind="stable").T)]
         return pa.table(out)
 
     dealt = rows.withColumn("dim", F.size("v")).withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
@@ -128,9 +138,9 @@ def _held(asked: DataFrame, index: DataFrame, k: int, only_bounds: bool) -> Data
             return pa.table({f.split()[0]: pa.array([], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in schema.split(", ")})
         of = lambda t, c: t.column(c)[0].as_py()
         dim, ids, q_ids = of(block, "dim"), np.frombuffer(of(block, "ids"), np.int64), np.frombuffer(of(queries, "q_ids"), np.int64)
-        x, q = _numbers(np.frombuffer(of(block, "x"), np.int64).reshape(len(ids), dim), np.frombuffer(of(queries, "q_x"), np.int64).reshape(len(q_ids), dim))
+        x, q = _numbers(_unpacked(of(block, "x"), len(ids), dim), _unpacked(of(queries, "q_x"), len(q_ids), dim))
         bounds = np.frombuffer(of(queries, "bounds"), np.int64) if of(queries, "bounds") else np.full(len(q_ids), NONE)
-        lists = np.frombuffer(of(block, "lists"), np.int32).reshape(dim, len(ids))
+        lists = _unpacked(of(block, "lists"), dim, len(ids))
         found = [threshold_topk(q[i], q_ids[i], ids, x, lists, k, int(bounds[i]))[:2] for i in range(len(q_ids))]
         if only_bounds:
             kth = np.array([max(NONE, min(int(s[-1]), -NONE - 1)) if len(s) == k else NONE for _, s in found], np.int64)
