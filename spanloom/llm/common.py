@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="spanloom-"))
     return jsc.getCheckpointDir().get()
 
@@ -35,16 +35,35 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch. Spark bounds batches by rows alone, and its 10,000 are too many for long texts.
+BATCH_ROWS = 1000
+#: Rows that are worked on at once, so that Python's objects stay small beside the batch.
+ROWS = 256
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size, unless somebody has chosen one."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """``mapInArrow`` with one function from a record batch to named columns."""
+    """``mapInArrow`` with one function from a part of a record batch to named columns."""
     names = [f.split()[0] for f in schema.split(", ")]  # a comma inside a type has no space behind it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = rows(batch)
-                yield pa.RecordBatch.from_arrays([out[n] for n in names], names=names)
+        for batch in slices(batches):
+            out = rows(batch)
+            yield pa.RecordBatch.from_arrays([out[n] for n in names], names=names)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import crc32_mod, map_batches, read
+from spanloom.llm.common import bound_batches, crc32_mod, map_batches, read, slices
 
 ORDER = 4
 SAMPLE_DOCS = 300
@@ -68,9 +68,10 @@ def sample(docs: DataFrame, may_learn: Column, lang_col: str = "lang", text_col:
     chosen = sizes.distinct().withColumn("n", F.row_number().over(part)).where(F.col("n") <= -(-4 * SAMPLE_DOCS // SALTS))
     chosen = chosen.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= SAMPLE_DOCS)
     chosen = chosen.withColumn("upto", F.sum("size").over(W.partitionBy("lang").orderBy("n"))).where(F.col("upto") <= SAMPLE_BYTES)
-    hashes = [r.h for r in chosen.select("h").collect()]
+    # So many at most as SAMPLE_DOCS a language.
+    ids = docs.sparkSession.createDataFrame(chosen.select("lang", "h").collect(), "lang string, h long")
     found: dict[str, dict[int, bytes]] = {}
-    for r in rows.where(F.col("h").isin(hashes)).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect() if hashes else []:
+    for r in rows.join(F.broadcast(ids), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect():
         found.setdefault(r.lang, {})[r.h] = r.text.encode()
     return {lang: [t[h] for h in sorted(t)] for lang, t in found.items()}
 
@@ -252,9 +253,10 @@ def keep_known(docs: DataFrame, model: Model, max_bits: float = 8.0, text_col: s
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([x[0] != "und" and x[2] <= max_bits for x in predict(shared.value, batch.column(at).to_pylist())], pa.bool_()))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

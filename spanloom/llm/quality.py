@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import crc32_mod, map_batches, read, slices
+from spanloom.llm.common import bound_batches, crc32_mod, map_batches, read, slices
 
 SAMPLE_ROWS = 20_000
 BINS = 32
@@ -240,6 +240,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5, text_col: str =
         for batch in slices(batches):
             yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) >= least))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
