@@ -2,7 +2,7 @@
 
 A page becomes blocks of visible text. Markup decides a block if it stands in a menu,
 header, footer, sidebar, notice, advert, form or comment section (it goes), or in the
-page's article (it stays). For all that stands outside the article, or anywhere on a page
+page's article (it stays; its main element if it has no article). For all that stands outside the article, or anywhere on a page
 without one, the tokens of the page run on as one stream. The streams of a host are
 indexed by a suffix array cut at depth ``RUN``: all suffixes are dealt out by host and by
 their first ``RUN`` tokens, so equal prefixes meet wherever their pages are. A prefix that
@@ -51,8 +51,9 @@ MARKS = frozenset(
     "breadcrumb breadcrumbs sidebar aside widget footer header masthead comment comments respond reply replies disqus share sharing social newsletter subscribe subscription signup login "
     "search related recommended recommendations pagination pager toolbar".split()
 )
-#: Elements that hold the article whatever their class says.
-HOLDERS = frozenset(("html", "body", "article", "main"))
+#: Elements that hold the article whatever their class says; an article can still be a comment or an advert.
+HOLDERS = frozenset(("html", "body", "main"))
+ARTICLE_MARKS = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
 
 _TOKEN = re.compile(rf"(?is)<!--.*?(?:-->|$)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:/>|>.*?(?:</\1\s*>|$))|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|([^<]+|<)")
 _ATTRIBUTE = re.compile(r"(?s)([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -72,7 +73,7 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
         if name in ("class", "id"):
-            marks = MARKS.intersection(re.split(r"[^a-z0-9]+", value))
+            marks = (ARTICLE_MARKS if tag == "article" else MARKS).intersection(re.split(r"[^a-z0-9]+", value))
             if marks - {"header"} or marks and not in_article or "hidden" in value.split():
                 return True
         if name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
@@ -82,19 +83,23 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
-    """The page's blocks in order: text, inside the article, dropped by its markup."""
-    out: list[tuple[str, bool, bool]] = []
+#: How surely an element holds the article; the surest of a page decide.
+LEVELS = {"main": 1, "article": 2}
+
+
+def blocks(page: str | None) -> list[tuple[str, int, bool]]:
+    """The page's blocks in order: text, the level of what it stands in, dropped by its markup."""
+    out: list[tuple[str, int, bool]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, inside the article, dropped
-    inside = gone = False
+    stack: list[tuple[str, int, bool]] = []  # tag, level, dropped
+    level, gone = 0, False
 
     def flush() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((text, inside, gone))
+                out.append((text, level, gone))
 
     for m in _TOKEN.finditer(page or ""):
         text = m.group(5)
@@ -119,8 +124,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
             else:
                 i = -1
             if i >= 0:
-                before = stack[i - 1][1:] if i else (False, False)
-                if before != (inside, gone):
+                before = stack[i - 1][1:] if i else (0, False)
+                if before != (level, gone):
                     flush()
                 del stack[i:]
         elif tag not in VOID and not m.group(4).endswith("/"):
@@ -128,22 +133,26 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
                 stack.pop()  # a paragraph ends where a block begins
             elif tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
                 stack.pop()
-            _, was_inside, was_gone = stack[-1] if stack else ("", False, False)
-            drop = was_gone or _dropped(tag, m.group(4), was_inside)
+            _, was, was_gone = stack[-1] if stack else ("", 0, False)
+            drop = was_gone or _dropped(tag, m.group(4), was > 0)
             if drop and not was_gone:
                 flush()
-            here = was_inside or tag == "article" and not drop or tag == "main" and not drop
-            stack.append((tag, here, drop))
+            stack.append((tag, max(was, 0 if drop else LEVELS.get(tag, 0)), drop))
         else:
             continue
-        _, inside, gone = stack[-1] if stack else ("", False, False)
+        _, level, gone = stack[-1] if stack else ("", 0, False)
     flush()
     return out
 
 
-def stream(found: list[tuple[str, bool, bool]]) -> list[list[str]]:
+def top_level(found: list[tuple[str, int, bool]]) -> int:
+    return max((level for _, level, gone in found if not gone), default=0)
+
+
+def stream(found: list[tuple[str, int, bool]]) -> list[list[str]]:
     """The tokens, by block, of what markup leaves to repetition; none for blocks of the article."""
-    return [[] if inside and not gone else text.split() for text, inside, gone in found]
+    top = top_level(found)
+    return [[] if top and level == top and not gone else text.split() for text, level, gone in found]
 
 
 def prefixes(tokens: list[str]) -> list[int]:
@@ -152,19 +161,18 @@ def prefixes(tokens: list[str]) -> list[int]:
     return [xxhash.xxh64_intdigest("\x1f".join(tokens[i : i + RUN])) - (1 << 63) for i in range(n)]
 
 
-def keep(found: list[tuple[str, bool, bool]], starts: list[int]) -> str:
+def keep(found: list[tuple[str, int, bool]], starts: list[int]) -> str:
     """The page's text, given where its repeated prefixes start."""
-    parts = stream(found)
+    parts, top = stream(found), top_level(found)
     sizes = [len(p) for p in parts]
     covered = np.zeros(sum(sizes) + RUN, bool)
     for s in starts:
         covered[s : s + RUN] = True
-    has_article = any(inside and not gone for _, inside, gone in found)
     out, at = [], 0
-    for (text, inside, gone), size in zip(found, sizes):
+    for (text, level, gone), size in zip(found, sizes):
         repeated = size > 0 and covered[at : at + size].sum() >= COVERED * size
         at += size
-        if not gone and (inside or not has_article and not repeated):
+        if not gone and level == top and not repeated:
             out.append(text)
     return "\n".join(out)
 

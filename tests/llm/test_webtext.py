@@ -28,6 +28,9 @@ def text(html, starts=()):
         ("<title>t</title><p>😀", "😀"),
         ("<p", "<p"),
         ("<article><header><h1>Head</h1></header><p>Body</p></article>", "Head\nBody"),
+        ("<main><p>links</p><article><p>a</p></article></main>", "a"),
+        ("<article class='post overflow-hidden'><div class='post-header'>h</div><p>a</p></article><article class='comment'>c</article>", "h\na"),
+        ("<p>a <span class='ad'>x</span> b</p>", "a\nb"),
     ],
 )
 def test_blocks(html, want):
