@@ -65,24 +65,26 @@ class Scheme:
 #: 64 bits, 4 differing bits: radii 1, 1, 0 sum to 4 - 3 + 1, so no pair is missed.
 EXACT_4 = Scheme(4, 42, 1, 4, (Segment(0, 0, 22, 1), Segment(0, 22, 21, 1), Segment(0, 43, 21, 0)))
 
-#: Differing bits of the first fingerprint word up to which a match of a wider fingerprint is looked at.
-COARSE = 20
+
+
+#: Words of a fingerprint for near copies, and the share of differing bits that stands for a Jaccard similarity of 0.8:
+#: sets of that similarity have the cosine 2 * 0.8 / 1.8, an angle of 0.151 half turns; 0.009 more for the chance of 384 bits.
+NEAR_WORDS, NEAR_SHARE = 6, 0.16
 
 
 def near_scheme(n: int) -> Scheme:
     """A scheme for near copies among ``n`` documents: five words, a Jaccard similarity of 0.8 or more.
 
-    Shingle sets of that similarity differ in about 14 of 100 fingerprint bits, and up to
-    19 by chance. A segment is as wide as it takes to number the documents, so a table
-    entry holds a few of them whatever ``n`` is; there are as many segments as it takes
-    for all but 2 of 100 such pairs to agree on one up to a bit.
+    A segment has 3 bits less than it takes to number the documents, so a table entry
+    holds some 8 of them whatever ``n`` is; there are as many segments as it takes for all
+    but 2 of 100 pairs that differ in 14 of 100 bits to agree on one up to a bit.
     """
-    width = min(32, max(18, n.bit_length()))
+    width = min(32, max(8, n.bit_length() - 3))
     hit = 0.86**width + width * 0.14 * 0.86 ** (width - 1)
     m, a_word = math.ceil(math.log(0.02) / math.log(1 - hit)), 64 // width
-    words = -(-m // a_word)
+    words = max(NEAR_WORDS, -(-m // a_word))
     segments = tuple(Segment(i // a_word, i % a_word * width, width, 1) for i in range(m))
-    return Scheme(5, 42, words, round(0.1875 * 64 * words), segments, distinct=True)
+    return Scheme(5, 42, words, round(NEAR_SHARE * 64 * words), segments, distinct=True)
 
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
@@ -154,10 +156,6 @@ def _probes(fp: Column, scheme: Scheme) -> Column:
     return F.concat(_homes(fp, scheme), *[_ball(i, _value(fp, s), s.width) for i, s in enumerate(scheme.segments) if s.radius])
 
 
-def _distance(a: Column, b: Column, words: int) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(a[w].bitwiseXOR(b[w])) for w in range(words)])
-
-
 #: So many edges at most, 16 bytes each, are finished in one task.
 LOCAL_EDGES = 200_000
 
@@ -214,24 +212,30 @@ _CENTRES = 3
 
 
 def link(nodes: DataFrame, scheme: Scheme = EXACT_4) -> DataFrame:
-    """node, root for the distinct fingerprints ``nodes`` (node long, fp) that have a partner."""
-    keyed = nodes.select("node", "fp", F.explode(_homes(F.col("fp"), scheme)).alias("key"))
-    pick = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), F.col("node").alias("centre"), F.col("fp").alias("c_fp")))
-    centres = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[pick(i).alias(f"c{i}") for i in range(_CENTRES)]).where("n > 1")
-    centres = centres.select("key", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(_CENTRES)]).cast("array<struct<h:bigint,centre:bigint,c_fp:array<bigint>>>"))).alias("c")).select("key", "c.centre", "c.c_fp")
-    near = _distance(F.col("fp"), F.col("c_fp"), scheme.words) <= scheme.distance
-    stars = keyed.join(centres, (keyed["key"] == centres["key"]) & near & (F.col("node") != F.col("centre"))).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    """node, root for the distinct fingerprints ``nodes`` (node long, fp).
+
+    Matches of a lookup are verified inside the joins, which therefore give out near pairs
+    only: first those with a few centres of each table entry, then those of different
+    components of the first.
+    """
+    flat = lambda c: [F.col("fp")[i].alias(f"{c}{i}") for i in range(scheme.words)]
+    near = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(scheme.words)]) <= scheme.distance
+    homes = F.explode(_homes(F.col("fp"), scheme))
+
+    keyed = nodes.select(F.col("node").alias("a"), *flat("a"), homes.alias("key"))
+    pick = lambda i: F.min(F.struct(F.xxhash64("a", F.lit(i)).alias("h"), F.col("a").alias("b"), *[F.col(f"a{j}").alias(f"b{j}") for j in range(scheme.words)])).alias(f"c{i}")
+    centres = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[pick(i) for i in range(_CENTRES)]).where("n > 1")
+    # Each centre once: the hash that chose it doesn't count.
+    one = [F.col(f"c{i}").dropFields("h") for i in range(_CENTRES)]
+    centres = centres.select(F.col("key").alias("key_b"), F.explode(F.array_distinct(F.array(*one))).alias("c")).select("key_b", "c.*")
+    stars = keyed.join(centres, (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b")) & near).select("a", "b")
     first = components(stars)
 
     labelled = checkpoint(nodes.join(first, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("comp")))
-    left = labelled.select(F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("fp")[0].alias("fa"), F.explode(_probes(F.col("fp"), scheme)).alias("key"))
-    right = labelled.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("fp")[0].alias("fb"), F.explode(_homes(F.col("fp"), scheme)).alias("key_b"))
-    close = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= (scheme.distance if scheme.words == 1 else COARSE)
-    found = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & close).select("a", "b", "comp_a", "comp_b")
-    if scheme.words > 1:
-        full = lambda c: labelled.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"))
-        found = found.distinct().join(full("a"), "a").join(full("b"), "b").where(_distance(F.col("fp_a"), F.col("fp_b"), scheme.words) <= scheme.distance)
-    second = components(found.select(F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b")))
+    left = labelled.select(F.col("comp").alias("a"), *flat("a"), F.explode(_probes(F.col("fp"), scheme)).alias("key"))
+    right = labelled.select(F.col("comp").alias("b"), *flat("b"), homes.alias("key_b"))
+    found = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b")) & near)
+    second = components(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     up = second.select(F.col("node").alias("comp"), F.col("root").alias("top"))
     return labelled.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("root"))
 
