@@ -27,6 +27,7 @@ import heapq
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,11 @@ from spanloom.llm.common import map_batches, read, texts
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-KEPT_UNITS = 300_000
+#: Units in each of the two halves of a table; what isn't asked for while a half fills up is forgotten.
+KEPT_UNITS = 200_000
+#: Up to so many characters the agenda is a list, beyond that a heap.
+SHORT = 48
+NEVER = float("inf")
 
 codecs.register_error("replace_each", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -67,8 +72,10 @@ class Pieces(dict):
         self.shown = {str(i): bytes([b]) for b, i in self.bytes.items()}
         self.shown |= {str(i): p.replace(MARK, " ").encode() for p, i in self.ids.items()}
         self.shown |= {str(i): b"" for i in special if str(i) not in self.shown} | {str(self.unknown): " ⁇ ".encode()}
+        self.old: dict[str, str] = {}
         self.fine: dict[str, str] = {}
-        self.fresh: list[str] = []
+        self.old_fine: dict[str, str] = {}
+        self.fresh: list[tuple[str, str]] = []
         self._find_cuts()
 
     def _find_cuts(self) -> None:
@@ -86,9 +93,12 @@ class Pieces(dict):
         self.runs = re.compile(rf"{MARK}*(?:\w+|[^\w{MARK}]+|$)") if not inner_mark else re.compile(r"(?s).+")
 
     def __missing__(self, unit: str) -> str:
-        parts = [unit] if self.glue.search(unit) else [x for x in self.runs.findall(unit) if x]
-        found = ",".join([self._part(x) for x in parts])
+        found = self.old.get(unit)
+        if found is None:
+            parts = (unit,) if self.glue.search(unit) else self.runs.findall(unit)
+            found = ",".join([self._part(x) for x in parts if x])
         if len(self) >= KEPT_UNITS:
+            self.old = dict(self)
             self.clear()
         self[unit] = found
         return found
@@ -96,55 +106,73 @@ class Pieces(dict):
     def _part(self, part: str) -> str:
         found = self.fine.get(part)
         if found is None:
+            found = self.old_fine.get(part)
+            if found is None:
+                found = ",".join(map(str, self.merge(part)))
+                if self.check:
+                    self.fresh.append((part, found))
             if len(self.fine) >= KEPT_UNITS:
-                self.fine.clear()
-            found = self.fine[part] = ",".join(map(str, self.merge(part)))
-            if self.check:
-                self.fresh.append(part)
+                self.old_fine, self.fine = self.fine, {}
+            self.fine[part] = found
         return found
 
     def merge(self, text: str) -> list[int]:
         """The ids of marked text by the agenda of adjacent pairs."""
-        scores = self.scores
-        n = len(text)
-        symbols: list[str] = list(text)
-        if n > 1:
-            ahead, back = list(range(1, n + 1)), list(range(-1, n - 1))
-            agenda = []
-            for i in range(n - 1):
-                pair = text[i : i + 2]
-                if pair in scores:
-                    agenda.append((scores[pair], i, pair))
-            heapq.heapify(agenda)
-            while agenda:
-                _, i, pair = heapq.heappop(agenda)
-                j = ahead[i]
-                if not symbols[i] or j >= n or symbols[i] + symbols[j] != pair or len(symbols[i]) + len(symbols[j]) != len(pair):
-                    continue
-                symbols[i], symbols[j] = pair, ""
-                k = ahead[i] = ahead[j]
-                if k < n:
-                    back[k] = i
-                    joined = pair + symbols[k]
-                    if joined in scores:
-                        heapq.heappush(agenda, (scores[joined], i, joined))
-                h = back[i]
-                if h >= 0:
-                    joined = symbols[h] + pair
-                    if joined in scores:
-                        heapq.heappush(agenda, (scores[joined], h, joined))
         out: list[int] = []
-        for s in symbols:
-            if s:
-                i = self.ids.get(s)
-                if i is not None:
-                    out.append(i)
-                elif self.bytes:
-                    out.extend(self.bytes[b] for b in s.encode())
-                else:
-                    out.append(self.unknown)
+        for s in self._short(text) if len(text) <= SHORT else self._long(text):
+            i = self.ids.get(s)
+            if i is not None:
+                out.append(i)
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in s.encode())
+            else:
+                out.append(self.unknown)
         return out
 
+    def _short(self, text: str) -> list[str]:
+        """The agenda of a short text: the pairs' scores in order of place, so the first least one is next."""
+        score = self.scores.get
+        symbols = list(text)
+        agenda = [score(a + b, NEVER) for a, b in zip(text, text[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)
+            symbols[i] += symbols[i + 1]
+            del symbols[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + symbols[i], NEVER)
+            if i < len(agenda):
+                agenda[i] = score(symbols[i] + symbols[i + 1], NEVER)
+        return symbols
+
+    def _long(self, text: str) -> list[str]:
+        """The agenda of a long text: a heap of score, place and pair, with links between the symbols."""
+        scores, n = self.scores, len(text)
+        symbols: list[str] = list(text)
+        ahead, back = list(range(1, n + 1)), list(range(-1, n - 1))
+        agenda = [(scores[p], i, p) for i in range(n - 1) if (p := text[i : i + 2]) in scores]
+        heapq.heapify(agenda)
+
+        def offer(i: int, joined: str) -> None:
+            if joined in scores:
+                heapq.heappush(agenda, (scores[joined], i, joined))
+
+        while agenda:
+            _, i, pair = heapq.heappop(agenda)
+            j = ahead[i]
+            if not symbols[i] or j >= n or symbols[i] + symbols[j] != pair:
+                continue  # one of the two has been merged meanwhile
+            symbols[i], symbols[j] = pair, ""
+            k = ahead[i] = ahead[j]
+            if k < n:
+                back[k] = i
+                offer(i, pair + symbols[k])
+            if back[i] >= 0:
+                offer(back[i], symbols[back[i]] + pair)
+        return [s for s in symbols if s]
+
     def encode(self, text: str) -> str:
         """The ids of a text as decimals joined by commas."""
         return ",".join(map(self.__getitem__, self.coarse.findall(MARK + text.replace(" ", MARK)))) if text else ""
@@ -157,16 +185,16 @@ class Pieces(dict):
     def verify(self) -> None:
         """Hold the units encoded since the last call against the library."""
         fresh, self.fresh = self.fresh, []
-        marked = [x for x in fresh if x[0] == MARK]
-        # The library puts a mark in front of any text; behind a line break, which no
-        # piece holds, a unit without a mark stands alone.
-        lone = [x for x in fresh if x[0] != MARK]
-        plain = [x[1:].replace(MARK, " ") for x in marked] + ["\n" + x for x in lone]
+        # The library puts a mark in front of any text, so a mark alone has no text that it
+        # would encode to it; behind a line break, which no piece holds, a unit without a
+        # mark stands alone.
+        marked = [x for x in fresh if x[0][0] == MARK and x[0] != MARK]
+        lone = [x for x in fresh if x[0][0] != MARK]
         skip = len(self.library.encode("\n"))
-        for unit, ids in zip(marked + lone, self.library.encode(plain, num_threads=1), strict=True):
-            ids = ids if unit[0] == MARK else ids[skip:]
-            # The table may have been emptied since; a mark alone has no text that the library would encode to it.
-            if unit != MARK and (shown := ",".join(map(str, ids))) != self.fine.get(unit, shown):
+        theirs = self.library.encode([x[1:].replace(MARK, " ") for x, _ in marked], num_threads=1)
+        theirs += [ids[skip:] for ids in self.library.encode(["\n" + x for x, _ in lone], num_threads=1)]
+        for (unit, ours), ids in zip(marked + lone, theirs, strict=True):
+            if ",".join(map(str, ids)) != ours:
                 raise ValueError(f"the library encodes {unit!r} differently")
 
 
@@ -179,6 +207,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_tokens and either ids (array of int) and decoded, or the SHA-256 of both."""
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
+    def lists(ids: list[str]) -> pa.Array:
+        flat = np.array(",".join([x for x in ids if x]).split(","), np.int32) if any(ids) else np.empty(0, np.int32)
+        ends = np.cumsum([0] + [x.count(",") + 1 if x else 0 for x in ids])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
     def rows(batch: pa.RecordBatch) -> dict:
         p = pieces(path, check)
         ids = [p.encode(x) for x in texts(batch)]
@@ -187,7 +220,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         out = {"doc_id": batch.column(0), "n_tokens": pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64())}
         if digests:
             return out | {"ids_sha256": pa.array(map(sha, ids), pa.string()), "decoded_sha256": pa.array([sha(p.decode(x)) for x in ids], pa.string())}
-        return out | {"ids": pa.array([list(map(int, x.split(","))) if x else [] for x in ids], pa.list_(pa.int32())), "decoded": pa.array(map(p.decode, ids), pa.string())}
+        return out | {"ids": lists(ids), "decoded": pa.array(map(p.decode, ids), pa.string())}
 
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), rows, schema)
