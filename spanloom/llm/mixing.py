@@ -152,12 +152,15 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
     All but one document a source are taken a whole number of times. Documents without words go.
     """
-    alike = ["__k", "__size", "__id", "__no"]
-    got = _taken(docs).where("taken > 0").select(F.col("k").alias("__k"), F.col("size").alias("__size"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), "off", F.rint(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    got = got.withColumn("__no", F.row_number().over(W.partitionBy(*alike[:3]).orderBy("off"))).select(*alike, "__times").where("__times > 0")
-    rows = docs.withColumns({"__k": _source_key(), "__size": _size(), "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
-    rows = rows.withColumn("__no", F.row_number().over(W.partitionBy(*alike[:3]).orderBy("text")))
-    return rows.join(got, alike).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    alike = ["__k", "__size", "__id"]
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")
+    got = _taken(docs).where("taken > 0").select(F.col("k").alias("__k"), F.col("size").alias("__size"), name, "off", F.rint(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    got = got.withColumn("__rank", F.row_number().over(W.partitionBy(*alike).orderBy("off"))).where("__times > 0").drop("off")
+    rows = docs.withColumns({"__k": _source_key(), "__size": _size(), "__id": name})
+    rows = rows.withColumn("__no", F.row_number().over(W.partitionBy(*alike).orderBy("text")))
+    # The numbers of equal rows are compared but aren't a key, so the texts stay where the window left them.
+    taken_rows = rows.join(got.hint("merge"), alike).where(F.col("__no") - F.col("__rank") == 0)
+    return taken_rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
