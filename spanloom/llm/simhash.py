@@ -75,11 +75,12 @@ NEAR_WORDS, NEAR_SHARE = 6, 0.16
 def near_scheme(n: int) -> Scheme:
     """A scheme for near copies among ``n`` documents: five words, a Jaccard similarity of 0.8 or more.
 
-    A segment has 3 bits less than it takes to number the documents, so a table entry
-    holds some 8 of them whatever ``n`` is; there are as many segments as it takes for all
-    but 2 of 100 pairs that differ in 14 of 100 bits to agree on one up to a bit.
+    A segment has 4 bits less than it takes to number the documents, 14 at least, so a
+    table entry holds some 16 of them at most whatever ``n`` is; there are as many segments
+    as it takes for all but 2 of 100 pairs that differ in 14 of 100 bits to agree on one up
+    to a bit.
     """
-    width = min(32, max(8, n.bit_length() - 3))
+    width = min(32, max(14, n.bit_length() - 4))
     hit = 0.86**width + width * 0.14 * 0.86 ** (width - 1)
     m, a_word = math.ceil(math.log(0.02) / math.log(1 - hit)), 64 // width
     words = max(NEAR_WORDS, -(-m // a_word))
@@ -209,6 +210,7 @@ def _climb(roots: DataFrame | None, step: DataFrame) -> DataFrame:
 
 
 _CENTRES = 3
+_SALTS = 32
 
 
 def link(nodes: DataFrame, scheme: Scheme = EXACT_4) -> DataFrame:
@@ -246,8 +248,11 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT_4, id_col: str = "do
     node = (lambda c: c[0]) if scheme.words == 1 else F.xxhash64  # noqa: E731  equal fingerprints, equal node
     nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).select(node(F.col("fp")).alias("node"), "fp", "first_id"))
     roots = nodes.join(link(nodes.select("node", "fp"), scheme), "node").select("node", "root", "first_id")
-    least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = roots.join(least, "root").select("node", "component_id")
+    # A large component's members are dealt out by salt; most fingerprints have a component of their own.
+    least = roots.groupBy("root").agg(F.min("first_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))).repartition("root", "salt").select("root", "salt", "least")
+    salted = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int"))
+    ids = salted.join(least.hint("merge"), ["root", "salt"], "left").select("node", F.coalesce("least", "first_id").alias("component_id"))
     return prints.withColumn("node", node(F.col("fp"))).join(ids, "node").select("doc_id", "fp", "component_id")
 
 
