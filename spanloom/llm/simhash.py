@@ -66,7 +66,6 @@ class Scheme:
 EXACT_4 = Scheme(4, 42, 1, 4, (Segment(0, 0, 22, 1), Segment(0, 22, 21, 1), Segment(0, 43, 21, 0)))
 
 
-
 #: Words of a fingerprint for near copies, and the share of differing bits that stands for a Jaccard similarity of 0.8:
 #: sets of that similarity have the cosine 2 * 0.8 / 1.8, an angle of 0.151 half turns; 0.009 more for the chance of 384 bits.
 NEAR_WORDS, NEAR_SHARE = 6, 0.16
