@@ -52,7 +52,7 @@ def model_path(name: str = MODEL) -> str:
 
 
 class Pieces(dict):
-    """A vocabulary; as a dict, from a unit of marked text to its ids as decimals joined by commas."""
+    """A vocabulary; as a dict, from a unit of marked text without its first mark to its ids as decimals joined by commas."""
 
     def __init__(self, path: str, check: bool = True):
         import sentencepiece
@@ -75,7 +75,7 @@ class Pieces(dict):
         self.old: dict[str, str] = {}
         self.fine: dict[str, str] = {}
         self.old_fine: dict[str, str] = {}
-        self.fresh: list[tuple[str, str]] = []
+        self.fresh: list[tuple[str, list[int]]] = []
         self._find_cuts()
 
     def _find_cuts(self) -> None:
@@ -88,14 +88,16 @@ class Pieces(dict):
             for a, b in zip(body, body[1:]):
                 if bool(word.match(a)) != bool(word.match(b)):
                     glue.add(a if word.match(a) else b)
-        self.coarse = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if not inner_mark else re.compile(r"(?s).+")
+        self.simple = not inner_mark  # a space always starts a unit
+        self.coarse = re.compile(f"{MARK}+[^{MARK}]*") if not inner_mark else re.compile(r"(?s).+")
         self.glue = re.compile("[" + re.escape("".join(sorted(glue))) + "]") if glue else re.compile(r"(?!)")
         self.runs = re.compile(rf"{MARK}*(?:\w+|[^\w{MARK}]+|$)") if not inner_mark else re.compile(r"(?s).+")
 
     def __missing__(self, unit: str) -> str:
         found = self.old.get(unit)
         if found is None:
-            parts = (unit,) if self.glue.search(unit) else self.runs.findall(unit)
+            marked = MARK + unit
+            parts = (marked,) if self.glue.search(unit) else self.runs.findall(marked)
             found = ",".join([self._part(x) for x in parts if x])
         if len(self) >= KEPT_UNITS:
             self.old = dict(self)
@@ -108,9 +110,10 @@ class Pieces(dict):
         if found is None:
             found = self.old_fine.get(part)
             if found is None:
-                found = ",".join(map(str, self.merge(part)))
+                ids = self.merge(part)
+                found = ",".join(map(str, ids))
                 if self.check:
-                    self.fresh.append((part, found))
+                    self.fresh.append((part, ids))
             if len(self.fine) >= KEPT_UNITS:
                 self.old_fine, self.fine = self.fine, {}
             self.fine[part] = found
@@ -173,9 +176,20 @@ class Pieces(dict):
                 offer(back[i], symbols[back[i]] + pair)
         return [s for s in symbols if s]
 
+    def units(self, text: str) -> list[str]:
+        """The ids of a text's units. Every unit starts with a mark, the first one with that which the model puts there."""
+        if not text:
+            return []
+        if "  " in text or MARK in text or text[-1] == " " or not self.simple:
+            return [self[x[1:]] for x in self.coarse.findall(MARK + text.replace(" ", MARK))]
+        if text[0] == " ":
+            first, _, rest = text[1:].partition(" ")
+            return [self[MARK + first], *(map(self.__getitem__, rest.split(" ")) if _ else ())]
+        return list(map(self.__getitem__, text.split(" ")))
+
     def encode(self, text: str) -> str:
         """The ids of a text as decimals joined by commas."""
-        return ",".join(map(self.__getitem__, self.coarse.findall(MARK + text.replace(" ", MARK)))) if text else ""
+        return ",".join(self.units(text))
 
     def decode(self, ids: str) -> str:
         """The text of ids given as decimals joined by commas."""
@@ -194,7 +208,7 @@ class Pieces(dict):
         theirs = self.library.encode([x[1:].replace(MARK, " ") for x, _ in marked], num_threads=1)
         theirs += [ids[skip:] for ids in self.library.encode(["\n" + x for x, _ in lone], num_threads=1)]
         for (unit, ours), ids in zip(marked + lone, theirs, strict=True):
-            if ",".join(map(str, ids)) != ours:
+            if ids != ours:
                 raise ValueError(f"the library encodes {unit!r} differently")
 
 
