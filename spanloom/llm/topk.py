@@ -57,33 +57,32 @@ def threshold_topk(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, list
     x: the rows' components; lists: for each dimension the row numbers by component,
     ascending; ids ascending.
     """
-    n, dims = x.shape
-    used = np.flatnonzero(q)
-    w = q[used]
-    # The lists read from the preferred end.
-    down = np.where((w > 0)[:, None], lists[used][:, ::-1], lists[used])
+    n = len(x)
+    rising, falling = np.flatnonzero(q > 0), np.flatnonzero(q < 0)  # read from the end, from the start
     seen = ids == own
     best_ids, best = np.empty(0, np.int64), np.empty(0, x.dtype)
     depth, last, scored = START_DEPTH, 0, 0
     while True:
-        depth = min(depth, n)
-        if len(used):
-            met = down[:, last:depth].ravel()
-            fresh = np.unique(met[~seen[met]])
+        # Once most rows have been met, or for a query of zeros, whose rows all score 0, the rest is as soon scored as sought.
+        if not len(rising) + len(falling) or 2 * scored > n or depth >= n:
+            fresh = np.flatnonzero(~seen)
+            got = (x @ q)[fresh]
         else:
-            fresh = np.flatnonzero(~seen)  # a query of zeros: every row scores 0
-        if len(fresh):
-            seen[fresh] = True
-            scored += len(fresh)
+            met = np.zeros(n, bool)
+            met[lists[rising, n - depth : n - last]] = True
+            met[lists[falling, last:depth]] = True
+            fresh = np.flatnonzero(met & ~seen)
             got = x[fresh] @ q
-            keep = got >= bound
-            best_ids, best = np.concatenate((best_ids, ids[fresh[keep]])), np.concatenate((best, got[keep]))
-            if len(best) > k:
-                order = _best_first(best_ids, best)[:k]
-                best_ids, best = best_ids[order], best[order]
-        if depth == n or not len(used):
+        seen[fresh] = True
+        scored += len(fresh)
+        keep = got >= bound
+        best_ids, best = np.concatenate((best_ids, ids[fresh[keep]])), np.concatenate((best, got[keep]))
+        if len(best) > k:
+            order = _best_first(best_ids, best)[:k]
+            best_ids, best = best_ids[order], best[order]
+        if seen.all():
             break
-        threshold = (w * x[down[:, depth - 1], used]).sum()
+        threshold = (q[rising] * x[lists[rising, n - depth], rising]).sum() + (q[falling] * x[lists[falling, depth - 1], falling]).sum()
         if threshold < bound or (len(best) >= k and threshold < best.min()):
             break
         last, depth = depth, depth * 4
