@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,13 @@ from spanloom.functions.types import ENTITIES
 CHUNK_CHARS = 10_000
 
 
-def chunks(text: Column, size: int = CHUNK_CHARS) -> Column:
-    """An array of (index, label, text_offset, text).
+def _with(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def chunk_ends(text: Column, size: int = CHUNK_CHARS) -> Column:
+    """Where chunks end, with a 0 in front.
 
     A chunk ends behind the last blank line that lies wholly inside ``size`` characters
     and past their first quarter, else after ``size`` characters. An empty text has one
@@ -19,27 +26,33 @@ def chunks(text: Column, size: int = CHUNK_CHARS) -> Column:
     """
     if size <= 0:
         raise ValueError("a chunk must have characters")
-    n = F.length(text)
-    steps = F.sequence(F.lit(1), F.greatest(F.ceil(n * 4 / size), F.lit(1)).cast("int") + 1)
-    start = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("ends"))
 
-    def step(acc: Column, _: Column) -> Column:
-        at = acc["at"]
-        window = F.substring(text, at + 1, F.lit(size))
-        behind = F.instr(F.reverse(window), F.lit("\n\n"))  # 1 if the window ends with a blank line
-        blank = F.length(window) - behind - 1  # where the last blank line starts in the window
-        end = F.when(at + size >= n, n).when((behind > 0) & (blank > size // 4), at + blank + 2).otherwise(at + size)
-        return F.when(at >= n, acc).otherwise(F.struct(end.alias("at"), F.concat(acc["ends"], F.array(end)).alias("ends")))
+    def ends(n: Column) -> Column:
+        def end(at: Column, back: Column) -> Column:
+            """``back`` is the window from ``at`` on, reversed: its first blank line is the last one."""
+            blank = lambda behind: F.when((behind > 0) & (F.length(back) - behind - 1 > size // 4), at + F.length(back) - behind + 1).otherwise(at + size)
+            return F.when(at + size >= n, n).otherwise(_with(F.instr(back, F.lit("\n\n")), blank))
+
+        def step(acc: Column, _: Column) -> Column:
+            at = acc["at"]
+            more = _with(F.reverse(F.substring(text, at + 1, F.lit(size))), lambda back: end(at, back))
+            grown = _with(more, lambda e: F.struct(e.alias("at"), F.concat(acc["ends"], F.array(e)).alias("ends")))
+            return F.when(at >= n, acc).otherwise(grown)
+
+        steps = F.sequence(F.lit(1), F.greatest(F.ceil(n * 4 / size), F.lit(1)).cast("int") + 1)
+        start = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("ends"))
+        return F.when(n == 0, F.array(F.lit(0), F.lit(0))).otherwise(F.aggregate(steps, start, step, lambda acc: acc["ends"]))
 
-    ends = F.when(n == 0, F.array(F.lit(0), F.lit(0))).otherwise(F.aggregate(steps, start, step, lambda acc: acc["ends"]))
-    pairs = F.zip_with(F.slice(ends, F.lit(1), F.size(ends) - 1), F.slice(ends, F.lit(2), F.size(ends)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return F.transform(pairs, lambda p, i: F.struct(i.alias("index"), F.concat(F.lit("chunk "), (i + 1).cast("string")).alias("label"), p["a"].alias("text_offset"), F.substring(text, p["a"] + 1, p["b"] - p["a"]).alias("text")))
+    return _with(F.length(text), ends)
 
 
 def explode_chunks(docs: DataFrame, key: str, text_col: str = "text", size: int = CHUNK_CHARS) -> DataFrame:
     """A row a chunk: key, chunk_index, label, text_offset, text. A null text counts as empty."""
-    c = docs.select(key, F.explode(chunks(F.coalesce(F.col(text_col), F.lit("")), size)).alias("c"))
-    return c.select(key, F.col("c.index").alias("chunk_index"), F.col("c.label").alias("label"), F.col("c.text_offset").alias("text_offset"), F.col("c.text").alias("text"))
+    d = docs.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    d = d.withColumn("__ends", chunk_ends(F.col("__text"), size))
+    d = d.select(key, "__text", "__ends", F.posexplode(F.slice("__ends", F.lit(2), F.size("__ends"))).alias("chunk_index", "__end"))
+    start = F.get("__ends", F.col("chunk_index"))
+    return d.select(key, "chunk_index", F.concat(F.lit("chunk "), (F.col("chunk_index") + 1).cast("string")).alias("label"), start.alias("text_offset"), F.substring("__text", start + 1, F.col("__end") - start).alias("text"))
 
 
 def rebased(entities: Column, offset: Column) -> Column:
