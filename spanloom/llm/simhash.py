@@ -15,6 +15,9 @@ many there are. Star links to a few centres of each table entry are merged first
 after that only pairs of different components are looked for, so a large group of
 near copies gives links in proportion to its members, not to its pairs.
 
+Near copies (``keep_one``): fingerprints only find candidates there, by tables keyed by
+several segments each; a pair is linked by the exact Jaccard similarity of its shingles.
+
 Defined cases: null and empty texts, and texts of white space only, have the
 fingerprint zero and are linked like any other. Repeated rows and ties share a
 fingerprint and a component. A null id takes part but is never a component's
@@ -25,6 +28,7 @@ read, so further columns of any name are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass
 from functools import reduce
 from itertools import repeat
@@ -36,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpoint, map_batches, read
+from spanloom.llm.common import checkpoint, map_batches, read, slices
 
 _CHUNK = 1 << 16
 _SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).reshape(-1).view(np.uint64)
@@ -60,31 +64,48 @@ class Scheme:
     distance: int
     segments: tuple[Segment, ...]
     distinct: bool = False  # each shingle counts once, however often it is repeated
+    tables: tuple[tuple[int, ...], ...] = ()  # segments that make up the key of each table, if not each one alone
 
 
 #: 64 bits, 4 differing bits: radii 1, 1, 0 sum to 4 - 3 + 1, so no pair is missed.
 EXACT_4 = Scheme(4, 42, 1, 4, (Segment(0, 0, 22, 1), Segment(0, 22, 21, 1), Segment(0, 43, 21, 0)))
 
 
-#: Words of a fingerprint for near copies, and the share of differing bits that stands for a Jaccard similarity of 0.8:
-#: sets of that similarity have the cosine 2 * 0.8 / 1.8, an angle of 0.151 half turns; 0.009 more for the chance of 384 bits.
-NEAR_WORDS, NEAR_SHARE = 6, 0.16
+#: Bits of a fingerprint for near copies, whatever the number of documents, in words; the least Jaccard similarity, as a fraction.
+NEAR_WORDS, NEAR = 6, (4, 5)
+#: Sets of that similarity have the cosine 2 * 0.8 / 1.8 at least, an angle of 0.1515 half turns: the share of bits that differ.
+NEAR_SHARE = 0.1515
+#: Candidates differ in so many bits of their first words at most: 0.27 of them, so that chance rejects next to none.
+CHECK_WORDS, CHECK_DISTANCE = 3, 52
+#: Of pairs at exactly the least similarity, so many may not be looked at.
+MISSED = 0.001
+
+
+def _missed(tables: int, width: int) -> float:
+    """The chance that a pair at the least similarity agrees in none of the tables, over how many bits differ by chance."""
+    bits, out = 64 * NEAR_WORDS, 0.0
+    for d in range(bits + 1):
+        log = math.lgamma(bits + 1) - math.lgamma(d + 1) - math.lgamma(bits - d + 1) + d * math.log(NEAR_SHARE) + (bits - d) * math.log(1 - NEAR_SHARE)
+        out += math.exp(log) * (1 - (1 - d / bits) ** width) ** tables
+    return out
 
 
 def near_scheme(n: int) -> Scheme:
-    """A scheme for near copies among ``n`` documents: five words, a Jaccard similarity of 0.8 or more.
+    """A scheme to look for near copies among ``n`` documents: five words, a Jaccard similarity of 0.8 or more.
 
-    A segment has 4 bits less than it takes to number the documents, 14 at least, so a
-    table entry holds some 16 of them at most whatever ``n`` is; there are as many segments
-    as it takes for all but 2 of 100 pairs that differ in 14 of 100 bits to agree on one up
-    to a bit.
+    The fingerprint and what is accepted don't depend on ``n``. Only the look-up does: the key of
+    a table is made of several segments, some 4 bits less than it takes to number the documents, 14
+    at least, so that a table entry holds some 32 of them at most by chance; there are as many
+    tables as it takes for all but ``MISSED`` of the pairs at the least similarity to meet in one.
     """
-    width = min(32, max(14, n.bit_length() - 4))
-    hit = 0.86**width + width * 0.14 * 0.86 ** (width - 1)
-    m, a_word = math.ceil(math.log(0.02) / math.log(1 - hit)), 64 // width
-    words = max(NEAR_WORDS, -(-m // a_word))
-    segments = tuple(Segment(i // a_word, i % a_word * width, width, 1) for i in range(m))
-    return Scheme(5, 42, words, round(NEAR_SHARE * 64 * words), segments, distinct=True)
+    width = min(32, max(14, (n.bit_length() - 3) // 2 * 2))
+    tables = 1
+    while _missed(tables, width) > MISSED:
+        tables += 1 + tables // 16
+    segments = tuple(Segment(i // 32, i % 32 * 2, 2, 0) for i in range(32 * NEAR_WORDS))
+    draw = random.Random(width)
+    keys = tuple(tuple(sorted(draw.sample(range(len(segments)), width // 2))) for _ in range(tables))
+    return Scheme(5, 42, NEAR_WORDS, CHECK_DISTANCE, segments, distinct=True, tables=keys)
 
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
@@ -102,11 +123,11 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(len(sums), 64).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str | None, scheme: Scheme = EXACT_4) -> list[int]:
-    """The fingerprint's words as signed 64-bit numbers."""
+def shingle_hashes(text: str | None, scheme: Scheme = EXACT_4) -> np.ndarray:
+    """The hashes of the text's shingles, sorted and each once if the scheme counts them so; none without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return [0] * scheme.words
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -115,16 +136,23 @@ def fingerprint(text: str | None, scheme: Scheme = EXACT_4) -> list[int]:
     cuts = map(slice, starts.tolist(), ends.tolist())
     shingles = map(joined.__getitem__, cuts)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(scheme.seed)), np.uint64, len(starts))
-    if scheme.distinct:
-        hashes = np.unique(hashes)
-    counts = np.zeros((scheme.words, 64), np.int64)
+    return np.unique(hashes) if scheme.distinct else hashes
+
+
+def _majority(hashes: np.ndarray, words: int) -> list[int]:
+    counts = np.zeros((words, 64), np.int64)
     for at in range(0, len(hashes), _CHUNK):
         h = hashes[at : at + _CHUNK]
-        for w in range(scheme.words):
+        for w in range(words):
             counts[w] += _bit_counts(_mix(h, w) if w else h)
     return [int(np.packbits(2 * c > len(hashes), bitorder="little").view(np.int64)[0]) for c in counts]
 
 
+def fingerprint(text: str | None, scheme: Scheme = EXACT_4) -> list[int]:
+    """The fingerprint's words as signed 64-bit numbers."""
+    return _majority(shingle_hashes(text, scheme), scheme.words)
+
+
 def fingerprints(docs: DataFrame, scheme: Scheme = EXACT_4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (array of longs), one row per row of ``docs``."""
 
@@ -255,21 +283,118 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT_4, id_col: str = "do
     return prints.withColumn("node", node(F.col("fp"))).join(ids, "node").select("doc_id", "fp", "component_id")
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have the least Jaccard similarity or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return NEAR[1] * both >= NEAR[0] * (len(a) + len(b) - both) > 0
+
+
+def _sketches(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """id, h, node (a hash of the set of shingles), fp, from id, h and text."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_hashes(x, scheme) for x in batch.column(2).to_pylist()]
+        node = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
+        fp = [_majority(x, scheme.words) for x in sets]
+        return {"id": batch.column(0), "h": batch.column(1), "node": pa.array(node, pa.int64()), "fp": pa.array(fp, pa.list_(pa.int64()))}
+
+    return map_batches(rows, run, "id long, h long, node long, fp array<long>")
+
+
+def _entries(nodes: DataFrame, scheme: Scheme, tables: int) -> DataFrame:
+    """key, node, comp and the words to check, f0 and so on: a row for each of the first ``tables`` tables."""
+    names = [f"f{i}" for i in range(CHECK_WORDS)]
+    chosen = np.array([[64 * scheme.segments[i].word + scheme.segments[i].shift + b for i in t for b in range(scheme.segments[i].width)] for t in scheme.tables[:tables]])
+    powers = 1 << np.arange(chosen.shape[1], dtype=np.int64)
+    numbers = np.arange(len(chosen), dtype=np.int64) << 40
+
+    def run(batch: pa.RecordBatch) -> dict:
+        fp = np.array(batch.column(2).to_pylist(), np.int64).reshape(-1, scheme.words)
+        bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
+        out = {"key": np.stack([bits[:, t] @ powers for t in chosen], axis=1) | numbers}
+        out |= {"node": batch.column(0).to_numpy(), "comp": batch.column(1).to_numpy()} | {x: fp[:, i] for i, x in enumerate(names)}
+        return {x: pa.array(v.reshape(-1) if x == "key" else np.repeat(v, len(chosen)), pa.int64()) for x, v in out.items()}
+
+    return map_batches(nodes.select("node", "comp", "fp"), run, ", ".join(f"{x} long" for x in ["key", "node", "comp", *names]))
+
+
+def _pairs(left: DataFrame, right: DataFrame, scheme: Scheme, which: Column) -> DataFrame:
+    """a, b, comp_a, comp_b of the entries that share a key, are close in the words to check, and fulfil ``which``."""
+    name = lambda d, x: d.select("key", F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"), *[F.col(f"f{i}").alias(f"{x}{i}") for i in range(CHECK_WORDS)])
+    near = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(CHECK_WORDS)]) <= scheme.distance
+    a, b = name(left, "a"), name(right, "b").withColumnRenamed("key", "key_b")
+    return a.join(b, (F.col("key") == F.col("key_b")) & which & near).select("a", "b", "comp_a", "comp_b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """The ``pairs`` of the least Jaccard similarity or more. Sets are made again from the texts of those in a pair only."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = checkpoint(wanted.join(nodes, "node").select("node", "id", "h"))
+    wanted = F.broadcast(wanted) if wanted.count() <= LOCAL_EDGES else wanted
+    # Repeated rows have one text.
+    found = texts.join(wanted, ["id", "h"]).select("node", "text").dropDuplicates(["node"])
+
+    def make(batch: pa.RecordBatch) -> dict:
+        return {"node": batch.column(0), "hashes": pa.array([shingle_hashes(x, scheme).tobytes() for x in batch.column(1).to_pylist()], pa.binary())}
+
+    sets = checkpoint(map_batches(found, make, "node long, hashes binary"))
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"of_{x}"))
+    # Each pair is compared where the set of its a is; a frequent b is on the side that can be split.
+    joined = pairs.join(of("b"), "b").join(of("a"), "a").select("comp_a", "comp_b", "of_a", "of_b")
+
+    def compare(batches):
+        for batch in slices(batches):
+            x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(i).to_pylist()] for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(list(map(alike, x, y)), pa.bool_()))
+
+    return joined.mapInArrow(compare, "comp_a long, comp_b long").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+
+
+_STAR_TABLES = 8
+
+
+def _near_groups(nodes: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """node, root: the components of the pairs that meet in a table and have the least similarity.
+
+    At first each node is held against one centre only, so that a large group is one component
+    before the others, pairs of different components, are looked for in all tables.
+    """
+    some = _entries(nodes.withColumn("comp", F.col("node")), scheme, _STAR_TABLES)
+    centre = F.min(F.struct(F.xxhash64("node").alias("rank"), "node", "comp", *[f"f{i}" for i in range(CHECK_WORDS)])).alias("c")
+    centres = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), centre).where("n > 1").select("key", "c.*")
+    stars = _pairs(some, centres, scheme, F.col("a") != F.col("b"))
+    stars = stars.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("rank"), "b")).alias("c")).select("a", "c.b", F.col("a").alias("comp_a"), F.col("c.b").alias("comp_b"))
+    first = components(_verified(checkpoint(stars), nodes, texts, scheme))
+
+    labelled = checkpoint(nodes.join(first, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("comp")))
+    entries = _entries(labelled, scheme, len(scheme.tables))
+    others = checkpoint(_pairs(entries, entries, scheme, (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))).distinct())
+    second = components(_verified(others, nodes, texts, scheme))
+    up = second.select(F.col("node").alias("comp"), F.col("root").alias("top"))
+    return labelled.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("root"))
+
+
 def keep_one(docs: DataFrame, scheme: Scheme | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row of least id, and of rows that repeat an id one.
 
-    A row without an id is placed by a hash of its text, which is less than any id.
+    Fingerprints only find candidates; a pair is linked if the exact Jaccard similarity of the
+    hashes of its shingles is 0.8 or more. A row without an id is placed by a hash of its text,
+    which is less than any id.
     """
     scheme = scheme or near_scheme(docs.count())
     own = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col).bitwiseOR(F.lit(-(1 << 63)))).alias(_ROW_ID)
-    rows = docs.select(own, *docs.columns)
-    kept = near_duplicates(rows.select(_ROW_ID, text_col), scheme, _ROW_ID, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(_ROW_ID)).distinct()
+    rows = docs.select(own, F.xxhash64(text_col).alias(_ROW_HASH), *docs.columns)
+    texts = rows.select(F.col(_ROW_ID).alias("id"), F.col(_ROW_HASH).alias("h"), F.col(text_col).alias("text"))
+    prints = checkpoint(_sketches(texts, scheme))
+    nodes = checkpoint(prints.groupBy("node").agg(F.min(F.struct("id", "h", "fp")).alias("least")).select("node", "least.*"))
+    roots = _near_groups(nodes, texts, scheme)
+    kept = nodes.select("node", "id").join(roots, "node").groupBy("root").agg(F.min("id").alias(_ROW_ID)).select(_ROW_ID).distinct()
     first = W.partitionBy(_ROW_ID).orderBy(text_col)
     one = rows.join(kept, _ROW_ID).withColumn(_ROW_NO, F.row_number().over(first)).where(F.col(_ROW_NO) == 1)
     return one.select(*docs.columns)
 
 
-_ROW_ID, _ROW_NO = "__row_id", "__row_no"
+_ROW_ID, _ROW_HASH, _ROW_NO = "__row_id", "__row_hash", "__row_no"
 
 
 def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

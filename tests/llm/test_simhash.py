@@ -151,3 +151,21 @@ def test_schemes_fit_their_words(n):
     assert all(x.shift + x.width <= 64 and x.word < s.words for x in s.segments)
     used = [(x.word, b) for x in s.segments for b in range(x.shift, x.shift + x.width)]
     assert len(used) == len(set(used))
+
+
+def pair_of(rng, common, own):
+    """Two texts whose sets of 5-word shingles have ``common`` hashes in common and ``own`` for each alone."""
+    base = words(rng, common + 4)
+    return [" ".join(base + words(rng, own)) for _ in range(2)]
+
+
+def test_exact_similarity_decides(spark):
+    """Pairs just below a similarity of 0.8 stay, pairs at it and above go, whatever chance does to their fingerprints."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(0, 480, 2):  # 240 / 300 is 0.8, 240 / 304 is 0.789
+        a, b = pair_of(rng, 240, 30 if i % 4 else 32)
+        rows += [(i, a, "en", "s", 0), (i + 1, b, "en", "s", 0)]
+    ids = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, DOCUMENTS)).collect()}
+    assert {i for i in range(480) if i % 2 == 0 or i % 4 == 1} <= ids
+    assert len([i for i in ids if i % 4 == 3]) <= 1
