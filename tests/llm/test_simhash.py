@@ -169,3 +169,16 @@ def test_exact_similarity_decides(spark):
     ids = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, DOCUMENTS)).collect()}
     assert {i for i in range(480) if i % 2 == 0 or i % 4 == 1} <= ids
     assert len([i for i in ids if i % 4 == 3]) <= 1
+
+
+@pytest.mark.parametrize("n", [10, 10**5, 10**6, 10**7, 10**9])
+def test_size_changes_only_the_look_up(n):
+    """The same fingerprint and limit for every size, and pairs at a similarity of 0.8 meet in a table."""
+    s, small = S.near_scheme(n), S.near_scheme(0)
+    assert (s.words, s.distance, s.segments) == (small.words, small.distance, small.segments)
+    rng, missed = np.random.default_rng(n), 0
+    bits = [[64 * s.segments[i].word + s.segments[i].shift + b for i in t for b in range(s.segments[i].width)] for t in s.tables]
+    for _ in range(2000):  # in 0.1515 of the bits they differ
+        differ = rng.random(64 * s.words) < 0.1515
+        missed += bool(differ[np.array(bits)].any(axis=1).all())
+    assert missed <= 8
