@@ -6,8 +6,8 @@ nothing to them but repeats a document as often as the mix takes it, the last en
 
 Defined cases: a text that is null, empty or without a letter goes in the language stage
 at the latest. Null languages and labels teach nothing, a null source is a source of its
-own, a null id is told apart by its text. Rows that repeat an id are one document in the
-near-duplicates stage. Further columns are passed on as they are. Empty tables give none.
+own, a null id is told apart by its text. Rows that repeat an id are told apart by
+their texts in the near-duplicates stage. Further columns are passed on as they are. Empty tables give none.
 """
 
 from __future__ import annotations

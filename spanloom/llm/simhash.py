@@ -375,7 +375,9 @@ def _near_groups(nodes: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFram
 
 
 def keep_one(docs: DataFrame, scheme: Scheme | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row of least id, and of rows that repeat an id one.
+    """The rows of ``docs`` without near copies: of each component the row of least id and hash of its text.
+
+    Rows that repeat an id are told apart by their texts; of those that repeat both one is left.
 
     Fingerprints only find candidates; a pair is linked if the exact Jaccard similarity of the
     hashes of its shingles is 0.8 or more. A row without an id is placed by a hash of its text,
@@ -388,9 +390,9 @@ def keep_one(docs: DataFrame, scheme: Scheme | None = None, id_col: str = "doc_i
     prints = checkpoint(_sketches(texts, scheme))
     nodes = checkpoint(prints.groupBy("node").agg(F.min(F.struct("id", "h", "fp")).alias("least")).select("node", "least.*"))
     roots = _near_groups(nodes, texts, scheme)
-    kept = nodes.select("node", "id").join(roots, "node").groupBy("root").agg(F.min("id").alias(_ROW_ID)).select(_ROW_ID).distinct()
-    first = W.partitionBy(_ROW_ID).orderBy(text_col)
-    one = rows.join(kept, _ROW_ID).withColumn(_ROW_NO, F.row_number().over(first)).where(F.col(_ROW_NO) == 1)
+    kept = nodes.select("node", "id", "h").join(roots, "node").groupBy("root").agg(F.min(F.struct("id", "h")).alias("least")).select(F.col("least.id").alias(_ROW_ID), F.col("least.h").alias(_ROW_HASH))
+    first = W.partitionBy(_ROW_ID, _ROW_HASH).orderBy(text_col)
+    one = rows.join(kept, [_ROW_ID, _ROW_HASH]).withColumn(_ROW_NO, F.row_number().over(first)).where(F.col(_ROW_NO) == 1)
     return one.select(*docs.columns)
 
 

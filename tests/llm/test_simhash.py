@@ -182,3 +182,11 @@ def test_size_changes_only_the_look_up(n):
         differ = rng.random(64 * s.words) < 0.1515
         missed += bool(differ[np.array(bits)].any(axis=1).all())
     assert missed <= 8
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(4, a, "en", "s", 0), (5, a, "en", "s", 0), (5, b, "en", "s", 0), (5, c, "en", "s", 0), (5, c, "en", "s", 0)]
+    kept = S.keep_one(spark.createDataFrame(rows, DOCUMENTS)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(4, a), (5, b), (5, c)])
