@@ -15,9 +15,9 @@ The language of least total code length is predicted; the score is its share whe
 language weighs 2 to the power of minus its mean code length a byte, sharpened, so 0.5
 means that another language codes the text just as well.
 
-Training: whole texts of a sample of ``SAMPLE_DOCS`` documents a language at most, those
-with the smallest hash of their id, as many as fit in ``SAMPLE_BYTES``. The sample is the
-only bounded part; every text is scored whole.
+Training: the texts of a sample of ``SAMPLE_DOCS`` documents a language at most, those
+with the smallest hash of their id, up to ``SAMPLE_BYTES`` together; the text that goes
+beyond is cut there. The sample is the only bounded part; every text is scored whole.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0. If nothing
 can be learned (no language, or an empty table) every text is ``und``. Ties go to the
@@ -62,17 +62,19 @@ def sample(docs: DataFrame, may_learn: Column, lang_col: str = "lang", text_col:
     """The texts to learn each language from. The ids are chosen first, so that no text is shuffled."""
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
-    sizes = rows.select("lang", "h", F.octet_length("text").alias("size")).where(F.col("size").between(1, SAMPLE_BYTES))
+    sizes = rows.select("lang", "h", F.octet_length("text").alias("size")).where("size > 0")
     # First inside salted parts of a language, so that a frequent one isn't ordered in one task.
     part = W.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h")
     chosen = sizes.distinct().withColumn("n", F.row_number().over(part)).where(F.col("n") <= -(-4 * SAMPLE_DOCS // SALTS))
     chosen = chosen.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= SAMPLE_DOCS)
-    chosen = chosen.withColumn("upto", F.sum("size").over(W.partitionBy("lang").orderBy("n"))).where(F.col("upto") <= SAMPLE_BYTES)
+    room = F.lit(SAMPLE_BYTES) - F.sum("size").over(W.partitionBy("lang").orderBy("n")) + F.col("size")
+    chosen = chosen.withColumn("room", room).where("room > 0").withColumn("take", F.least("room", "size").cast("int"))
     # So many at most as SAMPLE_DOCS a language.
-    ids = docs.sparkSession.createDataFrame(chosen.select("lang", "h").collect(), "lang string, h long")
+    ids = docs.sparkSession.createDataFrame(chosen.select("lang", "h", "take").collect(), "lang string, h long, take int")
     found: dict[str, dict[int, bytes]] = {}
-    for r in rows.join(F.broadcast(ids), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect():
-        found.setdefault(r.lang, {})[r.h] = r.text.encode()
+    part_of = F.substring(F.col("text").cast("binary"), F.lit(1), F.col("take")).alias("part")
+    for r in rows.join(F.broadcast(ids), ["lang", "h"]).select("lang", "h", part_of).groupBy("lang", "h").agg(F.min("part").alias("part")).collect():
+        found.setdefault(r.lang, {})[r.h] = bytes(r.part)
     return {lang: [t[h] for h in sorted(t)] for lang, t in found.items()}
 
 

@@ -66,3 +66,15 @@ def test_languages_of_held_out_rows_are_not_learned(spark, table):
     rows = [(i, "zebra zoo", "zz", "s", 9) for i in held] + [(i, "apple pie", "aa", "s", 9) for i in free]
     got = L.op3_language(spark, table("documents", rows, DOCUMENTS)).collect()
     assert {r.lang_pred for r in got} == {"aa"}
+
+
+def test_long_texts_are_learned_up_to_the_bound(spark, monkeypatch):
+    """A language of long texts only, and one whose first text is long, fill their samples."""
+    from oddrows import DOCUMENTS
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(L, "SAMPLE_BYTES", 1000)
+    rows = [(i, "zebra zoo " * 200, "zz", "s", 9) for i in range(3)] + [(i, "apple pie " * (90 if i % 2 else 1), "aa", "s", 9) for i in range(10, 60)]
+    got = L.sample(spark.createDataFrame(rows, DOCUMENTS), F.lit(True))
+    assert {lang: sum(map(len, x)) for lang, x in got.items()} == {"aa": 1000, "zz": 1000}
+    assert got["zz"] == [("zebra zoo " * 100).encode()]
