@@ -75,8 +75,8 @@ EXACT_4 = Scheme(4, 42, 1, 4, (Segment(0, 0, 22, 1), Segment(0, 22, 21, 1), Segm
 NEAR_WORDS, NEAR = 6, (4, 5)
 #: Sets of that similarity have the cosine 2 * 0.8 / 1.8 at least, an angle of 0.1515 half turns: the share of bits that differ.
 NEAR_SHARE = 0.1515
-#: Candidates differ in so many bits of their first words at most: 0.27 of them, so that chance rejects next to none.
-CHECK_WORDS, CHECK_DISTANCE = 3, 52
+#: Candidates differ in so many of all bits at most, 0.24 of them, and in so many of their first words', 0.3 of them: chance rejects next to none.
+NEAR_DISTANCE, CHECK_WORDS, CHECK_DISTANCE = 92, 2, 38
 #: Of pairs at exactly the least similarity, so many may not be looked at.
 MISSED = 0.001
 
@@ -105,7 +105,7 @@ def near_scheme(n: int) -> Scheme:
     segments = tuple(Segment(i // 32, i % 32 * 2, 2, 0) for i in range(32 * NEAR_WORDS))
     draw = random.Random(width)
     keys = tuple(tuple(sorted(draw.sample(range(len(segments)), width // 2))) for _ in range(tables))
-    return Scheme(5, 42, NEAR_WORDS, CHECK_DISTANCE, segments, distinct=True, tables=keys)
+    return Scheme(5, 42, NEAR_WORDS, NEAR_DISTANCE, segments, distinct=True, tables=keys)
 
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
@@ -290,15 +290,15 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sketches(rows: DataFrame, scheme: Scheme) -> DataFrame:
-    """id, h, node (a hash of the set of shingles), fp, from id, h and text."""
+    """id, h, node (a hash of the set of shingles), fp, size (of the set), from id, h and text."""
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [shingle_hashes(x, scheme) for x in batch.column(2).to_pylist()]
         node = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
         fp = [_majority(x, scheme.words) for x in sets]
-        return {"id": batch.column(0), "h": batch.column(1), "node": pa.array(node, pa.int64()), "fp": pa.array(fp, pa.list_(pa.int64()))}
+        return {"id": batch.column(0), "h": batch.column(1), "node": pa.array(node, pa.int64()), "fp": pa.array(fp, pa.list_(pa.int64())), "size": pa.array(map(len, sets), pa.int64())}
 
-    return map_batches(rows, run, "id long, h long, node long, fp array<long>")
+    return map_batches(rows, run, "id long, h long, node long, fp array<long>, size long")
 
 
 def _entries(nodes: DataFrame, scheme: Scheme, tables: int) -> DataFrame:
@@ -318,12 +318,20 @@ def _entries(nodes: DataFrame, scheme: Scheme, tables: int) -> DataFrame:
     return map_batches(nodes.select("node", "comp", "fp"), run, ", ".join(f"{x} long" for x in ["key", "node", "comp", *names]))
 
 
-def _pairs(left: DataFrame, right: DataFrame, scheme: Scheme, which: Column) -> DataFrame:
-    """a, b, comp_a, comp_b of the entries that share a key, are close in the words to check, and fulfil ``which``."""
+def _differ(words: int) -> Column:
+    """How many bits of a0 and so on differ from those of b0 and so on."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(words)])
+
+
+def _pairs(left: DataFrame, right: DataFrame, nodes: DataFrame, scheme: Scheme, which: Column) -> DataFrame:
+    """a, b, comp_a, comp_b of the entries that share a key, fulfil ``which`` and may have the least similarity."""
     name = lambda d, x: d.select("key", F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"), *[F.col(f"f{i}").alias(f"{x}{i}") for i in range(CHECK_WORDS)])
-    near = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(CHECK_WORDS)]) <= scheme.distance
     a, b = name(left, "a"), name(right, "b").withColumnRenamed("key", "key_b")
-    return a.join(b, (F.col("key") == F.col("key_b")) & which & near).select("a", "b", "comp_a", "comp_b")
+    found = a.join(b, (F.col("key") == F.col("key_b")) & which & (_differ(CHECK_WORDS) <= CHECK_DISTANCE)).select("a", "b", "comp_a", "comp_b").distinct()
+    whole = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), *[F.col("fp")[i].alias(f"{x}{i}") for i in range(scheme.words)])
+    # The similarity is the smaller size over the larger one at most.
+    sizes = F.least("size_a", "size_b") * NEAR[1] >= F.greatest("size_a", "size_b") * NEAR[0]
+    return found.join(whole("a"), "a").join(whole("b"), "b").where(sizes & (_differ(scheme.words) <= scheme.distance)).select("a", "b", "comp_a", "comp_b")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
@@ -362,13 +370,13 @@ def _near_groups(nodes: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFram
     some = _entries(nodes.withColumn("comp", F.col("node")), scheme, _STAR_TABLES)
     centre = F.min(F.struct(F.xxhash64("node").alias("rank"), "node", "comp", *[f"f{i}" for i in range(CHECK_WORDS)])).alias("c")
     centres = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), centre).where("n > 1").select("key", "c.*")
-    stars = _pairs(some, centres, scheme, F.col("a") != F.col("b"))
+    stars = _pairs(some, centres, nodes, scheme, F.col("a") != F.col("b"))
     stars = stars.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("rank"), "b")).alias("c")).select("a", "c.b", F.col("a").alias("comp_a"), F.col("c.b").alias("comp_b"))
     first = components(_verified(checkpoint(stars), nodes, texts, scheme))
 
     labelled = checkpoint(nodes.join(first, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("comp")))
     entries = _entries(labelled, scheme, len(scheme.tables))
-    others = checkpoint(_pairs(entries, entries, scheme, (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))).distinct())
+    others = checkpoint(_pairs(entries, entries, nodes, scheme, (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))))
     second = components(_verified(others, nodes, texts, scheme))
     up = second.select(F.col("node").alias("comp"), F.col("root").alias("top"))
     return labelled.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("root"))
@@ -388,7 +396,7 @@ def keep_one(docs: DataFrame, scheme: Scheme | None = None, id_col: str = "doc_i
     rows = docs.select(own, F.xxhash64(text_col).alias(_ROW_HASH), *docs.columns)
     texts = rows.select(F.col(_ROW_ID).alias("id"), F.col(_ROW_HASH).alias("h"), F.col(text_col).alias("text"))
     prints = checkpoint(_sketches(texts, scheme))
-    nodes = checkpoint(prints.groupBy("node").agg(F.min(F.struct("id", "h", "fp")).alias("least")).select("node", "least.*"))
+    nodes = checkpoint(prints.groupBy("node").agg(F.min(F.struct("id", "h", "fp", "size")).alias("least")).select("node", "least.*"))
     roots = _near_groups(nodes, texts, scheme)
     kept = nodes.select("node", "id", "h").join(roots, "node").groupBy("root").agg(F.min(F.struct("id", "h")).alias("least")).select(F.col("least.id").alias(_ROW_ID), F.col("least.h").alias(_ROW_HASH))
     first = W.partitionBy(_ROW_ID, _ROW_HASH).orderBy(text_col)
