@@ -1,32 +1,37 @@
-"""Main text of web pages by markup and by a host's repeated token runs.
+"""Main text of web pages by markup and by a suffix array of each host's pages.
 
 A page becomes blocks of visible text. Markup decides a block if it stands in a menu,
-header, footer, sidebar, notice, advert, form or comment section (it goes), or in the
-page's article (it stays; its main element if it has no article). For all that stands outside the article, or anywhere on a page
-without one, the tokens of the page run on as one stream. The streams of a host are
-indexed by a suffix array cut at depth ``RUN``: all suffixes are dealt out by host and by
-their first ``RUN`` tokens, so equal prefixes meet wherever their pages are. A prefix that
-distinct pages share makes its ``RUN`` tokens covered; longer repeated runs are the union
-of such prefixes. A block most of whose tokens are covered is boilerplate, the rest, the
-unique runs, stay.
-
-Scale: no task gets a host. Prefixes are counted with partial aggregation (least and
-greatest stream), so a line that stands on every page of a large host costs one row a
-task; only repeated prefixes are joined back, on the prefix, to the places that have them.
+header, footer, sidebar, notice, advert, form or comment section (it goes). What markup
+leaves is judged by repetition on the page's host:
+
+* Outside the page's article (its main element if it has no article), or anywhere on a page
+  without one, the tokens run on as one stream. The streams of a host are concatenated and
+  their suffixes sorted by their first ``RUN`` tokens; neighbours that agree on these on
+  distinct pages are a repeated run, longer ones are the union of such. Runs on two pages
+  and a tenth of the host's pages are cut out of the blocks, unique runs stay. On a page
+  with an article they stay only if they are more than the article itself.
+* Inside the article a block goes only if all of it stands on ``MOST_PAGES`` pages and
+  ``MOST`` of the host's pages, as articles share passages.
+
+Scale: no task gets a host. The pages that are worked on at once have one suffix array a
+host, which gives one row for each distinct prefix; rows of equal host and prefix meet in
+the shuffle, with partial aggregation before it, so a line that stands on every page of a
+large host costs a row a task. Only repeated prefixes are joined back to their places, and
+the places to their pages: by broadcast up to ``BROADCAST_PAGES``, else by a merge join.
 
 Defined cases: null html counts as empty; a page without blocks has the empty text.
 A null url has the host "". Streams that are equal as a whole count as one page, so
 mirrored or repeated pages don't remove each other. White space is what Unicode calls so,
 no-break space included; ``br`` is white space inside a block. Markup that is never closed
-ends with its parent. Columns beside page_id, url and html are not read.
+ends with its parent, but an unclosed script or style with the page. Content that stands in
+for an object, a canvas, a video or an audio is text. An element whose class marks it as a
+sidebar or the like is none if it holds an article. Columns beside page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +42,19 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import checkpoint, map_batches, read
 
 RUN = 6
+#: A block so covered keeps none of its unique runs shorter than ``RUN``.
 COVERED = 0.8
+#: The share of a host's pages, and the number of pages, on which a run outside an article and a block inside one are boilerplate.
+SOME, SOME_PAGES = 0.1, 2
+MOST, MOST_PAGES = 0.5, 8
+#: So many pages with repeated runs, some 100 bytes each, are broadcast.
+BROADCAST_PAGES = 20_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose content is never text of the page.
-RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|audio|video|title|select"
-DROPPED = frozenset("head nav footer aside form button dialog menu search datalist".split())
+RAW = "script|style|textarea|title"
+DROPPED = frozenset("head nav footer aside form button dialog menu search datalist noscript template svg math iframe select textarea title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar status".split())
 #: Parts of class names and ids that mark what isn't the article.
 MARKS = frozenset(
@@ -55,7 +66,8 @@ MARKS = frozenset(
 HOLDERS = frozenset(("html", "body", "main"))
 ARTICLE_MARKS = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
 
-_TOKEN = re.compile(rf"(?is)<!--.*?(?:-->|$)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:/>|>.*?(?:</\1\s*>|$))|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|([^<]+|<)")
+_TAG_REST = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
+_TOKEN = re.compile(rf"(?is)<!--.*?(?:-->|$)|<({RAW})\b{_TAG_REST}(?:/>|>.*?</\1\s*>)|<(?:script|style)\b{_TAG_REST}>.*|<(/?)([a-z][^\s/>]*)({_TAG_REST})>|<[!?][^>]*>|([^<]+|<)")
 _ATTRIBUTE = re.compile(r"(?s)([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -65,22 +77,29 @@ def host_of(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
-def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
+#: How an element is dropped: not, unless it holds an article, or whatever it holds.
+KEPT, UNLESS_ARTICLE, GONE = range(3)
+
+
+def _dropped(tag: str, attributes: str, in_article: bool) -> int:
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return GONE
+    out = KEPT
     if not attributes.strip() or tag in HOLDERS:
-        return False
+        return out
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
         if name in ("class", "id"):
             marks = (ARTICLE_MARKS if tag == "article" else MARKS).intersection(re.split(r"[^a-z0-9]+", value))
-            if marks - {"header"} or marks and not in_article or "hidden" in value.split():
-                return True
+            if "hidden" in value.split() or marks & ARTICLE_MARKS:
+                return GONE
+            if marks - {"header"} or marks and not in_article:
+                out = UNLESS_ARTICLE
         if name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return GONE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return GONE
+    return out
 
 
 #: How surely an element holds the article; the surest of a page decide.
@@ -91,15 +110,15 @@ def blocks(page: str | None) -> list[tuple[str, int, bool]]:
     """The page's blocks in order: text, the level of what it stands in, dropped by its markup."""
     out: list[tuple[str, int, bool]] = []
     held: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, level, dropped
-    level, gone = 0, False
+    stack: list[tuple[str, int, int]] = []  # tag, level, how it is dropped
+    level, gone = 0, KEPT
 
     def flush() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((text, level, gone))
+                out.append((text, level, gone > KEPT))
 
     for m in _TOKEN.finditer(page or ""):
         text = m.group(5)
@@ -124,7 +143,7 @@ def blocks(page: str | None) -> list[tuple[str, int, bool]]:
             else:
                 i = -1
             if i >= 0:
-                before = stack[i - 1][1:] if i else (0, False)
+                before = stack[i - 1][1:] if i else (0, KEPT)
                 if before != (level, gone):
                     flush()
                 del stack[i:]
@@ -133,14 +152,16 @@ def blocks(page: str | None) -> list[tuple[str, int, bool]]:
                 stack.pop()  # a paragraph ends where a block begins
             elif tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
                 stack.pop()
-            _, was, was_gone = stack[-1] if stack else ("", 0, False)
-            drop = was_gone or _dropped(tag, m.group(4), was > 0)
-            if drop and not was_gone:
+            _, was, was_gone = stack[-1] if stack else ("", 0, KEPT)
+            drop = _dropped(tag, m.group(4), was > 0)
+            if not (was_gone == UNLESS_ARTICLE and tag in LEVELS):
+                drop = max(drop, was_gone)
+            if drop != was_gone:
                 flush()
             stack.append((tag, max(was, 0 if drop else LEVELS.get(tag, 0)), drop))
         else:
             continue
-        _, level, gone = stack[-1] if stack else ("", 0, False)
+        _, level, gone = stack[-1] if stack else ("", 0, KEPT)
     flush()
     return out
 
@@ -149,32 +170,79 @@ def top_level(found: list[tuple[str, int, bool]]) -> int:
     return max((level for _, level, gone in found if not gone), default=0)
 
 
-def stream(found: list[tuple[str, int, bool]]) -> list[list[str]]:
-    """The tokens, by block, of what markup leaves to repetition; none for blocks of the article."""
+def outside(found: list[tuple[str, int, bool]]) -> list[list[str]]:
+    """The tokens, by block, that markup leaves and that don't stand in the article."""
     top = top_level(found)
-    return [[] if top and level == top and not gone else text.split() for text, level, gone in found]
+    return [[] if gone or top and level == top else text.split() for text, level, gone in found]
 
 
-def prefixes(tokens: list[str]) -> list[int]:
-    """A hash of the first ``RUN`` tokens of each suffix that is so long; of the whole stream if none is."""
-    n = max(1, len(tokens) - RUN + 1) if tokens else 0
-    return [xxhash.xxh64_intdigest("\x1f".join(tokens[i : i + RUN])) - (1 << 63) for i in range(n)]
+def _hash(tokens: list[str]) -> np.ndarray:
+    known: dict[str, int] = {}
+    return np.fromiter((known.get(t) or known.setdefault(t, xxhash.xxh64_intdigest(t)) for t in tokens), np.uint64, len(tokens))
+
+
+def _mixed(hashes: list[np.ndarray]) -> np.ndarray:
+    """One hash of the hashes that stand at each place, in order."""
+    out = np.zeros(len(hashes[0]), np.uint64)
+    for h in hashes:
+        out = (out ^ h) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
 
 
-def keep(found: list[tuple[str, int, bool]], starts: list[int]) -> str:
-    """The page's text, given where its repeated prefixes start."""
-    parts, top = stream(found), top_level(found)
-    sizes = [len(p) for p in parts]
-    covered = np.zeros(sum(sizes) + RUN, bool)
-    for s in starts:
-        covered[s : s + RUN] = True
-    out, at = [], 0
-    for (text, level, gone), size in zip(found, sizes):
-        repeated = size > 0 and covered[at : at + size].sum() >= COVERED * size
-        at += size
-        if not gone and level == top and not repeated:
-            out.append(text)
-    return "\n".join(out)
+def suffix_array(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of the concatenated streams, sorted by their first ``RUN`` tokens: stream, start, prefix (a hash), and whether LCP with the one before is less.
+
+    Only suffixes of ``RUN`` tokens take part; a shorter stream takes part as a whole. Ranks of
+    one token are doubled to 2 and 4 and combined to 6.
+    """
+    sizes = np.fromiter(map(len, streams), np.int64, len(streams))
+    ends = np.cumsum(sizes + RUN)
+    flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
+    owner = np.repeat(np.arange(len(streams)), sizes + RUN)
+    start = np.arange(len(flat)) - (ends - sizes - RUN)[owner]
+    for s, end, size in zip(streams, ends, sizes):
+        flat[end - size - RUN : end - RUN] = s  # behind each stream are RUN blanks
+    rank = np.unique(flat, return_inverse=True)[1]
+    shifted = lambda r, n: np.concatenate((r[n:], np.zeros(n, r.dtype)))[: len(r)]
+    pairs = lambda a, b: np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+    two = pairs(rank, shifted(rank, 1))
+    six = pairs(pairs(two, shifted(two, 2)), shifted(two, 4))
+    whole = np.flatnonzero((start <= np.maximum(sizes - RUN, 0)[owner]) & (sizes > 0)[owner])
+    order = whole[np.argsort(six[whole], kind="stable")]
+    prefix = _mixed([shifted(flat, j) for j in range(RUN)])[order].view(np.int64) if len(flat) else np.empty(0, np.int64)
+    first = np.ones(len(order), bool)
+    first[1:] = six[order][1:] != six[order][:-1]
+    return owner[order], start[order], prefix, first
+
+
+def keep(found: list[tuple[str, int, bool]], places: list[tuple[int, int]]) -> str:
+    """The page's text, given the places that other pages of the host share (see ``streams``) and on how many pages."""
+    many = dict(places)
+    pages = many.get(HOST, 0)
+    parts, top = outside(found), top_level(found)
+    covered = np.zeros(sum(map(len, parts)) + RUN, bool)
+    for place, n in places:
+        if place >= 0 and n >= max(SOME_PAGES, SOME * pages):
+            covered[place : place + RUN] = True
+    out, at, inside, beside = [], 0, 0, 0
+    for i, ((text, level, gone), tokens) in enumerate(zip(found, parts)):
+        if tokens:
+            runs = _unique(tokens, covered[at : at + len(tokens)])
+            at += len(tokens)
+            beside += sum(map(len, runs))
+            out.append((not top, " ".join(t for r in runs for t in r)))
+        elif not gone and many.get(HOST - 1 - i, 0) < max(MOST_PAGES, MOST * pages):
+            inside += len(text.split())
+            out.append((True, text))
+    return "\n".join(text for sure, text in out if text and (sure or beside > inside))
+
+
+def _unique(tokens: list[str], covered: np.ndarray) -> list[list[str]]:
+    """The block's runs of tokens that aren't covered."""
+    edges = np.flatnonzero(np.diff(covered, prepend=True, append=True))
+    runs = [tokens[a:b] for a, b in zip(edges[::2], edges[1::2])]
+    return runs if covered.sum() < COVERED * len(tokens) else [r for r in runs if len(r) >= RUN]
 
 
 def _key() -> Column:
@@ -182,41 +250,76 @@ def _key() -> Column:
     return F.xxhash64("page_id", "url", "html").alias("key")
 
 
+#: The place of a page's host as such; blocks of the article follow, downwards.
+HOST = -1
+
+
 def streams(pages: DataFrame) -> DataFrame:
-    """key, host, suffixes (hashes of their prefixes), stream (a hash of the whole)."""
+    """Rows of two kinds: a page's key, host, places and prefixes; a host's prefix with the number of pages that have it and two streams of theirs, lo and hi.
 
-    def rows(batch: pa.RecordBatch) -> dict:
-        tokens = [[t for part in stream(blocks(x)) for t in part] for x in batch.column(2).to_pylist()]
-        whole = [xxhash.xxh64_intdigest("\x1f".join(t)) - (1 << 63) for t in tokens]
-        hosts = map(host_of, batch.column(1).to_pylist())
-        return {"key": batch.column(0), "host": pa.array(hosts, pa.string()), "suffixes": pa.array(map(prefixes, tokens), pa.list_(pa.int64())), "stream": pa.array(whole, pa.int64())}
+    A place is where a suffix starts in the page's stream, ``HOST``, or ``HOST`` - 1 - i for
+    block i of the article as a whole.
+    """
 
-    return map_batches(pages.select(_key(), "url", "html"), rows, "key long, host string, suffixes array<long>, stream long")
+    def rows(batch: pa.RecordBatch) -> dict:
+        found = [blocks(x) for x in batch.column(2).to_pylist()]
+        hosts = list(map(host_of, batch.column(1).to_pylist()))
+        tokens = [_hash([t for part in outside(f) for t in part]) for f in found]
+        tops = [top_level(f) for f in found]
+        inner = [[(HOST - 1 - i, text) for i, (text, level, gone) in enumerate(f) if top and level == top and not gone] for f, top in zip(found, tops)]
+        places = [[HOST, *(i for i, _ in x)] for x in inner]
+        prefixes = [[0, *(xxhash.xxh64_intdigest(text, 1) - (1 << 63) for _, text in x)] for x in inner]
+        whole = [xxhash.xxh64_intdigest(t.tobytes() + b"|".join(str(p).encode() for p in ps)) - (1 << 63) for t, ps in zip(tokens, prefixes)]
+        counted: list[tuple[str, int, int, int, int]] = []
+        for host in dict.fromkeys(hosts):
+            mine = [i for i, h in enumerate(hosts) if h == host]
+            seen: dict[int, set[int]] = {}
+            for i in mine:
+                for p in prefixes[i]:
+                    seen.setdefault(p, set()).add(i)
+            owner, start, prefix, first = suffix_array([tokens[i] for i in mine])
+            edges = [*np.flatnonzero(first).tolist(), len(first)]
+            for a, b in zip(edges, edges[1:]):
+                seen[int(prefix[a])] = {mine[o] for o in owner[a:b].tolist()}
+            for o, at, p in zip(owner.tolist(), start.tolist(), prefix.tolist()):
+                places[mine[o]].append(at)
+                prefixes[mine[o]].append(p)
+            counted += [(host, p, len(of), min(whole[i] for i in of), max(whole[i] for i in of)) for p, of in seen.items()]
+        n, m = len(found), len(counted)
+        both = lambda mine, theirs, kind: pa.array([*mine, *theirs], kind)
+        column = lambda i, kind: both([None] * n, [c[i] for c in counted], kind)
+        return {
+            "key": both(batch.column(0).to_pylist(), [None] * m, pa.int64()), "host": both(hosts, [c[0] for c in counted], pa.string()),
+            "places": both(places, [None] * m, pa.list_(pa.int32())), "prefixes": both(prefixes, [None] * m, pa.list_(pa.int64())),
+            "prefix": column(1, pa.int64()), "n": column(2, pa.int64()), "lo": column(3, pa.int64()), "hi": column(4, pa.int64()),
+        }
+
+    return map_batches(pages.select(_key(), "url", "html"), rows, "key long, host string, places array<int>, prefixes array<long>, prefix long, n long, lo long, hi long")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """key, starts: where prefixes start that distinct streams of the host share. From ``streams``."""
-    suffixes = found.select("key", "host", "stream", F.posexplode("suffixes").alias("start", "prefix"))
-    shared = suffixes.groupBy("host", "prefix").agg(F.min("stream").alias("a"), F.max("stream").alias("b")).where("a <> b").select("host", "prefix")
-    return suffixes.join(shared, ["host", "prefix"]).groupBy("key").agg(F.collect_set("start").alias("starts"))
+    """key, places (with n, the pages that share it): what distinct streams of the page's host share. From ``streams``."""
+    counted = found.where("key is null").groupBy("host", "prefix").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    shared = counted.where("lo <> hi").select("host", "prefix", "n")
+    at = found.where("key is not null").select("key", "host", F.explode(F.arrays_zip("places", "prefixes")).alias("x")).select("key", "host", "x.*").withColumnRenamed("prefixes", "prefix")
+    return at.join(shared, ["host", "prefix"]).groupBy("key").agg(F.collect_set(F.struct(F.col("places").alias("place"), "n")).alias("places"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_repeated (prefixes of its stream that other pages of the host have)."""
 
-    def pack(batch: pa.RecordBatch) -> dict:
-        packed = [zlib.compress(json.dumps(blocks(x), ensure_ascii=False).encode(), 1) for x in batch.column(3).to_pylist()]
-        return {"key": batch.column(0), "page_id": batch.column(1), "url": batch.column(2), "packed": pa.array(packed, pa.binary())}
-
     def finish(batch: pa.RecordBatch) -> dict:
-        starts = [x or [] for x in batch.column(3).to_pylist()]
-        text = [keep(json.loads(zlib.decompress(x)), s) for x, s in zip(batch.column(2).to_pylist(), starts)]
-        return {"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64()), "n_repeated": pa.array(map(len, starts), pa.int64())}
-
-    # Pages are parsed twice, which costs less than keeping their text until the repeats are known.
-    starts = repeated(checkpoint(streams(pages)))
-    packed = map_batches(pages.select(_key(), F.col("page_id").cast("long").alias("page_id"), "url", "html"), pack, "key long, page_id long, url string, packed binary")
-    joined = packed.join(starts, "key", "left").select("page_id", "url", "packed", "starts")
+        places = [[(p["place"], p["n"]) for p in x or []] for x in batch.column(3).to_pylist()]
+        text = [keep(blocks(x), s) for x, s in zip(batch.column(2).to_pylist(), places)]
+        runs = [sum(place >= 0 for place, _ in s) for s in places]
+        return {"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64()), "n_repeated": pa.array(runs, pa.int64())}
+
+    # Pages are parsed twice, which costs less than keeping their text until the repeats are known. Without a run or block among them, the host's own place says nothing.
+    found = repeated(checkpoint(streams(pages))).where(F.size("places") > 1)
+    found = checkpoint(found)
+    found = F.broadcast(found) if found.count() <= BROADCAST_PAGES else found
+    rows = pages.select(_key(), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    joined = rows.join(found, "key", "left").select("page_id", "url", "html", "places")
     return map_batches(joined, finish, "page_id long, url string, text string, n_chars long, n_repeated long")
 
 

@@ -5,8 +5,8 @@ from spanloom.llm import webtext as X
 PAGES = "page_id long, url string, html string"
 
 
-def text(html, starts=()):
-    return X.keep(X.blocks(html), list(starts))
+def text(html, places=()):
+    return X.keep(X.blocks(html), list(places))
 
 
 @pytest.mark.parametrize(
@@ -31,6 +31,15 @@ def text(html, starts=()):
         ("<main><p>links</p><article><p>a</p></article></main>", "a"),
         ("<article class='post overflow-hidden'><div class='post-header'>h</div><p>a</p></article><article class='comment'>c</article>", "h\na"),
         ("<p>a <span class='ad'>x</span> b</p>", "a\nb"),
+        ("<article><p>a</p><svg/><p>b</p></article>", "a\nb"),
+        ("<article><p>a</p><iframe src=x /><p>b</p></article>", "a\nb"),
+        ("<article><p>a</p><p><select><option>x</p><p>b</p></article>", "a\nb"),
+        ("<article><svg><text>x</text><path/></svg><object><p>in place of it</p></object><canvas>c</canvas></article>", "in place of it\nc"),
+        ("<article>a<textarea>x <p>y</textarea>b<noscript>n</noscript></article>", "ab"),
+        ("<title>t<body><p>x", ""),
+        ("<p>a<script>while (1) '<p>b'", "a"),
+        ("<div class='has-sidebar'><p>x</p><article><p>a</p></article></div>", "a"),
+        ("<div class='content-sidebar-wrap'><div class='related'><article>r</article></div><main>a</main></div>", "a"),
     ],
 )
 def test_blocks(html, want):
@@ -58,6 +67,50 @@ def test_repeated_runs_go_where_markup_says_nothing(spark, table):
     assert "Subscribe" in got[10].text  # on its host it stands once
 
 
+def own(i, n=20):
+    return " ".join(f"w{i}x{j}" for j in range(n))
+
+
+def test_covered_runs_are_cut_and_unique_ones_stay(spark, table):
+    """Runs inside one block: the repeated part goes, what is before and behind it stays."""
+    rows = [page(i, f"<div>{own(i)} please read our terms of use first {own(100 + i)}</div>") for i in range(5)]
+    got = run(spark, table, rows)
+    assert all(got[i].text == f"{own(i)} {own(100 + i)}" for i in range(5))
+
+
+def test_the_array_decides(spark, table, monkeypatch):
+    """Without repeats, pages with and without an article have other texts."""
+    notice = "<p>Tell your friends about this site now please</p>"
+    rows = [page(i, f"<article>{notice}<p>{own(i)}</p></article>") for i in range(10)]
+    rows += [page(20 + i, f"<div>All the news of this town</div><div>{own(20 + i)}</div>", "other.example") for i in range(3)]
+    got = {i: r.text for i, r in run(spark, table, rows).items()}
+    assert got == {i: own(i) for i in [*range(10), 20, 21, 22]}
+    monkeypatch.setattr(X, "repeated", lambda found: found.where("false").selectExpr("key", "cast(null as array<struct<place:int,n:bigint>>) as places"))
+    without = {i: r.text for i, r in run(spark, table, rows).items()}
+    assert all(without[i] != got[i] for i in got)
+
+
+def test_text_beside_a_small_article(spark, table):
+    rows = [page(i, f"<div>All the news of this town</div><article><p>one card</p></article><div>{own(i)}</div>") for i in range(3)]
+    assert {i: r.text for i, r in run(spark, table, rows).items()} == {i: f"one card\n{own(i)}" for i in range(3)}
+
+
+def test_suffix_array_against_sorted_suffixes():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    streams = [rng.integers(1, 3, n).astype(np.uint64) for n in (0, 1, 5, 6, 7, 30, 30, 6)]
+    owner, start, prefix, first = X.suffix_array(streams)
+    want = sorted((tuple(s[i : i + X.RUN].tolist()), k, i) for k, s in enumerate(streams) if len(s) for i in range(max(1, len(s) - X.RUN + 1)))
+    groups, hashes = {}, {}
+    for k, i, p in zip(owner.tolist(), start.tolist(), prefix.tolist()):
+        run_ = tuple(streams[k][i : i + X.RUN].tolist())
+        groups.setdefault(run_, []).append((k, i))
+        hashes.setdefault(run_, set()).add(p)
+    assert sorted((r, k, i) for r, of in groups.items() for k, i in of) == want
+    assert all(len(h) == 1 for h in hashes.values()) and first.sum() == len(groups)
+
+
 def test_repeats_inside_an_article_stay(spark, table):
     rows = [page(i, f"<article><p>the same long passage stands in every one of these articles</p><p>{i}</p></article>") for i in range(4)]
     assert all(r.text.startswith("the same long") for r in run(spark, table, rows).values())
