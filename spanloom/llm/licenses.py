@@ -2,16 +2,19 @@
 
 A text becomes its words, lower-cased and joined by single spaces, so that a signature is
 a regular expression over words whatever the punctuation and line breaks were. A rule has
-an order (its priority), a label, a keyword and a regular expression; the expression is
-run only on texts that hold the keyword, and rules are looked at only in texts that hold
-one of a few words that every keyword's context needs. Rules come from a table of license
-names and a table of phrases, and from a list of notices.
+an order (its priority), a label, two keywords and a regular expression; the expression is
+run only on texts that hold both keywords, and keywords are looked for only in texts that
+hold one of a few words that every signature needs. Rules are grouped by their first
+keyword. They come from a list of notices, and from a table of license names and a table
+of phrases around a name.
 
-Detections are resolved in one sweep from the left: a detection inside a kept one goes;
-of two that overlap otherwise the one of higher priority stays.
+Detections are resolved by priority: in order of the rules, one is kept if no kept one
+overlaps it, or in place of the kept ones that it holds if it overlaps no others. So of two
+that overlap the one of higher priority stays, but one inside another goes.
 
 Scale: all of it is row-local, without a shuffle; a text costs its length, and a text that
-passes the prefilter its length times the rules whose keyword it holds.
+passes the prefilter its length times the rules whose keywords it holds. Only detections of
+one run of overlapping ones are held against each other.
 
 Defined cases: a null or empty text has no words and no labels, and score 0. A text that
 repeats a phrase counts all its places. Repeated rows, ties and empty tables need nothing.
@@ -20,6 +23,7 @@ Only the id and text columns are read.
 
 from __future__ import annotations
 
+import json
 import string
 from functools import reduce
 
@@ -37,9 +41,9 @@ NAMES = (
     ("mit", " expat ", r"expat"),
     ("x11", " x11 ", r"x11"),
     ("mit-0", " mit 0 ", r"mit 0"),
-    ("apache-1.1", " apache ", r"apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
-    ("apache-2", " apache ", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("apache", " apache ", r"apache(?: software)?"),
+    ("apache-1.1", " apache", r"apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
+    ("apache-2", " apache", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
+    ("apache", " apache", r"apache(?: software)?"),
     ("gpl-1", " gnu general ", r"gnu general public license(?: version| v)? ?1"),
     ("gpl-2", " gnu general ", r"gnu general public license(?: version| v)? ?2(?: 0)?"),
     ("gpl-3", " gnu general ", r"gnu general public license(?: version| v)? ?3(?: 0)?"),
@@ -54,7 +58,8 @@ NAMES = (
     ("agpl-3", " affero ", r"gnu affero general public license(?: version| v)? ?3?(?: 0)?"),
     ("agpl-3", " agpl", r"(?:gnu )?agpl ?(?:version |v )?v?3?(?: 0)?"),
     ("gfdl", " gnu free ", r"gnu free documentation(?: license)?(?: version)?(?: 1 [123])?"),
-    ("bsd-2-clause", " bsd ", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", " bsd ", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)"),
+    ("bsd-2-clause", " freebsd ", r"freebsd"),
     ("bsd-3-clause", " bsd ", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", " bsd ", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("bsd", " bsd ", r"bsd"),
@@ -89,19 +94,71 @@ NAMES = (
     ("ofl-1.1", " open font ", r"(?:sil )?open font license(?: version)?(?: 1 1)?"),
     ("odbl-1", " open database ", r"open database license(?: version| v)?(?: 1 0)?"),
     ("odc-by-1", " open data commons ", r"open data commons attribution(?: license)?(?: v?1 0)?"),
+    ("pddl-1", " public domain dedication ", r"(?:open data commons )?public domain dedication(?: and)? license(?: 1 0)?"),
+    ("0bsd", " 0bsd ", r"0bsd"),
+    ("0bsd", " zero clause ", r"(?:bsd zero clause|zero clause bsd)"),
+    ("bsd-3-clause-clear", " clear bsd ", r"(?:bsd 3 clause )?clear bsd"),
+    ("afl-3", " academic free ", r"academic free license(?: version| v)?(?: [123](?: [012])?)?"),
+    ("osl-3", " open software ", r"open software license(?: version| v)?(?: [123](?: [01])?)?"),
+    ("ecl-2", " educational community ", r"educational community license(?: version| v)?(?: 2(?: 0)?)?"),
+    ("ncsa", " ncsa ", r"(?:university of illinois )?ncsa(?: open source)?"),
+    ("upl-1", " universal permissive ", r"universal permissive license(?: version| v)?(?: 1(?: 0)?)?"),
+    ("cpl-1", " common public license ", r"common public license(?: version| v)?(?: 1(?: 0)?)?"),
+    ("ipl-1", " ibm public ", r"ibm public license(?: version| v)?(?: 1(?: 0)?)?"),
+    ("apsl-2", " apple public ", r"apple public source license(?: version| v)?(?: [12](?: [0-2])?)?"),
+    ("ms-rl", " microsoft reciprocal ", r"microsoft reciprocal"),
+    ("qpl-1", " q public ", r"q public license(?: version| v)?(?: 1(?: 0)?)?"),
+    ("npl-1.1", " netscape public ", r"netscape public license(?: version| v)?(?: 1(?: [01])?)?"),
+    ("php-3", " php license ", r"php license(?: version| v)?(?: 3(?: 01?)?)?"),
+    ("zpl-2", " zope public ", r"zope public license(?: version| v)?(?: [12](?: [01])?)?"),
+    ("openssl", " openssl ", r"openssl(?: ssleay)?"),
+    ("ruby", " ruby ", r"ruby"),
+    ("vim", " vim ", r"vim"),
+    ("tcl-tk", " tcl ", r"tcl(?: tk)?"),
+    ("curl", " curl ", r"curl"),
+    ("libpng-2", " libpng ", r"libpng(?: 2(?: 0)?)?"),
+    ("icu", " icu ", r"icu"),
+    ("unicode-dfs", " unicode ", r"unicode(?: inc| dfs)?(?: 201[56])?"),
+    ("ijg", " independent jpeg group ", r"independent jpeg group"),
+    ("bittorrent", " bittorrent ", r"bittorrent open source"),
+    ("beerware", " beerware ", r"beerware"),
+    ("beerware", " beer ware ", r"beer ware"),
+    ("json", " json ", r"json"),
+    ("w3c", " w3c ", r"w3c(?: software(?: notice)?(?: and)?)?"),
+    ("sleepycat", " sleepycat ", r"sleepycat"),
+    ("eupl-1.2", " eupl ", r"eupl(?: version| v)?(?: 1 [0-2])?"),
+    ("cecill-2.1", " cecill ", r"cecill(?: [abc])?(?: version| v)?(?: [12](?: [01])?)?"),
+    ("mulan-2", " mulan", r"mulan(?: psl| permissive software)?(?: version| v)?(?: ?2)?"),
+    ("sspl-1", " server side public ", r"server side public license(?: version| v)?(?: 1)?"),
+    ("busl-1.1", " business source ", r"business source license(?: version| v)?(?: 1 1)?"),
+    ("elastic-2", " elastic", r"elastic(?: license)? ?2(?: 0)?"),
+    ("polyform-nc", " polyform ", r"polyform (?:noncommercial|non commercial)(?: 1 0 0)?"),
+    ("blueoak-1", " blue oak ", r"blue oak model(?: license)?(?: 1 0 0)?"),
+    ("openrail", " openrail ", r"(?:bigscience |creativeml )?openrail(?: m)?"),
+    ("llama-community", " llama ", r"llama(?: [23])?(?: [123])? community"),
+    ("gemma", " gemma ", r"gemma"),
+    ("lppl-1.3", " latex project ", r"latex project public license(?: version| v)?(?: 1 [0-3]c?)?"),
+    ("artistic-1", " artistic ", r"artistic(?: license)?(?: 1(?: 0)?)?"),
+    ("ogl-uk-3", " open government ", r"open government licen[cs]e(?: version| v)?(?: ?[123](?: 0)?)?"),
+    ("cdla-permissive-2", " community data ", r"community data license agreement(?: permissive)?(?: version| v)?(?: 2(?: 0)?)?"),
+    ("fair", " fair license ", r"fair license"),
+    ("naumen", " naumen ", r"naumen public"),
+    ("ofl-1.1", " ofl ", r"(?:sil )?ofl(?: version| v)?(?: 1 1)?"),
 )
 
-#: Phrases around a name, those that say most first.
+#: A string that the phrase needs, and phrases around a name, those that say most first.
 PHRASES = (
-    r"spdx license identifier {}(?: only| or later)?",
-    r"licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?",
-    r"released under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?",
-    r"distributed under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?",
-    r"(?:available|provided|published) under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?",
-    r"(?:governed by|subject to|covered by) (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?",
-    r"under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?",
-    r"{} licen[cs]e",
-    r"licen[cs]e {}",
+    (" spdx license identifier ", r"spdx license identifier {}(?: only| or later)?"),
+    ("ed under ", r"licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?"),
+    (" released under ", r"released under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?"),
+    (" distributed under ", r"distributed under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?"),
+    (" under ", r"(?:available|provided|published) under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?"),
+    (" governed by ", r"governed by (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?"),
+    (" subject to ", r"subject to (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?"),
+    (" covered by ", r"covered by (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?"),
+    (" under ", r"under (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?"),
+    (" licen", r"{} licen[cs]e"),
+    (" licen", r"licen[cs]e {}"),
 )
 
 #: label, keyword, signature of notices that name no license.
@@ -128,19 +185,86 @@ NOTICES = (
     ("public-domain", " public domain ", r"(?:released (?:in)?to|placed in|dedicated to|in) the public domain"),
     ("all-rights-reserved", " all rights reserved ", r"all rights reserved"),
     ("proprietary", " proprietary ", r"(?:confidential and proprietary|proprietary and confidential)"),
+    ("mit", " above copyright notice and this permission notice ", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", " mit license ", r"see (?:the )?license(?: txt| md)? (?:file )?for the mit license"),
+    ("mit", " opensource org licenses ", r"opensource org licenses mit(?: license)?(?: php)?"),
+    ("bsd-2-clause", " opensource org licenses ", r"opensource org licenses bsd 2 clause"),
+    ("bsd-3-clause", " opensource org licenses ", r"opensource org licenses bsd 3 clause"),
+    ("bsd", " opensource org licenses ", r"opensource org licenses bsd license php"),
+    ("isc", " opensource org licenses ", r"opensource org licenses isc(?: license)?"),
+    ("apache-2", " opensource org licenses ", r"opensource org licenses apache 2 0"),
+    ("bsd", " redistributions of source code ", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", " redistributions in binary form ", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", " neither the name ", r"neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors may be used"),
+    ("bsd-4-clause", " advertising materials mentioning ", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2", " in compliance with the license ", r"you may not use this file except in compliance with the license you may obtain a copy of the license"),
+    ("apache-2", " limitations under the license ", r"see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-1.1", " apache software foundation ", r"this product includes software developed by the apache software foundation"),
+    ("gpl", " gnu org licenses ", r"gnu org licenses gpl(?: [23] 0)?(?: html| txt)?"),
+    ("lgpl", " gnu org licenses ", r"gnu org licenses lgpl(?: [23] [01])?(?: html| txt)?"),
+    ("agpl-3", " gnu org licenses ", r"gnu org licenses agpl(?: 3 0)?(?: html| txt)?"),
+    ("gfdl", " gnu org licenses ", r"gnu org licenses fdl(?: 1 [123])?(?: html| txt)?"),
+    ("gpl", " gnu general public license ", r"you should have received a copy of the gnu general public license"),
+    ("lgpl", " gnu lesser general public license ", r"you should have received a copy of the gnu lesser general public license"),
+    ("agpl-3", " gnu affero general public license ", r"you should have received a copy of the gnu affero general public license"),
+    ("gpl-2-only", " gnu general public license version 2 ", r"the gnu general public license version 2 only"),
+    ("gpl-classpath", " classpath ", r"(?:with the )?(?:gnu )?classpath exception"),
+    ("mpl-2", " mozilla public ", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl-2", " eclipse org legal ", r"eclipse org legal epl 2 0"),
+    ("epl-1", " eclipse org legal ", r"eclipse org legal epl v10(?: html)?"),
+    ("cc-by-nd", " creativecommons org ", r"creativecommons org licenses by nd [1-4] [05]"),
+    ("cc-by-nc-sa", " creativecommons org ", r"creativecommons org licenses by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", " creativecommons org ", r"creativecommons org licenses by nc nd [1-4] [05]"),
+    ("cc-pdm", " creativecommons org ", r"creativecommons org publicdomain mark 1 0"),
+    ("cc0", " waived all copyright ", r"(?:has|have) waived all copyright and related or neighboring rights"),
+    ("unlicense", " unlicense org ", r"unlicense org"),
+    ("wtfpl", " wtfpl net ", r"wtfpl net"),
+    ("zlib", " provided as is without any express ", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", " altered source versions ", r"altered source versions must be plainly marked as such"),
+    ("boost-1", " boost software license ", r"distributed under the boost software license version 1 0 see accompanying file"),
+    ("ofl-1.1", " scripts sil org ofl ", r"scripts sil org ofl"),
+    ("odbl-1", " opendatacommons org ", r"opendatacommons org licenses odbl(?: 1 0)?"),
+    ("odc-by-1", " opendatacommons org ", r"opendatacommons org licenses by(?: 1 0)?"),
+    ("pddl-1", " opendatacommons org ", r"opendatacommons org licenses pddl(?: 1 0)?"),
+    ("beerware", " buy me a beer ", r"you can buy me a beer in return"),
+    ("json", " used for good not evil ", r"the software shall be used for good not evil"),
+    ("openssl", " openssl project for use ", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ijg", " independent jpeg ", r"based in part on the work of the independent jpeg group"),
+    ("postgresql", " without a written agreement ", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement"),
+    ("hpnd", " without fee is hereby granted ", r"distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted"),
+    ("sspl-1", " making the program available ", r"making the program available as a service"),
+    ("busl-1.1", " change license ", r"change license (?:apache|gpl|mpl)"),
+    ("non-commercial", " non commercial ", r"for (?:personal and )?non commercial use only"),
+    ("non-commercial", " noncommercial ", r"for (?:personal and )?noncommercial use only"),
+    ("research-only", " research purposes only ", r"for (?:academic |academic and )?research purposes only"),
+    ("no-redistribution", " may not be reproduced ", r"(?:this|the) (?:[^ ]+ ){1,4}may not be reproduced(?: or distributed)? without(?: prior)?(?: written)? permission"),
 )
 
 #: No rule can match a text without one of these.
-GATES = ("licen", "spdx", " under ", " governed ", " subject ", " covered ", " cc ", "permi", "distribut", "endorse", "origin", "domain", " option ", " org ", " fuck ", "reserved", "proprietary")
+GATES = (
+    "licen", "spdx", " cc by nc ", " under ", " governed by ", " subject to ", " covered by ", "permi", "distribut", "endorse", " origin ", "domain", " option ", " org ", " fuck ", "reserved", "proprietary",
+    "copyright", "conditions", "advertising materials ", " classpath ", " wtfpl net ", "warranty", " plainly marked ", " me a beer ", " good not evil ", "this product includes ", " jpeg group ", " without fee ",
+    " as a service ", " use only ", " purposes only ", " nor the names of ",
+)
 
 _BEFORE, _BEHIND = "(?<= )", "(?= )"
 
 
-def rules() -> list[tuple[int, str, str, str]]:
-    """order, label, keyword, regular expression."""
-    sure = [(label, f" {phrase} ", phrase) for phrase, label in BASE]
-    named = [(label, word, phrase.format(name)) for phrase in PHRASES for label, word, name in NAMES]
-    return [(i, label, word, f"{_BEFORE}{signature}{_BEHIND}") for i, (label, word, signature) in enumerate([*sure, *NOTICES, *named])]
+def rules() -> list[tuple[int, str, str, str, str]]:
+    """order, label, keyword, second keyword, regular expression."""
+    sure = [(label, f" {phrase} ", "", phrase) for phrase, label in BASE]
+    notices = [(label, word, "", signature) for label, word, signature in NOTICES]
+    named = [(label, word, other, phrase.format(name)) for other, phrase in PHRASES for label, word, name in NAMES]
+    return [(i, label, word, other, f"{_BEFORE}{signature}{_BEHIND}") for i, (label, word, other, signature) in enumerate([*sure, *notices, *named])]
+
+
+def _rule_table() -> Column:
+    """The rules by first keyword, as one constant: an array of (word, rules)."""
+    groups: dict[str, list[dict]] = {}
+    for i, label, word, other, signature in rules():
+        groups.setdefault(word, []).append({"ord": i, "label": label, "other": other, "re": signature})
+    table = json.dumps([{"word": w, "rules": r} for w, r in groups.items()])
+    return F.from_json(F.lit(table), "array<struct<word:string,rules:array<struct<ord:int,label:string,other:string,re:string>>>>")
 
 
 def joined_words(text: Column) -> Column:
@@ -173,20 +297,31 @@ _DETECTION = "struct<start:int,far:int,ord:int,label:string>"
 
 
 def resolved(detections: Column) -> Column:
-    """What stays of an array of (start, far: minus the end, ord, label), in order of start."""
-    kept = F.array().cast(f"array<{_DETECTION}>")
-
-    def step(acc: Column, d: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        apart = (F.size(acc) == 0) | (d["start"] > -last["far"])
-        inside = d["far"] >= last["far"]
-        return (
-            F.when(apart, F.concat(acc, F.array(d)))
-            .when(inside | (d["ord"] > last["ord"]), acc)
-            .otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(d)))
+    """What stays of an array of (start, far: minus the end, ord, label)."""
+    one, many = f"array<{_DETECTION}>", f"struct<far:int,open:array<{_DETECTION}>,done:array<{_DETECTION}>>"
+    overlaps = lambda x, d: (x["start"] <= -d["far"]) & (d["start"] <= -x["far"])
+
+    def best(run: Column) -> Column:
+        """Of detections that overlap one another, by priority."""
+
+        def step(kept: Column, d: Column) -> Column:
+            over = F.filter(kept, lambda x: overlaps(x, d))
+            held = F.forall(over, lambda x: (x["start"] >= d["start"]) & (x["far"] >= d["far"]))
+            return F.when(held, F.concat(F.filter(kept, lambda x: ~overlaps(x, d)), F.array(d))).otherwise(kept)
+
+        by_rank = F.array_sort(run, lambda x, y: F.coalesce(F.nullif(x["ord"] - y["ord"], F.lit(0)), x["start"] - y["start"]))
+        return F.when(F.size(run) < 2, run).otherwise(F.aggregate(by_rank, F.array().cast(one), step))
+
+    def sweep(acc: Column, d: Column) -> Column:
+        """Runs of overlapping detections, from the left; far is the end of the one that is open."""
+        apart = d["start"] > acc["far"]
+        far = F.greatest(acc["far"], -d["far"])
+        return F.when(apart, F.struct((-d["far"]).alias("far"), F.array(d).alias("open"), F.concat(acc["done"], best(acc["open"])).alias("done"))).otherwise(
+            F.struct(far.alias("far"), F.concat(acc["open"], F.array(d)).alias("open"), acc["done"].alias("done"))
         )
 
-    return F.aggregate(F.array_sort(detections), kept, step)
+    start = F.struct(F.lit(-1).alias("far"), F.array().cast(one).alias("open"), F.array().cast(one).alias("done")).cast(many)
+    return F.aggregate(F.array_sort(detections), start, sweep, lambda acc: F.concat(acc["done"], best(acc["open"])))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,13 +338,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         found = F.transform(at, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit(label).alias("label")))  # noqa: B023
         base.append(F.when(F.contains(joined, F.lit(f" {phrase} ")), found).otherwise(none_base))
 
-    table = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(label).alias("label"), F.lit(word).alias("word"), F.lit(re).alias("re")) for i, label, word, re in rules()])
-
     def detections(rule: Column) -> Column:
         return F.transform(places(joined, rule["re"]), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("far"), rule["ord"].alias("ord"), rule["label"].alias("label")))
 
+    def of_group(group: Column) -> Column:
+        return F.flatten(F.transform(F.filter(group["rules"], lambda r: F.contains(joined, r["other"])), detections))
+
     gate = reduce(lambda a, b: a | b, [F.contains(joined, F.lit(g)) for g in GATES])
-    found = F.flatten(F.transform(F.filter(table, lambda r: F.contains(joined, r["word"])), detections))
+    found = F.flatten(F.transform(F.filter(_rule_table(), lambda g: F.contains(joined, g["word"])), of_group))
     none = F.array().cast(f"array<{_DETECTION}>")
     return d.select("doc_id", "n_words", F.concat(*base).alias("base"), F.when(gate, resolved(found)).otherwise(none).alias("detections"))
 
