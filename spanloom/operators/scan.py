@@ -1,8 +1,8 @@
 """Scan of texts by a bank of regular expressions, in one pass over Arrow batches.
 
 A pattern is tried on a text only if the text holds one of the strings that each of its
-matches must hold; those strings are read off the parsed expression. Most patterns are
-thus decided by a substring search.
+matches must hold; those strings are read off the parsed expression. One automaton looks
+for the strings of all patterns at once, so most patterns are decided by one pass.
 """
 
 from __future__ import annotations
@@ -18,6 +18,11 @@ from re import _parser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+try:
+    import ahocorasick
+except ImportError:  # then each string is looked for by itself
+    ahocorasick = None
+
 from spanloom.catalog import Pattern, Rule
 
 #: Letters outside ASCII that some ASCII letter equals when case is ignored.
@@ -65,38 +70,78 @@ def _options(items: list) -> set[str] | None:
 class Bank:
     """Compiled patterns and rules; made once a worker."""
 
-    patterns: tuple[tuple[int, Pattern, re.Pattern, tuple[str, ...] | None], ...]
-    rules: tuple[tuple[int, Rule, re.Pattern, tuple[str, ...] | None], ...]
+    patterns: tuple[tuple[int, Pattern, re.Pattern], ...]
+    rules: tuple[tuple[int, Rule, re.Pattern], ...]
+    #: Whether each of them, patterns first, is tried on every text.
+    always: bytes
+    #: The strings with the numbers of those that need one of them, the short ones apart.
+    short: tuple[tuple[str, tuple[int, ...]], ...]
+    long: object
+
+    def tried(self, low: str) -> bytearray:
+        """Whether each is to be tried on a text, given in lower case."""
+        out = bytearray(self.always)
+        for x, of in self.short:
+            if x in low:
+                for i in of:
+                    out[i] = 1
+        for of in {of for _, of in self.long.iter(low)} if ahocorasick else (of for x, of in self.long if x in low):
+            for i in of:
+                out[i] = 1
+        return out
 
 
 @lru_cache(maxsize=16)
 def compiled(patterns: tuple[Pattern, ...], rules: tuple[Rule, ...]) -> Bank:
-    literal = lambda x: None if (n := needed(x)) is None else tuple(sorted(n))
+    strings = [needed(p.regex) for p in patterns] + [needed(r.regex) if r.flags & re.IGNORECASE else None for r in rules]
+    of: dict[str, list[int]] = {}
+    for i, found in enumerate(strings):
+        for x in found or ():
+            of.setdefault(x, []).append(i)
+    # A string of one character is in most texts, often many times.
+    short = tuple((x, tuple(n)) for x, n in sorted(of.items()) if len(x) < 2)
+    long = [(x, tuple(n)) for x, n in sorted(of.items()) if len(x) > 1]
+    if ahocorasick:
+        automaton = ahocorasick.Automaton()
+        for x, n in long:
+            automaton.add_word(x, n)
+        automaton.make_automaton()
+        if not long:  # an automaton without words can't be asked
+            automaton.add_word("\0\0", ())
+            automaton.make_automaton()
+        long = automaton
     return Bank(
-        tuple((i, p, re.compile(p.regex, re.IGNORECASE), literal(p.regex)) for i, p in enumerate(patterns)),
-        tuple((i, r, re.compile(r.regex, r.flags), literal(r.regex) if r.flags & re.IGNORECASE else None) for i, r in enumerate(rules)),
-    )
+        tuple((i, p, re.compile(p.regex, re.IGNORECASE)) for i, p in enumerate(patterns)),
+        tuple((i, r, re.compile(r.regex, r.flags)) for i, r in enumerate(rules)),
+        bytes(x is None for x in strings), short, long,
+    )
 
 
 def find(text: str, bank: Bank, least: float, context_boost: float = 0.0, context_window: int = 40) -> tuple[list[dict], list[dict]]:
     """The spans of at least the least score, and the rules' hits."""
-    low = text.lower()
-    every = bool(_FOLDED.search(text))
+    spans, hits = _find(text, bank, least, context_boost, context_window)
+    return [dict(zip(_SPAN.names, x)) for x in spans], [dict(zip(_HIT.names, x)) for x in hits]
+
+
+def _find(text: str, bank: Bank, least: float, context_boost: float = 0.0, context_window: int = 40) -> tuple[list[tuple], list[tuple]]:
+    """The same as tuples, with the fields of ``_SPAN`` and ``_HIT`` in order."""
+    tried = b"\1" * len(bank.always) if _FOLDED.search(text) else bank.tried(text.lower())
     near = lambda a, b, w, words: any(x.lower() in text[max(0, a - w) : b + w].lower() for x in words)
-    spans, hits = [], []
-    for i, p, regex, literals in bank.patterns:
-        if literals is None or every or any(x in low for x in literals):
+    spans, hits, n = [], [], len(bank.patterns)
+    for (i, p, regex), wanted in zip(bank.patterns, tried):
+        if wanted:
             for m in regex.finditer(text):
-                if m.end() > m.start():
-                    score = min(1.0, p.score + context_boost) if context_boost and near(m.start(), m.end(), context_window, p.context) else p.score
+                a, b = m.span()
+                if b > a:
+                    score = min(1.0, p.score + context_boost) if context_boost and near(a, b, context_window, p.context) else p.score
                     if score >= least:
-                        spans.append({"start": m.start(), "end": m.end(), "category": p.category, "confidence": score, "ord": i, "layer": p.layer})
-    for i, r, regex, literals in bank.rules:
-        if literals is None or every or any(x in low for x in literals):
+                        spans.append((a, b, p.category, score, i, p.layer))
+    for (i, r, regex), wanted in zip(bank.rules, tried[n:]):
+        if wanted:
             for m in regex.finditer(text):
-                there = near(m.start(), m.end(), r.window, r.context)
-                confidence = min(1.0, r.confidence + r.boost) if there else r.confidence
-                hits.append({"ord": i, "start": m.start(), "end": m.end(), "rule": r.id, "category": r.category, "group": r.group, "confidence": confidence, "context": there, "boost_only": r.boost_only})
+                a, b = m.span()
+                there = near(a, b, r.window, r.context)
+                hits.append((i, a, b, r.id, r.category, r.group, min(1.0, r.confidence + r.boost) if there else r.confidence, there, r.boost_only))
     return spans, hits
 
 
@@ -104,6 +149,29 @@ _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("category", pa.s
 _HIT = pa.struct([("ord", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("rule", pa.string()), ("category", pa.string()), ("group", pa.string()), ("confidence", pa.float64()), ("context", pa.bool_()), ("boost_only", pa.bool_())])
 
 
+#: Texts of one Arrow batch that are worked on at once.
+ROWS = 512
+
+
+def _lists(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
+    """An array of lists of structs, from flat columns."""
+    flat = [x for row in rows for x in row]
+    offsets = [0]
+    for row in rows:
+        offsets.append(offsets[-1] + len(row))
+    columns = zip(*flat) if flat else [()] * kind.num_fields
+    fields = [pa.array(c, f.type) for c, f in zip(columns, kind)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(kind)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as there are cores if it has fewer, as a small file does; large inputs and streams stay as they are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan(df: DataFrame, patterns: list[Pattern], rules: list[Rule] = (), text_col: str = "text", least: float = 0.0, context_boost: float = 0.0, timed: bool = False) -> DataFrame:
     """``df`` with spans, hits and error (type and message of what a row's scan raised, else null). A null text counts as empty.
 
@@ -115,12 +183,12 @@ def scan(df: DataFrame, patterns: list[Pattern], rules: list[Rule] = (), text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bank = compiled(*key)
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, max(1, whole.num_rows), ROWS)):
             spans, hits, errors, times = [], [], [], []
             for text in batch.column(at).to_pylist():
                 began = time.perf_counter()
                 try:
-                    a, b = find(text or "", bank, least, context_boost)
+                    a, b = _find(text or "", bank, least, context_boost)
                     error = None
                 except Exception as e:  # one bad row must not stop a batch
                     a, b, error = [], [], {"error": str(e), "error_type": type(e).__name__}
@@ -128,7 +196,7 @@ def scan(df: DataFrame, patterns: list[Pattern], rules: list[Rule] = (), text_co
                 hits.append(b)
                 errors.append(error)
                 times.append((time.perf_counter() - began) * 1000)
-            more = [pa.array(spans, pa.list_(_SPAN)), pa.array(hits, pa.list_(_HIT)), pa.array(errors, pa.struct([("error", pa.string()), ("error_type", pa.string())]))]
+            more = [_lists(spans, _SPAN), _lists(hits, _HIT), pa.array(errors, pa.struct([("error", pa.string()), ("error_type", pa.string())]))]
             more += [pa.array(times, pa.float64())] * timed
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "spans", "hits", "error", *["scan_ms"] * timed])
 

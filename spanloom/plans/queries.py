@@ -11,7 +11,7 @@ from spanloom.catalog import Pattern, Registry, active_patterns, active_rules, a
 from spanloom.functions import spans as S
 from spanloom.functions.types import ENTITIES
 from spanloom.operators import calibrate, chunk, corpus, evaluate, model, redact, score
-from spanloom.operators.scan import scan
+from spanloom.operators.scan import scan, spread
 from spanloom.plans import oracle as O
 from spanloom.plans.engine import Engine, Options
 from spanloom.sources import files, sinks
@@ -38,7 +38,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: a text an order."""
-    return read(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"{O.TEXT} AS text")
+    return spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).selectExpr("o_orderkey AS doc_id", f"{O.TEXT} AS text")
 
 
 def thousandths(c: Column) -> Column:
@@ -94,7 +94,7 @@ def _scan_table(df: DataFrame) -> DataFrame:
 
 @query("scan_spans_corpus", _corpus_sql("documents", "doc_id", "text"))
 def scan_spans_corpus(spark, sf_dir):
-    return _scan_table(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _scan_table(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @query("scan_spans_pages", _corpus_sql("pages", "page_id", "html"))
@@ -374,7 +374,7 @@ _FLAGS = (
 
 
 def _examples(spark: SparkSession, sf_dir: str, detected: bool = True) -> DataFrame:
-    t = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"{O.TEXT} AS text", f"{_SET} AS dataset", f"{_EXPECTED} AS want")
+    t = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).selectExpr("o_orderkey AS doc_id", f"{O.TEXT} AS text", f"{_SET} AS dataset", f"{_EXPECTED} AS want")
     t = t.select("doc_id", "text", "dataset", F.filter(F.array("want"), lambda x: x != "").alias("expected"), F.when(F.col("want") == "", "true_negative").otherwise("true_positive").alias("category"))
     r = Engine(["legal", "therapy"]).analyze(t)
     return r.withColumn("detected", evaluate.detected_types(F.col("entities"))) if detected else r
