@@ -15,7 +15,10 @@ Defined cases: a null URL has no partner ("no url"). A revisit without an earlie
 response is an "orphan", one whose validators disagree a "mismatch"; both keep their own
 headers and get no payload. Equal times are not earlier; of responses at one time that of
 the greatest id counts. Records repeated as a whole are resolved alike. A null time comes
-before all others. Columns beside those named are not read. An empty table gives no rows.
+before all others, negative ones too. Header names are compared and returned in lower case;
+of names that differ in case alone the least value counts. A query parameter that only tracks
+(utm_, ref, fbclid, gclid, sessionid) is no part of a URL, nor is its scheme; percent signs and dot
+segments are taken as written. Columns beside those named are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,6 +48,17 @@ def canonical(url: Column) -> Column:
     return F.concat(host, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
+def lower_names(headers: Column) -> Column:
+    """The map with its names in lower case; of names that differ in case alone the least value stays."""
+    names = F.array_distinct(F.transform(F.map_keys(headers), F.lower))
+    of = lambda n: F.array_min(F.transform(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == n), lambda e: e["value"]))
+    return F.map_from_arrays(names, F.transform(names, of))
+
+
+#: The span of records without a time, before all others.
+NO_TIME = -(1 << 62)
+
+
 def _agrees(own: Column, theirs: Column, digest: Column, their_digest: Column) -> Column:
     tag = lambda h: F.regexp_replace(h["etag"], "^W/", "")
     return (
@@ -62,10 +76,10 @@ def merged(response: Column, revisit: Column) -> Column:
 
 def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     """``records`` (record_id, url, ts, kind "response" or "revisit", status, headers, digest) with canonical_url, partner_id, outcome and the resolved headers and digest."""
-    r = records.select("record_id", "url", "ts", "kind", "status", "headers", "digest").withColumn("canonical_url", canonical(F.col("url")))
+    r = records.select("record_id", "url", "ts", "kind", "status", lower_names(F.col("headers")).alias("headers"), "digest").withColumn("canonical_url", canonical(F.col("url")))
     full = (F.col("kind") == "response") & (F.col("status") == 200)
     partner = F.when(full, F.struct("ts", "record_id", "headers", "digest")).cast(_PARTNER)
-    known = r.where("canonical_url is not null").withColumn("part", F.floor(F.coalesce("ts", F.lit(0)) / span)).withColumn("own", partner)
+    known = r.where("canonical_url is not null").withColumn("part", F.coalesce(F.floor(F.col("ts") / span), F.lit(NO_TIME))).withColumn("own", partner)
 
     # At one time revisits come first, so that they see no response of that time.
     here = W.partitionBy("canonical_url", "part").orderBy(F.col("ts").asc_nulls_first(), full.cast("int"), "record_id").rowsBetween(W.unboundedPreceding, -1)
@@ -97,10 +111,11 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """Four records a page: a response, and revisits before it, soon after it and long after it.
+    """Four records a page: a response, and revisits soon after it, long after it, and just before or behind it.
 
-    The page's id gives the time. Odd ids have a Last-Modified in place of an entity tag in
-    the late revisit; each seventh response is not a full one.
+    The page's id gives the time. The late revisit has in turn an entity tag, a Last-Modified,
+    a tag that agrees with nothing, and a digest alone; the last one has no validator and, of
+    each third page, comes before the response. Each seventh response is not a full one.
     """
     p = checkpoint(pages.select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.length(F.coalesce("html", F.lit(""))).cast("string").alias("size")))
     at, day = F.col("page_id") * 10, F.concat(F.lit("day "), F.col("page_id").cast("string"))
@@ -108,15 +123,16 @@ def records(pages: DataFrame) -> DataFrame:
     head = lambda *pairs: F.create_map(*[x if isinstance(x, Column) else F.lit(x) for pair in pairs for x in pair])
     response = head(("content-type", "text/html"), ("content-length", F.col("size")), ("etag", tag), ("last-modified", day), ("cache-control", "max-age=60"))
     soon = head(("etag", F.concat(F.lit("W/"), tag)), ("content-length", "0"), ("cache-control", "max-age=120"))
-    late = F.when(F.col("page_id") % 2 == 1, head(("last-modified", day), ("date", "late"))).otherwise(head(("etag", tag), ("date", "late")))
+    turn = F.col("page_id") % 4
+    late = F.when(turn == 0, head(("ETag", tag), ("Date", "late"))).when(turn == 1, head(("Last-Modified", day), ("Date", "late"))).when(turn == 2, head(("etag", '"stale"'), ("date", "late"))).otherwise(head(("date", "late")))
     early = head(("date", "early"), ("connection", "close"))
     none = F.lit(None).cast("string")
     row = lambda n, ts, kind, status, headers, digest: F.struct((F.col("page_id") * 4 + n).alias("record_id"), ts.cast("long").alias("ts"), F.lit(kind).alias("kind"), status.cast("int").alias("status"), headers.alias("headers"), digest.alias("digest"))
     made = F.array(
         row(0, at, "response", F.when(F.col("page_id") % 7 == 6, 503).otherwise(200), response, F.col("digest")),
         row(1, at + 5, "revisit", F.lit(304), soon, none),
-        row(2, at + 300_000, "revisit", F.lit(304), late, none),
-        row(3, at - 1, "revisit", F.lit(304), early, none),
+        row(2, at + 300_000, "revisit", F.lit(304), late, F.when(turn == 3, F.col("digest"))),
+        row(3, at + F.when(F.col("page_id") % 3 == 0, -1).otherwise(7), "revisit", F.lit(304), early, none),
     )
     return p.select("url", F.explode(made).alias("r")).select("url", "r.*")
 
@@ -140,8 +156,8 @@ r AS (
   SELECT page_id * 4 AS record_id, canonical_url, page_id * 10 AS ts, 'response' AS kind, page_id % 7 <> 6 AS is_full, '"' || digest || '"' AS tag, 'day ' || page_id AS modified,
          'max-age=60' AS cache, NULL AS date, size, digest, CAST(NULL AS VARCHAR) AS connection FROM u
   UNION ALL SELECT page_id * 4 + 1, canonical_url, page_id * 10 + 5, 'revisit', false, 'W/"' || digest || '"', NULL, 'max-age=120', NULL, '0', NULL, NULL FROM u
-  UNION ALL SELECT page_id * 4 + 2, canonical_url, page_id * 10 + 300000, 'revisit', false, CASE WHEN page_id % 2 = 0 THEN '"' || digest || '"' END, CASE WHEN page_id % 2 = 1 THEN 'day ' || page_id END, NULL, 'late', NULL, NULL, NULL FROM u
-  UNION ALL SELECT page_id * 4 + 3, canonical_url, page_id * 10 - 1, 'revisit', false, NULL, NULL, NULL, 'early', NULL, NULL, 'close' FROM u),
+  UNION ALL SELECT page_id * 4 + 2, canonical_url, page_id * 10 + 300000, 'revisit', false, CASE page_id % 4 WHEN 0 THEN '"' || digest || '"' WHEN 2 THEN '"stale"' END, CASE WHEN page_id % 4 = 1 THEN 'day ' || page_id END, NULL, 'late', NULL, CASE WHEN page_id % 4 = 3 THEN digest END, NULL FROM u
+  UNION ALL SELECT page_id * 4 + 3, canonical_url, page_id * 10 + CASE WHEN page_id % 3 = 0 THEN -1 ELSE 7 END, 'revisit', false, NULL, NULL, NULL, 'early', NULL, NULL, 'close' FROM u),
 j AS (
   SELECT r.*, f.record_id AS f_id, f.tag AS f_tag, f.modified AS f_modified, f.cache AS f_cache, f.size AS f_size, f.digest AS f_digest,
          row_number() OVER (PARTITION BY r.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) AS n
@@ -149,7 +165,8 @@ j AS (
 o AS (
   SELECT *, CASE WHEN kind = 'response' THEN 'response' WHEN canonical_url IS NULL THEN 'no url' WHEN f_id IS NULL THEN 'orphan'
     WHEN tag IS NOT NULL THEN CASE WHEN replace(tag, 'W/', '') = f_tag THEN 'resolved' ELSE 'mismatch' END
-    WHEN modified IS NOT NULL THEN CASE WHEN modified = f_modified THEN 'resolved' ELSE 'mismatch' END ELSE 'unchecked' END AS outcome FROM j WHERE n = 1),
+    WHEN modified IS NOT NULL THEN CASE WHEN modified = f_modified THEN 'resolved' ELSE 'mismatch' END
+    WHEN digest IS NOT NULL THEN CASE WHEN digest = f_digest THEN 'resolved' ELSE 'mismatch' END ELSE 'unchecked' END AS outcome FROM j WHERE n = 1),
 h AS (SELECT *, outcome IN ('resolved', 'unchecked') AS used FROM o)
 SELECT record_id, canonical_url, ts, kind, outcome, CASE WHEN used THEN f_id ELSE -1 END AS partner_id,
   array_to_string(list_sort(list_filter([

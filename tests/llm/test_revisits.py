@@ -62,6 +62,24 @@ def test_headers_that_stay(spark):
     assert got[3].outcome == "unchecked" and got[3].digest == "d"
 
 
+def test_names_in_any_case_and_times_before_zero(spark):
+    rows = [
+        (1, "https://a", None, "response", 200, {"ETag": '"x"', "Content-Length": "9"}, "d"),
+        (2, "https://a", -9 * R.SPAN, "revisit", 304, {"Etag": '"x"', "CONTENT-LENGTH": "0", "etag": '"y"'}, None),
+        (3, "https://b", -5, "response", 200, {"etag": '"x"'}, "e"),
+        (4, "https://b", None, "revisit", 304, {"ETAG": '"x"'}, None),
+        (5, "https://b", 5, "revisit", 304, {"ETAG": '"z"'}, None),
+    ]
+    got = {r.record_id: r for r in R.resolve(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got[2].outcome, got[2].headers) == ("resolved", {"etag": '"x"', "content-length": "9"})
+    assert (got[4].outcome, got[5].outcome) == ("orphan", "mismatch")
+
+
+def test_records_have_all_outcomes(spark, sf_dir):
+    found = {r.outcome: r["count"] for r in R.op9_revisits(spark, sf_dir).groupBy("outcome").count().collect()}
+    assert all(found.get(x, 0) >= 5 for x in ("response", "resolved", "unchecked", "mismatch", "orphan"))
+
+
 def test_odd_pages(spark, table):
     rows = [(1, None, None), (None, "https://a/", "x"), (2, "https://a/", ""), (3, "https://a", "x" * 300_000), (3, "https://a", "x" * 300_000)]
     got = R.op9_revisits(spark, table("pages", rows, "page_id long, url string, html string")).collect()
