@@ -8,9 +8,13 @@ timestamp, cluster, key frame, lacing, byte range.
 
 Scale: everything is row-local and streams through Arrow batches; nothing is shuffled.
 
+Times are in milliseconds: those of the file by its TimestampScale, and in a laced block
+each frame is later than the one before by its track's default duration (if it has one).
+
 Defined cases: a null or empty text is stored as 64 bytes of 0. Null media, and media
 that end early or break the format, give the packets read up to that point and a text in
-``error`` (null media: no packet, error "null"). Equal payloads give equal files (no
+``error`` (null media: no packet, error "null"). So do media that end where an element does:
+a parent shorter than it says, an element beyond its parent's end, and no segment are errors. Equal payloads give equal files (no
 time, no random ids). Repeated rows and empty tables need nothing; only the named columns
 are read.
 """
@@ -32,10 +36,14 @@ from spanloom.llm.common import map_batches, read, texts
 # The element ids of the Matroska format.
 EBML, EBML_VERSION, EBML_READ, EBML_ID_LENGTH, EBML_SIZE_LENGTH, DOC_TYPE, DOC_VERSION, DOC_READ = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIME_SCALE, MUX_APP, WRITE_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
-TRACKS, TRACK, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, LACING, AUDIO, RATE, CHANNELS, DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x9C, 0xE1, 0xB5, 0x9F, 0x6264
+TRACKS, TRACK, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, LACING, AUDIO, RATE, CHANNELS, DEPTH, DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x9C, 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
 CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE, CUE_TIME, CUE_AT, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
+#: Elements that hold others, and what ends one of unknown size.
+PARENTS = frozenset((SEGMENT, INFO, TRACKS, TRACK, CLUSTER, BLOCK_GROUP, CUES, CUE, CUE_AT))
+ENDS = {CLUSTER: (CLUSTER, CUES, TRACKS, INFO, SEGMENT), SEGMENT: (SEGMENT,), CUES: (CLUSTER, TRACKS, INFO, SEGMENT), TRACKS: (CLUSTER, CUES, INFO, SEGMENT), INFO: (CLUSTER, CUES, TRACKS, SEGMENT)}
+
 SAMPLE_RATE = 8000
 FRAME = 512
 FRAMES_A_BLOCK = 8
@@ -92,7 +100,7 @@ def _ms(position: int) -> int:
 
 _HEAD = _element(EBML, _uint(EBML_VERSION, 1) + _uint(EBML_READ, 1) + _uint(EBML_ID_LENGTH, 4) + _uint(EBML_SIZE_LENGTH, 8) + _element(DOC_TYPE, b"matroska") + _uint(DOC_VERSION, 4) + _uint(DOC_READ, 2))
 _INFO = _element(INFO, _uint(TIME_SCALE, 1_000_000) + _element(MUX_APP, b"spanloom") + _element(WRITE_APP, b"spanloom"))
-_TRACKS = _element(TRACKS, _element(TRACK, _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _uint(LACING, 1) + _element(CODEC, b"A_PCM/INT/LIT") + _element(AUDIO, _element(RATE, struct.pack(">d", SAMPLE_RATE)) + _uint(CHANNELS, 1) + _uint(DEPTH, 8))))
+_TRACKS = _element(TRACKS, _element(TRACK, _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _uint(DURATION, FRAME * 1_000_000_000 // SAMPLE_RATE) + _uint(LACING, 1) + _element(CODEC, b"A_PCM/INT/LIT") + _element(AUDIO, _element(RATE, struct.pack(">d", SAMPLE_RATE)) + _uint(CHANNELS, 1) + _uint(DEPTH, 8))))
 
 
 def mux(payload: bytes) -> bytes:
@@ -169,25 +177,34 @@ def parse(data: bytes | None) -> tuple[list[Packet], list[tuple[int, int, int]],
     if data is None:
         return packets, cues, "null"
     uint = lambda a, b: int.from_bytes(data[a:b], "big")
-    cluster, base, cue_time, cue_track = -1, 0, 0, 0
+    cluster, base, cue_time, cue_track, scale, number = -1, 0, 0, 0, 1_000_000, 0
+    durations: dict[int, int] = {}  # default duration by track, in nanoseconds
     group: list[int] | None = None  # indexes of the packets of the block group that is open
-    group_end = 0
-    at = 0
+    parents: list[tuple[int, int]] = []  # the open elements: id, end (-1 if unknown)
+    at, segments = 0, 0
     try:
         while at < len(data):
-            if group is not None and at >= group_end:
-                group = None
+            while parents and 0 <= parents[-1][1] <= at:
+                if parents.pop()[0] == BLOCK_GROUP:
+                    group = None
             code, _, body = _number(data, at, keep_marker=True)
             size, _, body = _number(data, body)
-            end = body + size if size >= 0 else len(data)
-            if code in (SEGMENT, CLUSTER, BLOCK_GROUP, CUES, CUE, CUE_AT):
-                if code == CLUSTER:
+            while parents and parents[-1][1] < 0 and code in ENDS.get(parents[-1][0], ()):
+                parents.pop()  # an element of unknown size ends where one of its own level begins
+            end = body + size if size >= 0 else -1
+            if (limit := next((e for _, e in reversed(parents) if e >= 0), end)) >= 0 and end > limit:
+                raise ValueError(f"an element ends behind its parent at byte {at}")
+            if code in PARENTS:
+                if code == SEGMENT:
+                    segments += 1
+                elif code == CLUSTER:
                     cluster, base = cluster + 1, 0
                 elif code == BLOCK_GROUP:
-                    group, group_end = [], end
+                    group = []
+                parents.append((code, end))
                 at = body
                 continue
-            if end > len(data):
+            if end < 0 or end > len(data):
                 raise ValueError(f"the file ends in an element at byte {at}")
             if code == CLUSTER_TIME:
                 base = uint(body, end)
@@ -199,11 +216,18 @@ def parse(data: bytes | None) -> tuple[list[Packet], list[tuple[int, int, int]],
                 lacing = flags >> 1 & 3
                 sizes, p = _laces(data, p + 3, end, lacing)
                 key = bool(flags & 0x80) if code == SIMPLE_BLOCK else True
-                for n in sizes:
+                for i, n in enumerate(sizes):
                     if code == BLOCK and group is not None:
                         group.append(len(packets))
-                    packets.append(Packet(track, base + offset, cluster, key, LACINGS[lacing], p, n))
+                    time = ((base + offset) * scale + i * durations.get(track, 0)) // 1_000_000
+                    packets.append(Packet(track, time, cluster, key, LACINGS[lacing], p, n))
                     p += n
+            elif code == TIME_SCALE:
+                scale = uint(body, end)
+            elif code == TRACK_NUMBER:
+                number = uint(body, end)
+            elif code == DURATION:
+                durations[number] = uint(body, end)
             elif code == REFERENCE and group is not None:  # a frame that refers to others is no key frame
                 for i in group:
                     packets[i] = packets[i]._replace(keyframe=False)
@@ -214,6 +238,10 @@ def parse(data: bytes | None) -> tuple[list[Packet], list[tuple[int, int, int]],
             elif code == CUE_CLUSTER:
                 cues.append((cue_time, cue_track, uint(body, end)))
             at = end
+        if short := next((code for code, end in parents if end > len(data)), 0):
+            raise ValueError(f"the file ends in its element {short:X}")
+        if not segments:
+            raise ValueError("no segment")
     except ValueError as e:
         return packets, cues, str(e)
     return packets, cues, None

@@ -63,6 +63,29 @@ def test_files_that_end_early(cut):
     assert packets == [] and (error is not None or cut <= 40)
 
 
+def test_every_cut_is_told():
+    data = M.mux(os.urandom(70_000))
+    for cut in [*range(400), *range(400, len(data), 97)]:
+        assert M.parse(data[:cut])[2] is not None
+
+
+def test_elements_end_with_their_parents():
+    inner = element(M.SIMPLE_BLOCK, b"\x81" + struct.pack(">hB", 0, 0) + b"x" * 50)
+    cluster = element(M.CLUSTER, M._uint(M.CLUSTER_TIME, 0) + inner[:-20])
+    assert "behind its parent" in M.parse(M._HEAD + element(M.SEGMENT, cluster + M._uint(M.CUE_TIME, 1) * 10))[2]
+
+
+def test_times_of_laced_frames():
+    packets = M.parse(M.mux(os.urandom(64 * 1000)))[0]
+    assert [p.timestamp for p in packets] == [i * 64 for i in range(125)]
+
+
+def test_time_scale():
+    info = element(M.INFO, M._uint(M.TIME_SCALE, 500_000))
+    group = element(M.CLUSTER, M._uint(M.CLUSTER_TIME, 10) + block(0, b"", [b"x"]))
+    assert M.parse(M._HEAD + element(M.SEGMENT, info + group))[0][0].timestamp == 8  # 17 times half a millisecond
+
+
 def test_noise():
     for i in range(200):
         M.parse(os.urandom(i))
