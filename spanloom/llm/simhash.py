@@ -31,7 +31,7 @@ import math
 import random
 from dataclasses import dataclass
 from functools import reduce
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpoint, map_batches, read, slices
+from spanloom.llm.common import bound_batches, checkpoint, map_batches, read
 
 _CHUNK = 1 << 16
 _SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).reshape(-1).view(np.uint64)
@@ -71,12 +71,29 @@ class Scheme:
 EXACT_4 = Scheme(4, 42, 1, 4, (Segment(0, 0, 22, 1), Segment(0, 22, 21, 1), Segment(0, 43, 21, 0)))
 
 
+def _parts(n: int) -> Scheme:
+    """64 bits in ``n`` segments, of which 4 differing bits leave n - 4 alone: a table for each n - 4 of them, of radius 0."""
+    ends = [64 * i // n for i in range(n + 1)]
+    segments = tuple(Segment(0, a, b - a, 0) for a, b in zip(ends, ends[1:]))
+    return Scheme(4, 42, 1, 4, segments, tables=tuple(combinations(range(n), n - 4)))
+
+
+def exact_scheme(n: int) -> Scheme:
+    """A scheme for ``n`` distinct fingerprints that finds all pairs of 4 differing bits; only the width of its keys depends on n.
+
+    Keys of 21 bits in 3 tables, of 26 in 35, of 32 in 70, so that an entry holds some 8 by chance.
+    """
+    return EXACT_4 if n <= 1 << 24 else _parts(7) if n <= 1 << 29 else _parts(8)
+
+
 #: Bits of a fingerprint for near copies, whatever the number of documents, in words; the least Jaccard similarity, as a fraction.
 NEAR_WORDS, NEAR = 6, (4, 5)
 #: Sets of that similarity have the cosine 2 * 0.8 / 1.8 at least, an angle of 0.1515 half turns: the share of bits that differ.
 NEAR_SHARE = 0.1515
-#: Candidates differ in so many of all bits at most, 0.24 of them, and in so many of their first words', 0.3 of them: chance rejects next to none.
-NEAR_DISTANCE, CHECK_WORDS, CHECK_DISTANCE = 92, 2, 38
+#: Candidates differ in so many of all bits at most, 0.24 of them, and in so many of their first word's, 0.39 of them: chance rejects next to none.
+NEAR_DISTANCE, CHECK_WORDS, CHECK_DISTANCE = 92, 1, 25
+#: Words of a set's parities.
+ODD_WORDS = 4
 #: Of pairs at exactly the least similarity, so many may not be looked at.
 MISSED = 0.001
 
@@ -94,11 +111,11 @@ def near_scheme(n: int) -> Scheme:
     """A scheme to look for near copies among ``n`` documents: five words, a Jaccard similarity of 0.8 or more.
 
     The fingerprint and what is accepted don't depend on ``n``. Only the look-up does: the key of
-    a table is made of several segments, some 4 bits less than it takes to number the documents, 14
-    at least, so that a table entry holds some 32 of them at most by chance; there are as many
+    a table is made of several segments, some 6 bits less than it takes to number the documents, 12
+    at least, so that a table entry holds some 128 of them at most by chance; there are as many
     tables as it takes for all but ``MISSED`` of the pairs at the least similarity to meet in one.
     """
-    width = min(32, max(14, (n.bit_length() - 3) // 2 * 2))
+    width = min(32, max(12, (n.bit_length() - 5) // 2 * 2))
     tables = 1
     while _missed(tables, width) > MISSED:
         tables += 1 + tables // 16
@@ -170,8 +187,20 @@ def _key(number: int, value: Column) -> Column:
     return value.bitwiseOR(F.lit(number << 40).cast("long"))
 
 
+def _tables(scheme: Scheme) -> tuple[tuple[int, ...], ...]:
+    return scheme.tables or tuple((i,) for i in range(len(scheme.segments)))
+
+
+def _table_value(fp: Column, scheme: Scheme, table: tuple[int, ...]) -> Column:
+    """The bits of the table's segments, one behind the other."""
+    out, at = F.lit(0).cast("long"), 0
+    for s in (scheme.segments[i] for i in table):
+        out, at = out.bitwiseOR(F.shiftleft(_value(fp, s), at)), at + s.width
+    return out
+
+
 def _homes(fp: Column, scheme: Scheme) -> Column:
-    return F.array(*[_key(i, _value(fp, s)) for i, s in enumerate(scheme.segments)])
+    return F.array(*[_key(i, _table_value(fp, scheme, t)) for i, t in enumerate(_tables(scheme))])
 
 
 def _ball(number: int, value: Column, width: int) -> Column:
@@ -181,7 +210,8 @@ def _ball(number: int, value: Column, width: int) -> Column:
 
 
 def _probes(fp: Column, scheme: Scheme) -> Column:
-    return F.concat(_homes(fp, scheme), *[_ball(i, _value(fp, s), s.width) for i, s in enumerate(scheme.segments) if s.radius])
+    """The homes and, for tables of one segment of radius 1, the ball around its value."""
+    return F.concat(_homes(fp, scheme), *[_ball(i, _value(fp, scheme.segments[t[0]]), scheme.segments[t[0]].width) for i, t in enumerate(_tables(scheme)) if len(t) == 1 and scheme.segments[t[0]].radius])
 
 
 #: So many edges at most, 16 bytes each, are finished in one task.
@@ -238,6 +268,23 @@ def _climb(roots: DataFrame | None, step: DataFrame) -> DataFrame:
 
 _CENTRES = 3
 _SALTS = 32
+#: A component of so many members is large: its members are never held against each other.
+LARGE = 64
+
+
+def _labelled(nodes: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` with comp from ``first`` (node, root), those of small components and those of large ones."""
+    comps = nodes.join(first, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    large = first.groupBy(F.col("root").alias("comp")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LARGE).select("comp", F.lit(True).alias("large"))
+    comps = checkpoint(comps.join(large, "comp", "left"))
+    return comps.where("large is null").drop("large"), comps.where("large").drop("large")
+
+
+def _several(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, comp and more) of both in entries that hold two components or more."""
+    comps = left.select("key", "comp").union(right.select("key", "comp")).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    keys = checkpoint(comps.where("lo <> hi").select("key"))
+    return tuple(x.join(keys, "key", "left_semi") for x in (left, right))
 
 
 def link(nodes: DataFrame, scheme: Scheme = EXACT_4) -> DataFrame:
@@ -245,93 +292,152 @@ def link(nodes: DataFrame, scheme: Scheme = EXACT_4) -> DataFrame:
 
     Matches of a lookup are verified inside the joins, which therefore give out near pairs
     only: first those with a few centres of each table entry, then those of different
-    components of the first.
+    components of the first. Two members of one large component never meet there, but where
+    an entry holds another large component too.
     """
     flat = lambda c: [F.col("fp")[i].alias(f"{c}{i}") for i in range(scheme.words)]
-    near = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(scheme.words)]) <= scheme.distance
-    homes = F.explode(_homes(F.col("fp"), scheme))
+    near = _differ(scheme.words) <= scheme.distance
 
-    keyed = nodes.select(F.col("node").alias("a"), *flat("a"), homes.alias("key"))
+    keyed = nodes.select(F.col("node").alias("a"), *flat("a"), F.explode(_homes(F.col("fp"), scheme)).alias("key"))
     pick = lambda i: F.min(F.struct(F.xxhash64("a", F.lit(i)).alias("h"), F.col("a").alias("b"), *[F.col(f"a{j}").alias(f"b{j}") for j in range(scheme.words)])).alias(f"c{i}")
     centres = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[pick(i) for i in range(_CENTRES)]).where("n > 1")
     # Each centre once: the hash that chose it doesn't count.
     one = [F.col(f"c{i}").dropFields("h") for i in range(_CENTRES)]
     centres = centres.select(F.col("key").alias("key_b"), F.explode(F.array_distinct(F.array(*one))).alias("c")).select("key_b", "c.*")
     stars = keyed.join(centres, (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b")) & near).select("a", "b")
-    first = components(stars)
-
-    labelled = checkpoint(nodes.join(first, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("comp")))
-    left = labelled.select(F.col("comp").alias("a"), *flat("a"), F.explode(_probes(F.col("fp"), scheme)).alias("key"))
-    right = labelled.select(F.col("comp").alias("b"), *flat("b"), homes.alias("key_b"))
-    found = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b")) & near)
-    second = components(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    first = checkpoint(components(stars))
+
+    small, large = _labelled(nodes, first)
+    probes = lambda d: d.select("comp", "fp", F.explode(_probes(F.col("fp"), scheme)).alias("key"))
+    homes = lambda d: d.select("comp", "fp", F.explode(_homes(F.col("fp"), scheme)).alias("key"))
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        left = left.select(F.col("comp").alias("a"), *flat("a"), "key")
+        right = right.select(F.col("comp").alias("b"), *flat("b"), F.col("key").alias("key_b"))
+        met = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b")) & near)
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    found = pairs(probes(small), homes(small))
+    if not large.isEmpty():
+        found = found.union(pairs(probes(small), homes(large))).union(pairs(probes(large), homes(small))).union(pairs(*_several(probes(large), homes(large))))
+    second = components(found)
     up = second.select(F.col("node").alias("comp"), F.col("root").alias("top"))
-    return labelled.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("root"))
+    return small.union(large).join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("root"))
+
+
+#: So many frequent fingerprints, 9 bytes each, are broadcast.
+BROADCAST_FREQUENT = 100_000
 
 
-def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT_4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, scheme: Scheme | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (the smallest id reachable over links), one row per row of ``docs``."""
-    prints = checkpoint(fingerprints(docs, scheme, id_col, text_col))
-    node = (lambda c: c[0]) if scheme.words == 1 else F.xxhash64  # noqa: E731  equal fingerprints, equal node
-    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).select(node(F.col("fp")).alias("node"), "fp", "first_id"))
-    roots = nodes.join(link(nodes.select("node", "fp"), scheme), "node").select("node", "root", "first_id")
+    prints = checkpoint(fingerprints(docs, scheme or EXACT_4, id_col, text_col))
+    node = (lambda c: c[0]) if (scheme or EXACT_4).words == 1 else F.xxhash64  # noqa: E731  equal fingerprints, equal node
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).select(node(F.col("fp")).alias("node"), "fp", "first_id", "n"))
+    scheme = scheme or exact_scheme(nodes.count())
+    roots = nodes.join(link(nodes.select("node", "fp"), scheme), "node").select("node", "root", "first_id", F.col("n").alias("copies"))
     # A large component's members are dealt out by salt; most fingerprints have a component of their own.
     least = roots.groupBy("root").agg(F.min("first_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))).repartition("root", "salt").select("root", "salt", "least")
     salted = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int"))
-    ids = salted.join(least.hint("merge"), ["root", "salt"], "left").select("node", F.coalesce("least", "first_id").alias("component_id"))
-    return prints.withColumn("node", node(F.col("fp"))).join(ids, "node").select("doc_id", "fp", "component_id")
+    ids = salted.join(least.hint("merge"), ["root", "salt"], "left").select("node", F.coalesce("least", "first_id").alias("component_id"), "copies")
+    # So are the rows of a fingerprint of many copies, each salt of which has a row of its own.
+    own = F.when(F.col("copies") >= LARGE, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    ids = ids.select("node", "component_id", F.explode(own).alias("salt"))
+    frequent = nodes.where(F.col("n") >= LARGE).select("node", F.lit(True).alias("frequent"))
+    frequent = F.broadcast(frequent) if frequent.count() <= BROADCAST_FREQUENT else frequent
+    rows = prints.withColumn("node", node(F.col("fp"))).join(frequent, "node", "left")
+    rows = rows.withColumn("salt", F.when(F.col("frequent"), F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int"))
+    return rows.join(ids, ["node", "salt"]).select("doc_id", "fp", "component_id")
+
+
+def alike(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the other sets have the least Jaccard similarity to ``a`` or more; all sorted and not empty."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    every = np.concatenate(others)
+    hits = a[np.minimum(np.searchsorted(a, every), len(a) - 1)] == every
+    both = np.add.reduceat(hits, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return NEAR[1] * both >= NEAR[0] * (len(a) + sizes - both)
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have the least Jaccard similarity or more."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return NEAR[1] * both >= NEAR[0] * (len(a) + len(b) - both) > 0
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """Whether the number of hashes in each of 64 ``ODD_WORDS`` buckets is odd, as words."""
+    buckets = (hashes >> np.uint64(20)) % np.uint64(64 * ODD_WORDS)
+    return np.packbits(np.bincount(buckets.astype(np.int64), minlength=64 * ODD_WORDS) & 1, bitorder="little").view(np.int64)
 
 
 def _sketches(rows: DataFrame, scheme: Scheme) -> DataFrame:
-    """id, h, node (a hash of the set of shingles), fp, size (of the set), from id, h and text."""
+    """id, h, node (a hash of the set of shingles), fp, odd (parities), size (of the set), from id, h and text."""
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [shingle_hashes(x, scheme) for x in batch.column(2).to_pylist()]
         node = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
-        fp = [_majority(x, scheme.words) for x in sets]
-        return {"id": batch.column(0), "h": batch.column(1), "node": pa.array(node, pa.int64()), "fp": pa.array(fp, pa.list_(pa.int64())), "size": pa.array(map(len, sets), pa.int64())}
+        fp, odd = [_majority(x, scheme.words) for x in sets], [_parity(x).tolist() for x in sets]
+        longs = pa.list_(pa.int64())
+        return {"id": batch.column(0), "h": batch.column(1), "node": pa.array(node, pa.int64()), "fp": pa.array(fp, longs), "odd": pa.array(odd, longs), "size": pa.array(map(len, sets), pa.int64())}
 
-    return map_batches(rows, run, "id long, h long, node long, fp array<long>, size long")
+    return map_batches(rows, run, "id long, h long, node long, fp array<long>, odd array<long>, size long")
 
 
-def _entries(nodes: DataFrame, scheme: Scheme, tables: int) -> DataFrame:
-    """key, node, comp and the words to check, f0 and so on: a row for each of the first ``tables`` tables."""
-    names = [f"f{i}" for i in range(CHECK_WORDS)]
-    chosen = np.array([[64 * scheme.segments[i].word + scheme.segments[i].shift + b for i in t for b in range(scheme.segments[i].width)] for t in scheme.tables[:tables]])
+_CHECKS = [f"f{i}" for i in range(CHECK_WORDS)] + [f"p{i}" for i in range(ODD_WORDS)]
+
+
+def _entries(nodes: DataFrame, scheme: Scheme, tables: range, more: tuple[str, ...] = ()) -> DataFrame:
+    """key, node, comp, size, the longs ``more`` and the words to check (fingerprint: f0 and so on, parities: p0 and so on): a row for each of the ``tables``."""
+    bits_of = lambda t: [64 * scheme.segments[i].word + scheme.segments[i].shift + b for i in t for b in range(scheme.segments[i].width)]
+    chosen = np.array([bits_of(scheme.tables[i]) for i in tables if i < len(scheme.tables)])
     powers = 1 << np.arange(chosen.shape[1], dtype=np.int64)
-    numbers = np.arange(len(chosen), dtype=np.int64) << 40
+    numbers, plain = np.array([i for i in tables if i < len(scheme.tables)], np.int64) << 40, ("node", "comp", "size", *more)
 
     def run(batch: pa.RecordBatch) -> dict:
-        fp = np.array(batch.column(2).to_pylist(), np.int64).reshape(-1, scheme.words)
+        fp, odd = (np.array(batch.column(i).to_pylist(), np.int64).reshape(-1, n) for i, n in ((0, scheme.words), (1, ODD_WORDS)))
         bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
         out = {"key": np.stack([bits[:, t] @ powers for t in chosen], axis=1) | numbers}
-        out |= {"node": batch.column(0).to_numpy(), "comp": batch.column(1).to_numpy()} | {x: fp[:, i] for i, x in enumerate(names)}
+        out |= {x: batch.column(x).to_numpy() for x in plain}
+        out |= dict(zip(_CHECKS, [*fp.T[:CHECK_WORDS], *odd.T]))
         return {x: pa.array(v.reshape(-1) if x == "key" else np.repeat(v, len(chosen)), pa.int64()) for x, v in out.items()}
 
-    return map_batches(nodes.select("node", "comp", "fp"), run, ", ".join(f"{x} long" for x in ["key", "node", "comp", *names]))
+    return map_batches(nodes.select("fp", "odd", *plain), run, ", ".join(f"{x} long" for x in ["key", *plain, *_CHECKS]))
 
 
-def _differ(words: int) -> Column:
+def _differ(words: int, a: str = "a", b: str = "b") -> Column:
     """How many bits of a0 and so on differ from those of b0 and so on."""
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(words)])
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(words)])
 
 
-def _pairs(left: DataFrame, right: DataFrame, nodes: DataFrame, scheme: Scheme, which: Column) -> DataFrame:
-    """a, b, comp_a, comp_b of the entries that share a key, fulfil ``which`` and may have the least similarity."""
-    name = lambda d, x: d.select("key", F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"), *[F.col(f"f{i}").alias(f"{x}{i}") for i in range(CHECK_WORDS)])
-    a, b = name(left, "a"), name(right, "b").withColumnRenamed("key", "key_b")
-    found = a.join(b, (F.col("key") == F.col("key_b")) & which & (_differ(CHECK_WORDS) <= CHECK_DISTANCE)).select("a", "b", "comp_a", "comp_b").distinct()
-    whole = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), *[F.col("fp")[i].alias(f"{x}{i}") for i in range(scheme.words)])
-    # The similarity is the smaller size over the larger one at most.
+def _named(x: str, of: str = "") -> list[Column]:
+    """The columns of an entry under names that begin or end with ``x``."""
+    plain = {"node": x, "comp": f"comp_{x}", "size": f"size_{x}"} | {c: f"{x}_{c}" for c in _CHECKS}
+    return [F.col(of + c).alias(n) for c, n in plain.items()]
+
+
+def _may() -> Column:
+    """Whether the entries a and b may have the least similarity, and are of different components."""
+    # The similarity is the smaller size over the larger one at most; of the hashes of both sets together, a ninth at most are in one alone, and each makes one parity differ at most.
     sizes = F.least("size_a", "size_b") * NEAR[1] >= F.greatest("size_a", "size_b") * NEAR[0]
-    return found.join(whole("a"), "a").join(whole("b"), "b").where(sizes & (_differ(scheme.words) <= scheme.distance)).select("a", "b", "comp_a", "comp_b")
+    odd = _differ(ODD_WORDS, "a_p", "b_p") * (NEAR[0] + NEAR[1]) <= (F.col("size_a") + F.col("size_b")) * (NEAR[1] - NEAR[0])
+    return (F.col("comp_a") != F.col("comp_b")) & sizes & odd & (_differ(CHECK_WORDS, "a_f", "b_f") <= CHECK_DISTANCE)
+
+
+def _pairs(left: DataFrame, right: DataFrame, which: Column | None = None) -> DataFrame:
+    """a, b, comp_a, comp_b of the entries that share a key, fulfil ``which`` and may have the least similarity."""
+    left, right = (d.select(F.col("key").alias(f"key_{x}"), *_named(x)) for d, x in ((left, "a"), (right, "b")))
+    which = _may() if which is None else which & _may()
+    return left.join(right, (F.col("key_a") == F.col("key_b")) & which).select("a", "b", "comp_a", "comp_b").distinct()
+
+
+def _centred(entries: DataFrame, order: list[Column]) -> DataFrame:
+    """The same, but each entry against the first of its key by ``order`` only."""
+    centre = F.first(F.struct("node", "comp", "size", *_CHECKS)).over(W.partitionBy("key").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    both = entries.withColumn("c", centre).select(*_named("a"), *_named("b", "c."))
+    return both.where(_may()).select("a", "b", "comp_a", "comp_b").distinct()
+
+
+def _within(pairs: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs whose whole fingerprints are near enough, with their distance, far."""
+    whole = lambda x: nodes.select(F.col("node").alias(x), *[F.col("fp")[i].alias(f"{x}{i}") for i in range(scheme.words)])
+    both = pairs.join(whole("a"), "a").join(whole("b"), "b").withColumn("far", _differ(scheme.words))
+    return both.where(F.col("far") <= scheme.distance).select("a", "b", "comp_a", "comp_b", "far")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
@@ -346,40 +452,89 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scheme: Sche
         return {"node": batch.column(0), "hashes": pa.array([shingle_hashes(x, scheme).tobytes() for x in batch.column(1).to_pylist()], pa.binary())}
 
     sets = checkpoint(map_batches(found, make, "node long, hashes binary"))
-    of = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"of_{x}"))
-    # Each pair is compared where the set of its a is; a frequent b is on the side that can be split.
-    joined = pairs.join(of("b"), "b").join(of("a"), "a").select("comp_a", "comp_b", "of_a", "of_b")
-
-    def compare(batches):
-        for batch in slices(batches):
-            x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(i).to_pylist()] for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(list(map(alike, x, y)), pa.bool_()))
-
-    return joined.mapInArrow(compare, "comp_a long, comp_b long").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-
-
-_STAR_TABLES = 8
+    size, n = sets.agg(F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0))).first()[0], pairs.count()
+    blocks = max(1, -(-size // BLOCK_BYTES), math.isqrt(n // BLOCK_PAIRS) + 1)
+    # A set goes once to each pair of blocks that needs it, not once to each pair of sets.
+    block = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(blocks))
+    held = pairs.select((block("a") * blocks + block("b")).alias("g"), "a", "b", "comp_a", "comp_b")
+    needs = held.select("g", F.col("a").alias("node")).union(held.select("g", F.col("b").alias("node"))).distinct()
+    none = lambda c: F.lit(None).cast("long").alias(c)
+    needs = needs.join(sets, "node").select("g", F.col("node").alias("a"), none("b"), none("comp_a"), none("comp_b"), "hashes")
+    both = needs.unionByName(held.withColumn("hashes", F.lit(None).cast("binary")))
+    dealt = both.repartition("g").sortWithinPartitions("g", F.col("b").isNotNull(), "a")
+    bound_batches(pairs.sparkSession)
+    return dealt.mapInArrow(_compare, "a long, b long")
+
+
+#: Sets that are compared in one place: a pair of blocks has twice so many bytes of them, and so many pairs, on average.
+BLOCK_BYTES, BLOCK_PAIRS = 1 << 22, 1 << 14
+
+
+def _compare(batches):
+    """The components of the similar pairs. Rows come by pair of blocks: first its sets (node, hashes), then its pairs."""
+    held: dict[int, np.ndarray] = {}
+    current = None
+    for batch in batches:
+        g, a, b, comp_a, comp_b = (batch.column(i).fill_null(0).to_numpy() for i in range(5))
+        hashes, is_pair = batch.column(5), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        runs = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (is_pair[1:] != is_pair[:-1])]) if len(g) else []
+        good = np.zeros(len(g), bool)
+        for at, end in zip(runs, [*runs[1:], len(g)]):
+            if g[at] != current:
+                current = g[at]
+                held.clear()
+            if not is_pair[at]:
+                held[int(a[at])] = np.frombuffer(hashes[at].as_py(), np.uint64)
+            else:
+                good[at:end] = alike(held[int(a[at])], [held[int(x)] for x in b[at:end]])
+        keep = [pa.array(x[good]) for x in (comp_a, comp_b)]
+        yield pa.RecordBatch.from_arrays(keep, names=["a", "b"])
+
+
+#: Tables of the two rounds in which a node is held against one centre only.
+_STAR_TABLES, _HUB_TABLES = range(6), range(6, 16)
 
 
 def _near_groups(nodes: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     """node, root: the components of the pairs that meet in a table and have the least similarity.
 
-    At first each node is held against one centre only, so that a large group is one component
-    before the others, pairs of different components, are looked for in all tables.
+    At first each node is held against the nearest centre that it meets, then against the
+    nearest hub, a centre of many, so that a large group is one component before the others,
+    pairs of different components, are looked for: in a third of the tables, and in the rest,
+    so that next to all of a group's members are joined before most tables are looked at.
     """
-    some = _entries(nodes.withColumn("comp", F.col("node")), scheme, _STAR_TABLES)
-    centre = F.min(F.struct(F.xxhash64("node").alias("rank"), "node", "comp", *[f"f{i}" for i in range(CHECK_WORDS)])).alias("c")
-    centres = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), centre).where("n > 1").select("key", "c.*")
-    stars = _pairs(some, centres, nodes, scheme, F.col("a") != F.col("b"))
-    stars = stars.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("rank"), "b")).alias("c")).select("a", "c.b", F.col("a").alias("comp_a"), F.col("c.b").alias("comp_b"))
-    first = components(_verified(checkpoint(stars), nodes, texts, scheme))
-
-    labelled = checkpoint(nodes.join(first, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("comp")))
-    entries = _entries(labelled, scheme, len(scheme.tables))
-    others = checkpoint(_pairs(entries, entries, nodes, scheme, (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))))
-    second = components(_verified(others, nodes, texts, scheme))
-    up = second.select(F.col("node").alias("comp"), F.col("root").alias("top"))
-    return labelled.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("root"))
+    rank = F.xxhash64("node")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return checkpoint(_verified(checkpoint(pairs), nodes, texts, scheme))
+
+    def star(entries: DataFrame, order: list[Column]) -> DataFrame:
+        met = _within(_centred(entries, order), nodes, scheme)
+        nearest = met.groupBy("a").agg(F.min(F.struct("far", F.xxhash64("b").alias("rank"), "b", "comp_a", "comp_b")).alias("c"))
+        return verified(nearest.select("a", "c.b", "c.comp_a", "c.comp_b"))
+
+    def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """node, root after the components ``links`` are joined."""
+        up = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        return checkpoint(roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+
+    links = star(_entries(nodes.withColumn("comp", F.col("node")), scheme, _STAR_TABLES), [rank])
+    roots = joined(nodes.select("node", F.col("node").alias("root")), links)
+    degree = links.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    hubs = checkpoint(nodes.join(roots.withColumnRenamed("root", "comp"), "node").join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long"))))
+    roots = joined(roots, star(_entries(hubs, scheme, _HUB_TABLES, ("degree",)), [F.col("degree").desc(), rank]))
+
+    third = -(-len(scheme.tables) // 3)
+    once = F.col("a") < F.col("b")
+    for tables in (range(third), range(third, len(scheme.tables))):
+        small, large = _labelled(nodes, roots)
+        ours = _entries(small, scheme, tables)
+        found = _pairs(ours, ours, once)
+        if not large.isEmpty():
+            theirs = _entries(large, scheme, tables)
+            found = found.union(_pairs(ours, theirs)).union(_pairs(*_several(theirs, theirs), once))
+        roots = joined(roots, verified(_within(found, nodes, scheme)))
+    return roots
 
 
 def keep_one(docs: DataFrame, scheme: Scheme | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,14 +551,21 @@ def keep_one(docs: DataFrame, scheme: Scheme | None = None, id_col: str = "doc_i
     rows = docs.select(own, F.xxhash64(text_col).alias(_ROW_HASH), *docs.columns)
     texts = rows.select(F.col(_ROW_ID).alias("id"), F.col(_ROW_HASH).alias("h"), F.col(text_col).alias("text"))
     prints = checkpoint(_sketches(texts, scheme))
-    nodes = checkpoint(prints.groupBy("node").agg(F.min(F.struct("id", "h", "fp", "size")).alias("least")).select("node", "least.*"))
+    nodes = checkpoint(prints.groupBy("node").agg(F.min(F.struct("id", "h", "fp", "odd", "size")).alias("least")).select("node", "least.*"))
     roots = _near_groups(nodes, texts, scheme)
-    kept = nodes.select("node", "id", "h").join(roots, "node").groupBy("root").agg(F.min(F.struct("id", "h")).alias("least")).select(F.col("least.id").alias(_ROW_ID), F.col("least.h").alias(_ROW_HASH))
-    first = W.partitionBy(_ROW_ID, _ROW_HASH).orderBy(text_col)
-    one = rows.join(kept, [_ROW_ID, _ROW_HASH]).withColumn(_ROW_NO, F.row_number().over(first)).where(F.col(_ROW_NO) == 1)
-    return one.select(*docs.columns)
-
-
+    kept = nodes.select("node", "id", "h").join(roots, "node").groupBy("root").agg(F.min(F.struct("id", "h")).alias("least")).select("least.id", "least.h", F.lit(True).alias("stays"))
+    # Most rows stay and are the only ones of their id and text. The others are joined to the texts, so that these needn't be shuffled.
+    others = prints.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).join(kept, ["id", "h"], "left").where("stays is null or n > 1")
+    others = checkpoint(others.select(F.col("id").alias(_ROW_ID), F.col("h").alias(_ROW_HASH), "stays"))
+    known = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    key = [_ROW_ID, _ROW_HASH]
+    first = W.partitionBy(*key).orderBy(text_col)
+    repeated = rows.join(known.where("stays").select(*key), key).withColumn(_ROW_NO, F.row_number().over(first)).where(F.col(_ROW_NO) == 1)
+    return rows.join(known.select(*key), key, "left_anti").select(*docs.columns).union(repeated.select(*docs.columns))
+
+
+#: So many rows that go or repeat, 17 bytes each, are broadcast.
+BROADCAST_ROWS = 500_000
 _ROW_ID, _ROW_HASH, _ROW_NO = "__row_id", "__row_hash", "__row_no"
 
 

@@ -80,6 +80,32 @@ def test_links_against_brute_force(spark):
     assert got == want and len(set(roots.values())) == len(set(want))
 
 
+@pytest.mark.parametrize("n", [10, 1 << 25, 1 << 30])
+def test_every_width_is_exact(spark, n, monkeypatch):
+    """All pairs of 4 differing bits are found by the keys of any number of fingerprints, in large components too."""
+    monkeypatch.setattr(S, "LARGE", 5)
+    scheme = S.exact_scheme(n)
+    rng = np.random.default_rng(n)
+    prints = [int(x) for x in rng.integers(0, 1 << 63, 12)]
+    for base in prints[:8]:
+        prints += near(rng, base, 3, 4) + near(rng, base, 3, 5) + near(rng, base, 6, 2)
+    prints = list(dict.fromkeys(prints))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    roots = {r.node: r.root for r in S.link(spark.createDataFrame([(s, [s]) for s in signed], "node long, fp array<long>"), scheme).collect()}
+    want, first = brute(signed, prints, 4), {}
+    assert [first.setdefault(roots[s], w) for s, w in zip(signed, want)] == want and len(set(roots.values())) == len(set(want))
+
+
+def test_parities_reject_no_similar_pair():
+    """The parities of two sets differ in no more places than the sets do."""
+    rng = np.random.default_rng(1)
+    for common, a, b in ((80, 10, 10), (4, 1, 0), (4000, 500, 500)):
+        x = rng.integers(0, 1 << 63, common + a + b).astype(np.uint64)
+        one, two = (np.array(S._parity(h)) for h in (x[: common + a], np.r_[x[:common], x[common + a :]]))
+        assert sum(int(v & (1 << 64) - 1).bit_count() for v in (one ^ two).tolist()) <= a + b
+        assert S.alike(np.sort(x[: common + a]), [np.sort(np.r_[x[:common], x[common + a :]])])[0] == (5 * common >= 4 * (common + a + b))
+
+
 @pytest.mark.parametrize("local", [0, 10, 10**6])
 def test_components_against_union_find(spark, local):
     edges = [(i, i + 1) for i in range(80)] + [(1000, 1000 + i) for i in range(60)] + [(5000, 5001), (5001, 5000), (7, 7)]
