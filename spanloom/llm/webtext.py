@@ -47,7 +47,7 @@ COVERED = 0.8
 #: The share of a host's pages, and the number of pages, on which a run outside an article and a block inside one are boilerplate.
 SOME, SOME_PAGES = 0.1, 2
 MOST, MOST_PAGES = 0.5, 8
-#: So many pages with repeated runs, some 100 bytes each, are broadcast.
+#: So many pages with repeated runs, some 100 bytes each, and so many hosts are broadcast.
 BROADCAST_PAGES = 20_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -216,10 +216,9 @@ def suffix_array(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
     return owner[order], start[order], prefix, first
 
 
-def keep(found: list[tuple[str, int, bool]], places: list[tuple[int, int]]) -> str:
-    """The page's text, given the places that other pages of the host share (see ``streams``) and on how many pages."""
+def keep(found: list[tuple[str, int, bool]], places: list[tuple[int, int]], pages: int = 0) -> str:
+    """The page's text, given the places that other pages of the host share (see ``streams``), on how many pages, and the host's pages."""
     many = dict(places)
-    pages = many.get(HOST, 0)
     parts, top = outside(found), top_level(found)
     covered = np.zeros(sum(map(len, parts)) + RUN, bool)
     for place, n in places:
@@ -232,7 +231,7 @@ def keep(found: list[tuple[str, int, bool]], places: list[tuple[int, int]]) -> s
             at += len(tokens)
             beside += sum(map(len, runs))
             out.append((not top, " ".join(t for r in runs for t in r)))
-        elif not gone and many.get(HOST - 1 - i, 0) < max(MOST_PAGES, MOST * pages):
+        elif not gone and many.get(-1 - i, 0) < max(MOST_PAGES, MOST * pages):
             inside += len(text.split())
             out.append((True, text))
     return "\n".join(text for sure, text in out if text and (sure or beside > inside))
@@ -250,15 +249,14 @@ def _key() -> Column:
     return F.xxhash64("page_id", "url", "html").alias("key")
 
 
-#: The place of a page's host as such; blocks of the article follow, downwards.
-HOST = -1
+#: The prefix that stands for a host as such, which all its pages have.
+HOST = 0
 
 
 def streams(pages: DataFrame) -> DataFrame:
     """Rows of two kinds: a page's key, host, places and prefixes; a host's prefix with the number of pages that have it and two streams of theirs, lo and hi.
 
-    A place is where a suffix starts in the page's stream, ``HOST``, or ``HOST`` - 1 - i for
-    block i of the article as a whole.
+    A place is where a suffix starts in the page's stream, or -1 - i for block i of the article as a whole.
     """
 
     def rows(batch: pa.RecordBatch) -> dict:
@@ -266,14 +264,14 @@ def streams(pages: DataFrame) -> DataFrame:
         hosts = list(map(host_of, batch.column(1).to_pylist()))
         tokens = [_hash([t for part in outside(f) for t in part]) for f in found]
         tops = [top_level(f) for f in found]
-        inner = [[(HOST - 1 - i, text) for i, (text, level, gone) in enumerate(f) if top and level == top and not gone] for f, top in zip(found, tops)]
-        places = [[HOST, *(i for i, _ in x)] for x in inner]
-        prefixes = [[0, *(xxhash.xxh64_intdigest(text, 1) - (1 << 63) for _, text in x)] for x in inner]
+        inner = [[(-1 - i, text) for i, (text, level, gone) in enumerate(f) if top and level == top and not gone] for f, top in zip(found, tops)]
+        places = [[i for i, _ in x] for x in inner]
+        prefixes = [[xxhash.xxh64_intdigest(text, 1) - (1 << 63) for _, text in x] for x in inner]
         whole = [xxhash.xxh64_intdigest(t.tobytes() + b"|".join(str(p).encode() for p in ps)) - (1 << 63) for t, ps in zip(tokens, prefixes)]
         counted: list[tuple[str, int, int, int, int]] = []
         for host in dict.fromkeys(hosts):
             mine = [i for i, h in enumerate(hosts) if h == host]
-            seen: dict[int, set[int]] = {}
+            seen: dict[int, set[int]] = {HOST: set(mine)}
             for i in mine:
                 for p in prefixes[i]:
                     seen.setdefault(p, set()).add(i)
@@ -298,11 +296,14 @@ def streams(pages: DataFrame) -> DataFrame:
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """key, places (with n, the pages that share it): what distinct streams of the page's host share. From ``streams``."""
+    """key, pages (of its host), places (with n, the pages that share it): what distinct streams of the page's host share. From ``streams``."""
     counted = found.where("key is null").groupBy("host", "prefix").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    shared = counted.where("lo <> hi").select("host", "prefix", "n")
+    counted = checkpoint(counted.where("lo <> hi").select("host", "prefix", "n"))
+    hosts = counted.where(F.col("prefix") == HOST).select("host", F.col("n").alias("pages"))
+    hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_PAGES else hosts
+    shared = counted.where(F.col("prefix") != HOST).join(hosts, "host")
     at = found.where("key is not null").select("key", "host", F.explode(F.arrays_zip("places", "prefixes")).alias("x")).select("key", "host", "x.*").withColumnRenamed("prefixes", "prefix")
-    return at.join(shared, ["host", "prefix"]).groupBy("key").agg(F.collect_set(F.struct(F.col("places").alias("place"), "n")).alias("places"))
+    return at.join(shared, ["host", "prefix"]).groupBy("key").agg(F.max("pages").alias("pages"), F.collect_set(F.struct(F.col("places").alias("place"), "n")).alias("places"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -310,16 +311,15 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def finish(batch: pa.RecordBatch) -> dict:
         places = [[(p["place"], p["n"]) for p in x or []] for x in batch.column(3).to_pylist()]
-        text = [keep(blocks(x), s) for x, s in zip(batch.column(2).to_pylist(), places)]
+        text = [keep(blocks(x), s, n or 0) for x, s, n in zip(batch.column(2).to_pylist(), places, batch.column(4).to_pylist())]
         runs = [sum(place >= 0 for place, _ in s) for s in places]
         return {"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64()), "n_repeated": pa.array(runs, pa.int64())}
 
-    # Pages are parsed twice, which costs less than keeping their text until the repeats are known. Without a run or block among them, the host's own place says nothing.
-    found = repeated(checkpoint(streams(pages))).where(F.size("places") > 1)
-    found = checkpoint(found)
+    # Pages are parsed twice, which costs less than keeping their text until the repeats are known.
+    found = checkpoint(repeated(checkpoint(streams(pages))))
     found = F.broadcast(found) if found.count() <= BROADCAST_PAGES else found
     rows = pages.select(_key(), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    joined = rows.join(found, "key", "left").select("page_id", "url", "html", "places")
+    joined = rows.join(found, "key", "left").select("page_id", "url", "html", "places", "pages")
     return map_batches(joined, finish, "page_id long, url string, text string, n_chars long, n_repeated long")
 
 

@@ -85,7 +85,7 @@ def test_the_array_decides(spark, table, monkeypatch):
     rows += [page(20 + i, f"<div>All the news of this town</div><div>{own(20 + i)}</div>", "other.example") for i in range(3)]
     got = {i: r.text for i, r in run(spark, table, rows).items()}
     assert got == {i: own(i) for i in [*range(10), 20, 21, 22]}
-    monkeypatch.setattr(X, "repeated", lambda found: found.where("false").selectExpr("key", "cast(null as array<struct<place:int,n:bigint>>) as places"))
+    monkeypatch.setattr(X, "repeated", lambda found: found.where("false").selectExpr("key", "n as pages", "cast(null as array<struct<place:int,n:bigint>>) as places"))
     without = {i: r.text for i, r in run(spark, table, rows).items()}
     assert all(without[i] != got[i] for i in got)
 
