@@ -296,18 +296,20 @@ def streams(pages: DataFrame) -> DataFrame:
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """key, pages (of its host), places (with n, the pages that share it): what distinct streams of the page's host share. From ``streams``."""
+    """key, pages (of its host), places (with n, the pages that share it): what distinct streams of the page's host share, on enough pages to go. From ``streams``."""
     counted = found.where("key is null").groupBy("host", "prefix").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     counted = checkpoint(counted.where("lo <> hi").select("host", "prefix", "n"))
     hosts = counted.where(F.col("prefix") == HOST).select("host", F.col("n").alias("pages"))
     hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_PAGES else hosts
-    shared = counted.where(F.col("prefix") != HOST).join(hosts, "host")
+    enough = lambda least, share: F.col("n") >= F.greatest(F.lit(least), F.col("pages") * share)
+    shared = counted.where(F.col("prefix") != HOST).join(hosts, "host").where(enough(SOME_PAGES, SOME))
     at = found.where("key is not null").select("key", "host", F.explode(F.arrays_zip("places", "prefixes")).alias("x")).select("key", "host", "x.*").withColumnRenamed("prefixes", "prefix")
-    return at.join(shared, ["host", "prefix"]).groupBy("key").agg(F.max("pages").alias("pages"), F.collect_set(F.struct(F.col("places").alias("place"), "n")).alias("places"))
+    deciding = at.join(shared, ["host", "prefix"]).where((F.col("places") >= 0) | enough(MOST_PAGES, MOST))
+    return deciding.groupBy("key").agg(F.max("pages").alias("pages"), F.collect_set(F.struct(F.col("places").alias("place"), "n")).alias("places"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_repeated (prefixes of its stream that other pages of the host have)."""
+    """page_id, url, text, n_chars, n_repeated (prefixes of its stream that enough pages of the host have)."""
 
     def finish(batch: pa.RecordBatch) -> dict:
         places = [[(p["place"], p["n"]) for p in x or []] for x in batch.column(3).to_pylist()]
