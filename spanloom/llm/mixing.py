@@ -10,14 +10,18 @@
    cumulative shares of the sources map it to a source. A source's slots are ranked, and
    its j-th slot takes block j modulo its number of blocks. A slot beyond the source's
    target is void, the last one is cut to the target, and the few slots by which the
-   point set falls short of a share stand at the end.
+   point set falls short of a share stand at the end, without a number.
+4. Places. ``taken`` says where in the mix a document first stands (``first_slot``; -1 if
+   at the end or nowhere) and in how many slots (``slots``). ``mixed_rows`` puts each copy
+   of a document at the first slot its pass over the source takes of it, and writes the mix
+   in slot order, in shards of equally many slots.
 
 Scale: no window runs over a whole source. Stream positions and slot ranks are made in
 two levels, inside buckets (1/4096 of the md5 range) or chunks of slots, then over the
 buckets' totals. Blocks join slots on (source, block), at most ``BLOCK`` documents each.
 Only the source table, one row a source, is ordered as a whole.
 
-Defined cases: a null or white text has size 0 and takes 0. A null doc_id is placed like
+Defined cases: a null or white text has size 0, takes 0 and stands in no slot. A null doc_id is placed like
 the empty id. Repeated rows are separate rows of the stream; rows equal in doc_id, source
 and size are interchangeable there. Columns other than doc_id, source and text are not
 read. An empty table gives no rows; if all sizes are 0, all targets are 0.
@@ -81,7 +85,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def schedule(sources: DataFrame) -> DataFrame:
-    """k, slot (place in the mix; null at its end), rank (from 0 in the source), block, upto (words taken of it)."""
+    """k, slot (place in the mix; null at its end), rank (from 0 in the source), block, round (pass over the source), upto (words taken of it)."""
     live = sources.where("slots > 0").select("k", "source_size", "blocks", "rest", "slots", "lo", "hi", "all_slots")
     chunks = live.agg(F.max("all_slots").alias("n")).where("n > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))).alias("chunk"), "n")
     first = F.col("chunk") * CHUNK
@@ -107,7 +111,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     s = ranked.unionByName(late).where("rank < slots")
     last = (F.col("rank") == F.col("slots") - 1) & (F.col("rest") > 0)
     s = s.withColumn("block", F.col("rank") % F.col("blocks"))
-    return s.select("k", "slot", "rank", "block", F.when(last, F.col("rest") - F.col("block") * BLOCK).otherwise(F.lit(BLOCK).cast("long")).alias("upto"))
+    return s.select("k", "slot", "rank", "block", F.floor(F.col("rank") / F.col("blocks")).alias("round"), F.when(last, F.col("rest") - F.col("block") * BLOCK).otherwise(F.lit(BLOCK).cast("long")).alias("upto"))
 
 
 def stream(sizes: DataFrame) -> DataFrame:
@@ -120,54 +124,60 @@ def stream(sizes: DataFrame) -> DataFrame:
 
 
 def mix(sizes: DataFrame, sources: DataFrame) -> DataFrame:
-    """The mix: a row for each piece of a document in a slot: k, slot, rank, block, doc_id, size, off, words."""
+    """The mix: a row for each piece of a document in a slot: k, slot, rank, round, block, doc_id, size, off, words."""
     d = stream(sizes).where("size > 0")
     pieces = d.withColumn("block", F.explode(F.sequence(F.floor(F.col("off") / BLOCK), F.floor((F.col("off") + F.col("size") - 1) / BLOCK))))
     start = F.col("block") * BLOCK
     pieces = pieces.withColumn("a", F.greatest(F.col("off") - start, F.lit(0))).withColumn("b", F.least(F.col("off") + F.col("size") - start, F.lit(BLOCK)))
     m = pieces.join(schedule(sources).hint("merge"), ["k", "block"]).withColumn("words", F.least("b", "upto") - F.col("a"))
-    return m.where("words > 0").select("k", "slot", "rank", "block", "doc_id", "size", "off", "words")
+    return m.where("words > 0").select("k", "slot", "rank", "round", "block", "doc_id", "size", "off", "words")
 
 
-def _taken(docs: DataFrame) -> DataFrame:
-    """doc_id, k, size, off, source_size, target, taken: one row per row of ``docs``."""
+def taken(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_slot, slots: one row per row of ``docs``."""
     sizes = checkpoint(sized(docs))
     sources = checkpoint(targets(sizes))
-    none = F.lit(0).cast("long")
-    got = mix(sizes, sources).select("k", "off", "doc_id", "size", "words").unionByName(stream(sizes).where("size > 0").select("k", "off", "doc_id", "size", none.alias("words")))
-    got = got.groupBy("k", "off", "doc_id", "size").agg(F.sum("words").alias("taken"))
-    got = got.unionByName(sizes.where("size = 0").select("k", none.alias("off"), "doc_id", "size", none.alias("taken")))
+    none, nowhere = F.lit(0).cast("long"), F.lit(None).cast("long")
+    got = mix(sizes, sources).select("k", "off", "doc_id", "size", "words", "slot", "rank")
+    got = got.unionByName(stream(sizes).where("size > 0").select("k", "off", "doc_id", "size", none.alias("words"), nowhere.alias("slot"), nowhere.alias("rank")))
+    got = got.groupBy("k", "off", "doc_id", "size").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count("rank").alias("slots"))
+    got = got.unionByName(sizes.where("size = 0").select("k", none.alias("off"), "doc_id", "size", none.alias("taken"), nowhere.alias("first_slot"), none.alias("slots")))
     shares = sources.select("k", "source_size", "target")
     shares = F.broadcast(shares) if shares.count() <= BROADCAST_SOURCES else shares
-    return got.join(shares, "k")
-
-
-def taken(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per row of ``docs``."""
-    return _taken(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return got.join(shares, "k").select("doc_id", "size", "source_size", "target", "taken", F.coalesce("first_slot", F.lit(-1)).alias("first_slot"), "slots")
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them: taken over size, to the nearest whole number.
+    """The rows of ``docs`` in the order of the mix, each as often as the mix takes it.
 
-    All but one document a source are taken a whole number of times. Documents without words go.
+    A pass over a source that takes at least half of a document's words takes the whole
+    document, else none of it. The rows stand in shards of equally many slots, in slot order
+    in each; those at the end without a slot come last. Documents without words go.
     """
     alike = ["__k", "__size", "__id"]
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")
-    got = _taken(docs).where("taken > 0").select(F.col("k").alias("__k"), F.col("size").alias("__size"), name, "off", F.rint(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    got = got.withColumn("__rank", F.row_number().over(W.partitionBy(*alike).orderBy("off"))).where("__times > 0").drop("off")
+    sizes = checkpoint(sized(docs))
+    sources = checkpoint(targets(sizes))
+    copies = mix(sizes, sources).groupBy("k", "off", "doc_id", "size", "round").agg(F.sum("words").alias("words"), F.min("slot").alias("__slot"), F.min("rank").alias("__first"))
+    copies = copies.where("2 * words >= size").select(F.col("k").alias("__k"), F.col("size").alias("__size"), name, F.col("off").alias("__off"), "__slot", "__first")
+    copies = copies.withColumn("__rank", F.dense_rank().over(W.partitionBy(*alike).orderBy("__off")))
     rows = docs.withColumns({"__k": _source_key(), "__size": _size(), "__id": name})
     rows = rows.withColumn("__no", F.row_number().over(W.partitionBy(*alike).orderBy("text")))
     # The numbers of equal rows are compared but aren't a key, so the texts stay where the window left them.
-    taken_rows = rows.join(got.hint("merge"), alike).where(F.col("__no") - F.col("__rank") == 0)
-    return taken_rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    placed = rows.join(copies.hint("merge"), alike).where(F.col("__no") - F.col("__rank") == 0)
+    # Slots are equal in words, so a shard's place follows from the slot: no sample of the rows has to be sorted.
+    n, shards = sources.agg(F.max("all_slots")).first()[0] or 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shard = F.coalesce(F.floor(F.col("__slot") / n * shards).cast("int"), F.lit(shards - 1))
+    dealt = placed.repartitionById(shards, F.least(shard, F.lit(shards - 1)))
+    return dealt.sortWithinPartitions(F.col("__slot").asc_nulls_last(), "__k", "__first", "__off").select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(read(spark, sf_dir, "documents"))
 
 
-#: The same shares without slots: whole passes over the stream, and the stream's start once more.
+#: Words are counted without slots: whole passes over the stream, and the stream's start once more.
+#: Places come from the schedule, with points summed from bits and each rank joined to its blocks.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -179,11 +189,26 @@ l AS (
 v AS (SELECT min_by(own_level, 3 * source_size / weight) AS level FROM l WHERE own_level * weight <= 3 * source_size),
 t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), level * weight) AS target FROM l, v),
 w AS (SELECT *, least(3 * source_size, CAST(round_even(target, 0) AS BIGINT)) AS words FROM t),
-p AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS off FROM d)
+p AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS off FROM d),
+b AS (SELECT *, (source_size + 63) // 64 AS blocks, words % source_size AS rest, words // source_size * ((source_size + 63) // 64) + (words % source_size + 63) // 64 AS n FROM w WHERE source_size > 0),
+e AS (SELECT *, sum(n) OVER (ORDER BY source NULLS LAST) AS upto, sum(n) OVER () AS total FROM b),
+band AS (SELECT *, floor(CAST(upto - n AS DOUBLE) / total * 4503599627370496.0) AS lo, floor(CAST(upto AS DOUBLE) / total * 4503599627370496.0) AS hi FROM e),
+slot AS (SELECT i, list_sum([((i >> x) & 1) << (51 - x) FOR x IN range(52)]) AS point FROM (SELECT unnest(range((SELECT CAST(max(total) AS BIGINT) FROM band))) AS i)),
+hit AS (SELECT source, i, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS r FROM slot JOIN band ON point >= lo AND point < hi),
+ranks AS (SELECT source, blocks, rest, n, unnest(range(CAST(n AS BIGINT))) AS r FROM band),
+mix AS (
+  SELECT ranks.source, ranks.r % blocks AS block, hit.i AS slot, CASE WHEN ranks.r = n - 1 AND rest > 0 THEN rest ELSE (ranks.r % blocks + 1) * 64 END AS far
+  FROM ranks LEFT JOIN hit ON hit.source IS NOT DISTINCT FROM ranks.source AND hit.r = ranks.r),
+piece AS (SELECT doc_id, source, size, off, unnest(range(off // 64, (off + size - 1) // 64 + 1)) AS block FROM p WHERE size > 0),
+stands AS (
+  SELECT q.doc_id, q.source, q.off, min(slot) AS first_slot, count(*) AS slots FROM piece q JOIN mix ON mix.source IS NOT DISTINCT FROM q.source AND mix.block = q.block
+  WHERE far > greatest(q.off, q.block * 64) GROUP BY q.doc_id, q.source, q.off)
 SELECT p.doc_id, p.size, w.source_size, w.target,
        CASE WHEN w.source_size = 0 THEN CAST(0 AS BIGINT)
-            ELSE CAST(w.words // w.source_size * p.size + greatest(0, least(p.off + p.size, w.words % w.source_size) - p.off) AS BIGINT) END AS taken
+            ELSE CAST(w.words // w.source_size * p.size + greatest(0, least(p.off + p.size, w.words % w.source_size) - p.off) AS BIGINT) END AS taken,
+       coalesce(first_slot, -1) AS first_slot, coalesce(slots, 0) AS slots
 FROM p JOIN w ON p.source IS NOT DISTINCT FROM w.source
+LEFT JOIN stands ON p.size > 0 AND stands.doc_id IS NOT DISTINCT FROM p.doc_id AND stands.source IS NOT DISTINCT FROM p.source AND stands.off = p.off
 """
 
 QUERIES = {"op2_mixing": op2_mixing}

@@ -54,3 +54,55 @@ def test_mixed_rows_repeat_whole_documents(spark):
     for r in got.collect():
         counts[str(r.doc_id)] = counts.get(str(r.doc_id), 0) + 1
     assert counts == {i: sum(n for j, n in want if j == i) for i in {j for j, n in want if n}}
+
+
+def test_places_against_the_schedule_step_by_step(spark):
+    """first_slot, slots and taken as a plain walk over the slots gives them; they hang on the points."""
+    import hashlib
+
+    rows = [(i, "abc"[i % 3], 1 + i * 37 % 200) for i in range(120)]
+    got = {r.doc_id: (r.taken, r.first_slot, r.slots) for r in mixing.taken(docs(spark, rows)).collect()}
+    streams = {s: [i for i, x, n in sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()) if x == s for _ in range(n)] for s in "abc"}
+    words = {r.source_size: r.target for r in mixing.taken(docs(spark, rows)).collect()}
+
+    def walk(point):
+        share = {}
+        for s, x in streams.items():
+            target, blocks = min(3 * len(x), round(words[len(x)])), -(-len(x) // 64)
+            share[s] = [blocks, target % len(x), target // len(x) * blocks + -(-(target % len(x)) // 64)]
+        total, at, rank, out = sum(v[2] for v in share.values()), 0, dict.fromkeys(share, 0), {}
+        bands = []
+        for s, v in share.items():
+            bands.append((at / total, (at + v[2]) / total, s))
+            at += v[2]
+
+        def give(s, slot):
+            blocks, rest, n = share[s]
+            if rank[s] == n:
+                return
+            at = rank[s] % blocks * 64
+            far = rest if rank[s] == n - 1 and rest else at + 64
+            piece = streams[s][at:far]
+            for i in set(piece):
+                t, first, k = out.get(i, (0, -1, 0))
+                out[i] = (t + piece.count(i), slot if first < 0 else first, k + 1)
+            rank[s] += 1
+
+        for slot in range(total):
+            give(next(s for lo, hi, s in bands if lo <= point(slot, total) < hi), slot)
+        for s in share:
+            while rank[s] < share[s][2]:
+                give(s, -1)
+        return {i: out.get(i, (0, -1, 0)) for i, _, _ in rows}
+
+    assert got == walk(lambda i, n: int(f"{i:052b}"[::-1], 2) / (1 << 52))
+    assert got != walk(lambda i, n: i / n)
+
+
+def test_mixed_rows_stand_in_slot_order(spark):
+    """Equal sources of weights 1, 2 and 3 alternate all along the files, and every stretch has the shares."""
+    d = docs(spark, [(i, "abc"[i % 3], 64) for i in range(600)])
+    mixed = [r.source for r in mixing.mixed_rows(d).collect()]
+    assert len(mixed) == 600
+    for at in range(0, 540, 60):
+        assert [mixed[at : at + 60].count(s) for s in "abc"] == pytest.approx([10, 20, 30], abs=3)
