@@ -46,6 +46,8 @@ SALTS = 64
 #: How many bytes a mean code length counts for in the score.
 SHARPNESS = 24
 BATCH_BYTES = 1 << 20
+#: So many bits more than ``max_bits`` a byte a text may cost in all: a few odd words don't make it foreign.
+SLACK_BITS = 128
 
 
 @dataclass
@@ -251,12 +253,18 @@ def learned(docs: DataFrame) -> Model:
 
 
 def keep_known(docs: DataFrame, model: Model, max_bits: float = 8.0, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are text of a learned language: not ``und``, and coded in ``max_bits`` a byte at most."""
+    """The rows of ``docs`` that are text of a learned language: not ``und``, and coded in ``max_bits`` a byte and ``SLACK_BITS`` at most.
+
+    8 bits a byte is what a text costs without a model, so text of a learned language stays far
+    below; languages and scripts not learned, and random letters, cost 10 to 20.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
         for batch in slices(batches):
-            yield batch.filter(pa.array([x[0] != "und" and x[2] <= max_bits for x in predict(shared.value, batch.column(at).to_pylist())], pa.bool_()))
+            found = batch.column(at).to_pylist()
+            known = [x[0] != "und" and (x[2] - max_bits) * len(t.encode()) <= SLACK_BITS for t, x in zip(found, predict(shared.value, found))]
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -78,3 +78,50 @@ def test_long_texts_are_learned_up_to_the_bound(spark, monkeypatch):
     got = L.sample(spark.createDataFrame(rows, DOCUMENTS), F.lit(True))
     assert {lang: sum(map(len, x)) for lang, x in got.items()} == {"aa": 1000, "zz": 1000}
     assert got["zz"] == [("zebra zoo " * 100).encode()]
+
+
+def test_query_against_trees(spark, table):
+    """Every row of the query, its language and bits from trees of the rows that aren't held out."""
+    import zlib
+
+    from oddrows import DOCUMENTS
+
+    said = {"aa": "banana bandana an", "bb": "mississippi missing sip", "cc": "zürich größe"}
+    rows = [(i, f"{said[x]} {x}{i * 7 % 11} " * (1 + i % 3), x, "s", 9) for i, x in enumerate(["aa", "bb", "cc"] * 12)]
+    rows += [(100, None, "aa", "s", 0), (101, "12 34", "bb", "s", 0), (102, "ban miss", None, "s", 0)]
+    corpus = defaultdict(set)
+    for i, text, lang, _, _ in rows:
+        if zlib.crc32(str(i).encode()) % 5 and text and lang:
+            corpus[lang].add((i, text))
+    got = {r.doc_id: r for r in L.op3_language(spark, table("documents", rows, DOCUMENTS)).collect()}
+    assert len(got) == len(rows)
+    for i, text, _, _, _ in rows:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        if not text or not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        raw = text.encode()
+        bits = {x: brute(raw, [t.encode() for _, t in c]) / len(raw) for x, c in corpus.items()}
+        best = min(sorted(bits), key=bits.get)
+        assert got[i].lang_pred == best and got[i].bits == pytest.approx(bits[best], abs=1e-3)
+        assert got[i].score == pytest.approx(1 / sum(2 ** (L.SHARPNESS * (bits[best] - b)) for b in bits.values()), abs=1e-2)
+
+
+def test_foreign_and_random_texts_go(spark, sf_dir):
+    """Languages and scripts that no document teaches, and random letters; short odd texts stay."""
+    import random
+
+    rnd = random.Random(1)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    foreign = [
+        "Dlaczego nie możemy zrobić tego jutro rano, powiedział nauczyciel do uczniów przed wyjazdem.",
+        "Het is vandaag mooi weer en wij gaan met de kinderen naar het strand om te zwemmen, zei zij.",
+        "これは日本語の文章です。言語の識別に使います。明日は雨が降るでしょう。傘を持って行きます。",
+        "Сегодня хорошая погода, и мы пойдём с детьми на пляж, а вечером вернёмся домой.",
+        "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)),
+    ]
+    planted = spark.createDataFrame([(-1 - i, x, None, None, 0) for i, x in enumerate([*(f"{x} " * 3 for x in foreign), "A.", "token = 9dd3c8", "Q7-x9!"])], docs.schema)
+    kept = {r.doc_id for r in L.keep_known(docs.unionByName(planted), L.learned(docs)).collect()}
+    assert {i for i in kept if i < 0} == {-6, -7, -8}
+    clean = {r.doc_id for r in docs.collect() if r.text and sum(c.isalpha() for c in r.text) > 20}
+    assert clean <= kept
