@@ -46,21 +46,21 @@ def chunk_ends(text: Column, size: int = CHUNK_CHARS) -> Column:
     return _with(F.length(text), ends)
 
 
-def explode_chunks(docs: DataFrame, key: str, text_col: str = "text", size: int = CHUNK_CHARS) -> DataFrame:
-    """A row a chunk: key, chunk_index, label, text_offset, text. A null text counts as empty."""
-    d = docs.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+def explode_chunks(docs: DataFrame, key: str, text_col: str = "text", size: int = CHUNK_CHARS, also: tuple[str, ...] = ()) -> DataFrame:
+    """A row a chunk: key, the columns ``also``, chunk_index, label, text_offset, text. A null text counts as empty."""
+    d = docs.select(key, *also, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     d = d.withColumn("__ends", chunk_ends(F.col("__text"), size))
-    d = d.select(key, "__text", "__ends", F.posexplode(F.slice("__ends", F.lit(2), F.size("__ends"))).alias("chunk_index", "__end"))
+    d = d.select(key, *also, "__text", "__ends", F.posexplode(F.slice("__ends", F.lit(2), F.size("__ends"))).alias("chunk_index", "__end"))
     start = F.get("__ends", F.col("chunk_index"))
-    return d.select(key, "chunk_index", F.concat(F.lit("chunk "), (F.col("chunk_index") + 1).cast("string")).alias("label"), start.alias("text_offset"), F.substring("__text", start + 1, F.col("__end") - start).alias("text"))
+    return d.select(key, *also, "chunk_index", F.concat(F.lit("chunk "), (F.col("chunk_index") + 1).cast("string")).alias("label"), start.alias("text_offset"), F.substring("__text", start + 1, F.col("__end") - start).alias("text"))
 
 
 def rebased(entities: Column, offset: Column) -> Column:
     return F.transform(entities, lambda e: e.withField("start", e["start"] + offset).withField("end", e["end"] + offset)).cast(ENTITIES)
 
 
-def rollup(results: DataFrame, key: str) -> DataFrame:
-    """A row a document from the results of its chunks (with chunk_index and text_offset).
+def rollup(results: DataFrame, *keys: str) -> DataFrame:
+    """A row a document (equal keys, null among them) from the results of its chunks (with chunk_index and text_offset).
 
     Score, level and route are those of the chunk with the highest score, the first on
     ties; groups and layers are united, entities stand in chunk order with their places
@@ -74,7 +74,7 @@ def rollup(results: DataFrame, key: str) -> DataFrame:
         return F.transform(F.array_sort(values, lambda a, b: a["chunk_index"] - b["chunk_index"]), lambda s: s["x"])
 
     timed = [c for c in ("processing_time_ms",) if c in results.columns]
-    out = r.groupBy(key).agg(
+    out = r.groupBy(*keys).agg(
         F.max_by(F.struct("score", "sensitivity_level", "routing_suggestion"), F.struct("score", -F.col("chunk_index"))).alias("best"),
         F.flatten(ordered("entities")).alias("entities"),
         F.array_distinct(F.flatten(ordered("layers_invoked"))).alias("layers_invoked"),
@@ -84,7 +84,7 @@ def rollup(results: DataFrame, key: str) -> DataFrame:
         *[F.sum(c).alias(c) for c in timed],
     )
     return out.select(
-        key, F.col("best.score").alias("score"), F.col("best.sensitivity_level").alias("sensitivity_level"), F.col("best.routing_suggestion").alias("routing_suggestion"),
+        *keys, F.col("best.score").alias("score"), F.col("best.sensitivity_level").alias("sensitivity_level"), F.col("best.routing_suggestion").alias("routing_suggestion"),
         "category_groups_found", F.col("first.top_category").alias("top_category"), F.col("first.top_confidence").alias("top_confidence"),
         F.size("entities").alias("entity_count"), "layers_invoked", "chunk_count", "entities", *timed,
     )

@@ -150,18 +150,28 @@ class Engine:
         return df.withColumn(out_col, redact.unredact(F.col(text_col), F.col(f"{mapping_col}.tokens")))
 
     def analyze_documents(self, docs: DataFrame, key: str = "doc_id", text_col: str = "text", size: int = chunk.CHUNK_CHARS, strictest_route: bool = False, **how) -> DataFrame:
-        """A row a document: the roll-up of its chunks' results, with the hash of the whole text."""
-        parts = self.analyze(chunk.explode_chunks(docs, key, text_col, size), **how)
-        out = chunk.rollup(parts, key)
+        """A row a document: the roll-up of its chunks' results, with the hash of the whole text.
+
+        A document is a key and a text, so texts that share a key or have none are documents of
+        their own. Rows equal in both are one, whose entities stand once a row.
+        """
+        hashed = self._hashed(docs, text_col, "__document")
+        parts = self.analyze(chunk.explode_chunks(hashed, key, text_col, size, ("__document",)), **how)
+        out = chunk.rollup(parts, key, "__document")
         if strictest_route:
             out = out.withColumn("routing_suggestion", F.when(score.has_group(F.col("entities"), *score.LOCAL_GROUPS), "LOCAL_ONLY").when(score.has_group(F.col("entities"), "PHI") | (F.col("score") > 30), "REDACT_CLOUD").otherwise("CLOUD_OK"))
-        hashes = docs.groupBy(key).agg(score.text_hash(F.coalesce(F.min(text_col), F.lit("")), 64).alias("text_hash"))
-        return out.join(hashes, key)
+        return out.withColumnRenamed("__document", "text_hash")
+
+    @staticmethod
+    def _hashed(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+        return docs.withColumn(name, score.text_hash(F.coalesce(F.col(text_col), F.lit("")), 64))
 
     def redact_documents(self, docs: DataFrame, key: str = "doc_id", text_col: str = "text", profile: str | Profile | None = None, labels: Iterable[str] | None = None, salt: Column | str | None = None, created_at: Column | None = None, size: int = chunk.CHUNK_CHARS) -> DataFrame:
-        """A row a document: key, text, redacted, mapping, from the entities of its chunks."""
+        """A row a row of ``docs``: key, text, redacted, mapping, from the entities of its chunks."""
         p = self.registry.get(profile) if profile is not None else self.profiles[0]
-        found = self.analyze_documents(docs, key, text_col, size, profiles=[p]).select(key, "entities").join(docs.select(key, text_col), key)
+        found = self.analyze_documents(docs, key, text_col, size, profiles=[p]).select(F.col(key).alias("__key"), "text_hash", "entities")
+        hashed = self._hashed(docs.select(key, text_col), text_col, "__document")
+        found = hashed.join(found, (F.col("__document") == F.col("text_hash")) & F.col(key).eqNullSafe(F.col("__key")))
         return self._redacted(found, text_col, p, labels, salt, created_at).select(key, text_col, "redacted", "mapping")
 
     def required_models(self, tier: str = "fast") -> list[str]:

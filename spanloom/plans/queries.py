@@ -7,17 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.catalog import Pattern, Registry, active_patterns, active_rules, active_weights
+from spanloom.catalog import Pattern, Profile, Registry, active_patterns, active_rules, active_weights
 from spanloom.functions import spans as S
 from spanloom.functions.types import ENTITIES
 from spanloom.operators import calibrate, chunk, corpus, evaluate, model, redact, score
 from spanloom.operators.scan import scan, spread
 from spanloom.plans import oracle as O
+from spanloom.plans import samples
 from spanloom.plans.engine import Engine, Options
 from spanloom.sources import files, sinks
 from spanloom.streaming.events import progress
 
 ALL = ["legal", "therapy", "finance"]
+PRO = ["legal", "therapy-pro", "finance"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -111,6 +113,51 @@ def scan_spans_conversations(spark, sf_dir):
     return _scan_table(read(spark, sf_dir, "conversations").selectExpr("conv_id * 1000 + turn AS doc_id", f"{_TURN} AS text"))
 
 
+EVERY = ["legal", "therapy", "therapy-pro", "finance"]
+
+
+def sample_texts(regexes: list[str], words: list[tuple[str, ...]]) -> list[str]:
+    """For each expression: what it matches, another alternative beside a context word, and the first inside a longer word."""
+    out = []
+    for regex, context in zip(regexes, words):
+        first, second = samples.example(regex), samples.example(regex, 1)
+        out += [f"Note: {first} .", f"{(context or ('as',))[0]} - {second} , see 12", f"x{first}x"]
+    return out
+
+
+PATTERN_TEXTS = sample_texts([p.regex for p in active_patterns([Registry().get(p) for p in EVERY])], [p.context for p in active_patterns([Registry().get(p) for p in EVERY])])
+RULE_TEXTS = sample_texts([r.regex for r in active_rules([Registry().get(p) for p in EVERY])], [r.context for r in active_rules([Registry().get(p) for p in EVERY])])
+
+
+def _samples(spark: SparkSession, sf_dir: str, texts: list[str]) -> DataFrame:
+    """doc_id, text: one of the texts an order, in turn."""
+    one = F.element_at(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % len(texts) + 1).cast("int"))
+    return spread(read(spark, sf_dir, "orders").select("o_orderkey")).select(F.col("o_orderkey").alias("doc_id"), one.alias("text"))
+
+
+def _samples_sql(texts: list[str]) -> str:
+    return f"t AS MATERIALIZED (SELECT o_orderkey AS doc_id, list_extract([{', '.join(map(O.quoted, texts))}], CAST(o_orderkey % {len(texts)} + 1 AS INTEGER)) AS text FROM orders)"
+
+
+@query("pattern_samples", O.sql(O.scan_ctes(EVERY, 0.0, _samples_sql(PATTERN_TEXTS)), 'SELECT doc_id, ord, category, s AS start, CAST(e AS INTEGER) AS "end", CAST(round(confidence * 1000) AS INTEGER) AS confidence FROM raw'))
+def pattern_samples(spark, sf_dir):
+    d = scan(_samples(spark, sf_dir, PATTERN_TEXTS), active_patterns([Registry().get(p) for p in EVERY]))
+    s = F.col("s")
+    return d.select("doc_id", F.explode("spans").alias("s")).select("doc_id", s["ord"].alias("ord"), s["category"].alias("category"), s["start"].alias("start"), s["end"].alias("end"), thousandths(s["confidence"]).alias("confidence"))
+
+
+@query("rule_samples", O.sql([_samples_sql(RULE_TEXTS), *O.hit_ctes(EVERY)], 'SELECT doc_id, rule, category, s AS start, CAST(e AS INTEGER) AS "end", context, CAST(round(conf * 1000) AS INTEGER) AS confidence FROM hits'))
+def rule_samples(spark, sf_dir):
+    d = scan(_samples(spark, sf_dir, RULE_TEXTS), [], active_rules([Registry().get(p) for p in EVERY]))
+    h = F.col("h")
+    return d.select("doc_id", F.explode("hits").alias("h")).select("doc_id", h["rule"].alias("rule"), h["category"].alias("category"), h["start"].alias("start"), h["end"].alias("end"), h["context"].alias("context"), thousandths(h["confidence"]).alias("confidence"))
+
+
+@query("analyze_samples", O.sql(O.results(PRO, source=_samples_sql(PATTERN_TEXTS)), RESULT))
+def analyze_samples(spark, sf_dir):
+    return result_row(Engine(PRO).analyze(_samples(spark, sf_dir, PATTERN_TEXTS)))
+
+
 @query("dedup_overlaps", O.sql([*O.scan_ctes(ALL), *O.dedup_ctes()], 'SELECT doc_id, category, s AS start, CAST(e AS INTEGER) AS "end", CAST(round(confidence * 1000) AS INTEGER) AS confidence, v AS found FROM kept'))
 def dedup_overlaps(spark, sf_dir):
     d = Engine(ALL).layered(sentences(spark, sf_dir), layers=["REGEX"])
@@ -135,9 +182,6 @@ def rule_context(spark, sf_dir):
     return d.select("doc_id", F.explode("hits").alias("h")).select("doc_id", h["rule"].alias("rule"), h["category"].alias("category"), h["start"].alias("start"), h["end"].alias("end"), h["context"].alias("context"), thousandths(h["confidence"]).alias("confidence"))
 
 
-PRO = ["legal", "therapy-pro", "finance"]
-
-
 def _after_rules(spark, sf_dir) -> DataFrame:
     e = F.col("e")
     d = Engine(PRO).layered(sentences(spark, sf_dir)).select("doc_id", F.explode("after_rules").alias("e"))
@@ -349,10 +393,27 @@ def document_rollup(spark, sf_dir):
     return r.select("doc_id", "score", F.col("sensitivity_level").alias("level"), F.col("routing_suggestion").alias("route"), F.col("entity_count").alias("n"), F.col("chunk_count").alias("chunks"), F.col("text_hash").alias("hash"))
 
 
-@query("redact_documents", O.sql([*_LONG], "SELECT doc_id, text AS restored FROM docs"))
+#: The targets of whole documents: the chunks' entities at their places in the document.
+_LONG_TARGETS = [
+    "placed AS (SELECT ch.doc AS doc_id, category, v, s + pos AS s, e + pos AS e, origin, i * 10000 + place AS place FROM sure JOIN ch ON sure.doc_id = ch.doc * 10000 + ch.i)",
+    *[x.replace("FROM sure ", "FROM placed ").replace("JOIN t USING", "JOIN docs USING") for x in _TARGETS],
+]
+
+
+@query("redact_documents", O.sql([*_LONG, *O.results(["legal"], source=_LONG_TEXT), *_LONG_TARGETS], "SELECT docs.doc_id, coalesce(head || substr(text, far + 1), text) AS redacted, text AS restored FROM docs LEFT JOIN spliced USING (doc_id)"))
 def redact_documents(spark, sf_dir):
     r = Engine(["legal"]).redact_documents(_long(spark, sf_dir), size=300, salt=SALT)
-    return Engine.unredact(r).select("doc_id", "restored")
+    return Engine.unredact(r).select("doc_id", "redacted", "restored")
+
+
+_LONG_RAW = 'SELECT doc_id // 10000 AS doc_id, category, s + pos AS start, CAST(e + pos AS INTEGER) AS "end", v AS found FROM sure JOIN ch ON sure.doc_id = ch.doc * 10000 + ch.i'
+
+
+@query("document_entities", O.sql([*_LONG, *O.results(["legal", "finance"], source=_LONG_TEXT)], _LONG_RAW))
+def document_entities(spark, sf_dir):
+    e = F.col("e")
+    r = Engine(["legal", "finance"]).analyze_documents(_long(spark, sf_dir), size=300).select("doc_id", F.explode("entities").alias("e"))
+    return r.select("doc_id", e["category"].alias("category"), e["start"].alias("start"), e["end"].alias("end"), e["text"].alias("found"))
 
 
 @query("document_formats", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'markdown' WHEN 2 THEN 'text' END AS format FROM documents")
@@ -474,10 +535,21 @@ def stream_progress(spark, sf_dir):
     return progress(Engine(ALL), sentences(spark, sf_dir), "doc_id").select("doc_id", "seq", F.coalesce("layer", F.lit("final")).alias("layer"), F.size("entities").cast("long").alias("n"))
 
 
-@query("batch_errors", O.sql([O.ORDERS], "SELECT count(*) AS n, 0::BIGINT AS errors FROM t"))
+#: A profile that fails where a text has the word dock: what should be a context word is no string.
+#: In texts with an address, the e-mail and the phone number, known to every profile, cover the numbers.
+FAILING = Profile("failing", categories=("NUMBER", "DOCK"), patterns=(Pattern("Number", "NUMBER", "number", 0.9, "[0-9]+"), Pattern("Dock", "DOCK", "dock", 0.9, "dock", context=(1,))))
+
+
+@query("batch_errors", O.sql([O.ORDERS], "SELECT doc_id, CASE WHEN contains(text, 'dock') THEN 'AttributeError' ELSE '' END AS error_type, CASE WHEN contains(text, 'dock') THEN 0 WHEN contains(text, '@') THEN 2 ELSE CAST(len(regexp_extract_all(text, '[0-9]+')) AS INTEGER) END AS n FROM t"))
 def batch_errors(spark, sf_dir):
-    r = Engine(ALL).analyze(sentences(spark, sf_dir))
-    return r.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    r = Engine([FAILING], Options(context_boost=0.1)).analyze(sentences(spark, sf_dir), layers=["REGEX"])
+    return r.select("doc_id", F.coalesce("error.error_type", F.lit("")).alias("error_type"), F.col("entity_count").alias("n"))
+
+
+@query("layers_invoked", O.sql(O.results(["therapy"]), "SELECT doc_id, CASE WHEN score BETWEEN 20 AND 60 AND NOT contains(groups, 'PRIVILEGE') AND NOT contains(groups, 'MNPI') THEN 'REGEX,NER,RULES,LLM' ELSE 'REGEX,NER,RULES' END AS layers FROM result"))
+def layers_invoked(spark, sf_dir):
+    r = Engine(["therapy"], client=lambda: lambda prompt: '{"detections": []}').analyze(sentences(spark, sf_dir))
+    return r.select("doc_id", F.array_join("layers_invoked", ",").alias("layers"))
 
 
 @query("corpus_generation", "SELECT * FROM (VALUES ('finance', 'adversarial_negative', 40), ('finance', 'true_negative', 40), ('finance', 'true_positive', 120), ('legal', 'adversarial_negative', 40), ('legal', 'true_negative', 40), ('legal', 'true_positive', 120), ('therapy', 'adversarial_negative', 40), ('therapy', 'true_negative', 40), ('therapy', 'true_positive', 120)) AS c(domain, category, n)")

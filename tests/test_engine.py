@@ -300,3 +300,31 @@ def test_document_redaction(spark):
     text = "Nothing.\n\n" * 30 + "Write to a@b.org."
     r = Engine(["legal"]).redact_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), size=100, salt="s").first()
     assert "a@b.org" not in r.redacted and r.redacted.startswith("Nothing.")
+
+
+def test_documents_without_a_key_or_with_an_equal_one_stay_apart(spark):
+    df = spark.createDataFrame([(None, "MNPI a@b.org"), (None, "nothing"), (None, None), (3, "MNPI"), (3, "x@y.org and MNPI")], "doc_id long, text string")
+    got = Engine(["finance"]).analyze_documents(df).collect()
+    assert sorted((r.doc_id or 0, r.entity_count) for r in got) == [(0, 0), (0, 0), (0, 2), (3, 1), (3, 2)] and len({r.text_hash for r in got}) == 5
+    done = Engine(["legal"]).redact_documents(df, salt="s").collect()
+    assert len(done) == 5 and not any("@" in (r.redacted or "") for r in done)
+
+
+# ---- every pattern and rule
+
+
+def test_samples_reach_every_pattern_and_rule():
+    import re
+
+    from spanloom.catalog import active_patterns, active_rules
+    from spanloom.plans import queries as Q
+
+    profiles = [Registry().get(p) for p in Q.EVERY]
+    patterns, rules = active_patterns(profiles), active_rules(profiles)
+    assert {(p.recognizer, p.name) for p in patterns} >= {x[:2] for x in bank.PATTERNS} and {r.id for r in rules} == {x[1] for x in bank.RULES}
+    assert [p.name for i, p in enumerate(patterns) if not any(re.search(p.regex, x, re.IGNORECASE) for x in Q.PATTERN_TEXTS[3 * i : 3 * i + 2])] == []
+    assert [r.id for i, r in enumerate(rules) if not any(re.search(r.regex, x, r.flags) for x in Q.RULE_TEXTS[3 * i : 3 * i + 2])] == []
+    bank_of = compiled(tuple(patterns), tuple(rules))
+    spans = [find(x, bank_of, 0.0)[0] for x in Q.PATTERN_TEXTS]
+    assert {s["ord"] for row in spans for s in row} == set(range(len(patterns)))
+    assert {h["ord"] for x in Q.RULE_TEXTS for h in find(x, bank_of, 0.0)[1]} == set(range(len(rules)))
