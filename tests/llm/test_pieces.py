@@ -60,3 +60,20 @@ def test_rows(spark, odd):
     out = P.encode(spark.read.parquet(f"{odd}/documents.parquet"), P.model_path()).collect()
     texts = {r[0]: r[1] or "" for r in ODD}
     assert all(r.decoded == texts[r.doc_id].replace("▁", " ") and r.n_tokens == len(r.ids) for r in out)
+
+
+def test_query_against_the_library(spark, sf_dir):
+    """Both digests and the number of ids of every document, from the library's own calls over whole texts."""
+    import hashlib
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=P.model_path())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    texts = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    want = []
+    for i, text in texts:
+        ids = library.encode(text)
+        want.append((i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))))
+    got = P.op6_sentencepiece(spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)

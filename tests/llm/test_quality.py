@@ -59,3 +59,34 @@ def test_odd_rows(spark, odd, table):
     table("labels", [], "doc_id long, quality int, toxic int")
     rows = Q.op5_quality(spark, odd).collect()
     assert len(rows) == len(ODD) and {r.score for r in rows} == {0.5}
+
+
+def test_query_against_loops(spark, sf_dir):
+    """Every score from the tables one row at a time, with bins found by bisection."""
+    import math
+    import zlib
+    from bisect import bisect_right
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    m = Q.learned(docs, labels, Q.may_learn())
+    assert len(m.pairs) == Q.PAIRS and all(len(t) == len(e) + 1 for e, t in zip(m.edges, m.tables))
+    got = {r.doc_id: r for r in Q.op5_quality(spark, sf_dir).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        x = [float(v) for v in Q.features(r.text)]
+        margin = m.base + sum(t[bisect_right(e.tolist(), v)] for e, t, v in zip(m.edges, m.tables, x))
+        margin += sum(t[bisect_right(m.pair_edges[a].tolist(), x[a]), bisect_right(m.pair_edges[b].tolist(), x[b])] for (a, b), t in zip(m.pairs, m.pair_tables))
+        want = 1 / (1 + math.exp(-max(-30, min(30, margin))))
+        assert got[r.doc_id].score == pytest.approx(want, abs=1e-9) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_first_cut_is_the_best_of_all():
+    """The cut of a feature's bins with the largest gain, from all cuts that leave enough rows."""
+    draw = np.random.default_rng(5)
+    for _ in range(50):
+        k = int(draw.integers(2, 12))
+        g, h, n = draw.normal(size=k), draw.random(k) + 0.1, draw.integers(0, 20, k)
+        part = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)
+        gains = {c: part(0, c) + part(c, k) - part(0, k) for c in range(1, k) if min(n[:c].sum(), n[c:].sum()) >= Q.LEAF_ROWS}
+        cut, gain = Q._split(g, h, n)
+        assert gain == pytest.approx(max(gains.values(), default=0.0)) and (cut in gains if gains else cut == 0)
