@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one reads what it
 wrote. The first three return the columns of ``docs`` and fewer rows, the fourth adds
-nothing to them but repeats a document as often as the mix takes it, the last encodes.
+nothing to them but repeats a document as often as the mix takes it and writes the rows in
+the order of the mix, the last encodes.
 
 Defined cases: a text that is null, empty or without a letter goes in the language stage
 at the latest. Null languages and labels teach nothing, a null source is a source of its
@@ -26,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that have letters and are coded by a learned language better than byte by byte."""
+    """The documents that have letters and that a learned language codes no worse than byte by byte, but for a few odd words."""
     return language.keep_known(docs, language.learned(docs))
 
 
