@@ -45,7 +45,8 @@ SAMPLE_BYTES = 1 << 19
 SALTS = 64
 #: How many bytes a mean code length counts for in the score.
 SHARPNESS = 24
-BATCH_BYTES = 1 << 20
+#: Bytes that are scored at once. Scoring takes some hundred times as much memory meanwhile, with four languages.
+BATCH_BYTES = 1 << 16
 #: So many bits more than ``max_bits`` a byte a text may cost in all: a few odd words don't make it foreign.
 SLACK_BITS = 128
 
@@ -71,8 +72,8 @@ def sample(docs: DataFrame, may_learn: Column, lang_col: str = "lang", text_col:
     chosen = chosen.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= SAMPLE_DOCS)
     room = F.lit(SAMPLE_BYTES) - F.sum("size").over(W.partitionBy("lang").orderBy("n")) + F.col("size")
     chosen = chosen.withColumn("room", room).where("room > 0").withColumn("take", F.least("room", "size").cast("int"))
-    # So many at most as SAMPLE_DOCS a language.
-    ids = docs.sparkSession.createDataFrame(chosen.select("lang", "h", "take").collect(), "lang string, h long, take int")
+    # So many at most as SAMPLE_DOCS a language. From an Arrow table, as rows would start Python workers of another kind, which stay.
+    ids = docs.sparkSession.createDataFrame(chosen.select("lang", "h", "take").toArrow())
     found: dict[str, dict[int, bytes]] = {}
     part_of = F.substring(F.col("text").cast("binary"), F.lit(1), F.col("take")).alias("part")
     for r in rows.join(F.broadcast(ids), ["lang", "h"]).select("lang", "h", part_of).groupBy("lang", "h").agg(F.min("part").alias("part")).collect():
@@ -187,9 +188,8 @@ def _code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts), np.uint8)
     bits = np.zeros((len(texts), len(model.languages)))
-    step = 1 << 20
-    for a in range(0, len(data), step):  # a long text is scored in pieces that know the bytes before them
-        b = min(a + step, len(data))
+    for a in range(0, len(data), BATCH_BYTES):  # a long text is scored in pieces that know the bytes before them
+        b = min(a + BATCH_BYTES, len(data))
         owner = np.searchsorted(ends, np.arange(a, b), side="right")
         depth = np.minimum(np.arange(a, b) - (ends - sizes)[owner], ORDER)  # bytes before, in the same text
         first = max(0, a - ORDER)

@@ -97,8 +97,9 @@ class Pieces(dict):
         found = self.old.get(unit)
         if found is None:
             marked = MARK + unit
-            parts = (marked,) if self.glue.search(unit) else self.runs.findall(marked)
-            found = ",".join([self._part(x) for x in parts if x])
+            parts = [marked] if self.glue.search(unit) else [x for x in self.runs.findall(marked) if x]
+            # A part with a mark in front is a unit of its own and kept as one, not a second time among the parts.
+            found = ",".join([self[x[1:]] if x[0] == MARK else self._part(x) for x in parts]) if len(parts) > 1 else self._ids_of(marked)
         if len(self) >= KEPT_UNITS:
             self.old = dict(self)
             self.clear()
@@ -110,15 +111,18 @@ class Pieces(dict):
         if found is None:
             found = self.old_fine.get(part)
             if found is None:
-                ids = self.merge(part)
-                found = ",".join(map(str, ids))
-                if self.check:
-                    self.fresh.append((part, ids))
+                found = self._ids_of(part)
             if len(self.fine) >= KEPT_UNITS:
                 self.old_fine, self.fine = self.fine, {}
             self.fine[part] = found
         return found
 
+    def _ids_of(self, part: str) -> str:
+        ids = self.merge(part)
+        if self.check:
+            self.fresh.append((part, ids))
+        return ",".join(map(str, ids))
+
     def merge(self, text: str) -> list[int]:
         """The ids of marked text by the agenda of adjacent pairs."""
         out: list[int] = []

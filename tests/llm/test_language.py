@@ -42,6 +42,30 @@ def test_long_text_is_scored_in_pieces(monkeypatch):
     assert L.code_lengths(m, [text])[0] == pytest.approx(short, rel=1e-3)
 
 
+def test_scoring_takes_little_memory_beside_the_texts():
+    import tracemalloc
+
+    m = L.train(TEXTS)
+    texts = [b"banana mississippi " * 200] * 500 + [b"banana mississippi " * 60_000]
+    tracemalloc.start()
+    L.code_lengths(m, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+
+
+def test_no_python_workers_for_the_chosen_ids(spark, odd, monkeypatch):
+    """Rows given to Spark go through Python workers of a daemon of their own."""
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+
+    def never(*_):
+        raise AssertionError("rows given to Spark")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", never)
+    assert L.sample(docs, L.crc32_mod(L.F.col("doc_id"), 5) != 0)
+    assert L.sample(docs.where("false"), L.F.lit(True)) == {}
+
+
 def test_no_letter_and_nothing_learned():
     m = L.train(TEXTS)
     assert [x[:2] for x in L.predict(m, [None, "", "12 !? 3", "\n"])] == [("und", 0.0)] * 4

@@ -46,6 +46,15 @@ def test_tables_stay_small(p, monkeypatch):
     assert max(map(len, (own, own.old, own.fine, own.old_fine))) <= 10
 
 
+def test_a_word_is_kept_in_one_table(p):
+    own = P.Pieces(P.model_path())
+    for text in ["word other", "word, (other) word; other!", "new. new"]:
+        assert own.encode(text) == ",".join(map(str, own.library.encode(text)))
+    own.verify()
+    assert {"word", "other", "new"} <= own.keys()
+    assert not [x for x in own.fine if x[0] == P.MARK]
+
+
 def test_a_wrong_encoding_is_found(p):
     own = P.Pieces(P.model_path())
     own.merge = lambda text: [5]
