@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column
@@ -78,8 +78,17 @@ def with_fields(entity: Column, **fields: Column) -> Column:
 
 def by_start(entities: Column) -> Column:
     """In order of start, else as they stand."""
-    numbered = F.transform(entities, lambda e, i: F.struct(e["start"].alias("start"), i.alias("i")))
-    return F.transform(F.array_sort(numbered), lambda x: F.element_at(entities, x["i"] + 1))
+
+    def ordered(x: Column) -> Column:
+        numbered = F.transform(x, lambda e, i: F.struct(e["start"].alias("start"), i.alias("i")))
+        return F.transform(F.sort_array(numbered), lambda n: F.element_at(x, n["i"] + 1))
+
+    return once(entities, ordered)
+
+
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def put(metadata: Column, *pairs: tuple[str, Column]) -> Column:

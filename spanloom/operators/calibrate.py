@@ -72,13 +72,16 @@ class Calibrator:
     def apply(self, entities: Column) -> Column:
         """The entities with corrected confidences; a changed one keeps its first value as raw_confidence."""
 
+        changing = [layer for layer, how in self.layers.items() if how.method != "linear" or how.params.get("factor", 1.0) != 1.0]
+
         def one(e: Column) -> Column:
             raw = e["confidence"]
             value = raw
             for layer, how in self.layers.items():
                 value = F.when(e["detection_layer"] == layer, calibrated(raw, how)).otherwise(value)
             kept = F.when(F.map_contains_key(e["metadata"], "raw_confidence"), e["metadata"]).otherwise(put(e["metadata"], ("raw_confidence", raw)))
-            return F.when(value == raw, e).otherwise(e.withField("confidence", value).withField("metadata", kept))
+            stays = raw.between(0.0, 1.0) & ~(e["detection_layer"].isin(*changing) if changing else F.lit(False))
+            return F.when(stays | (value == raw), e).otherwise(e.withField("confidence", value).withField("metadata", kept))
 
         return F.transform(entities, one).cast(ENTITIES)
 

@@ -43,7 +43,7 @@ def top(entities: Column) -> Column:
 
 
 def groups(entities: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(entities, lambda e: e["category_group"])))
+    return F.sort_array(F.array_distinct(F.transform(entities, lambda e: e["category_group"])))
 
 
 def text_hash(text: Column, digits: int = 16) -> Column:

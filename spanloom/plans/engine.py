@@ -1,7 +1,8 @@
 """The engine: texts in, entities, score, level and route out; redaction; documents.
 
-A plan is one narrow stage: a scan in Arrow batches, then column expressions over arrays
-of entities. Nothing is shuffled unless a document's chunks are rolled up.
+A plan is one narrow stage: a scan in Arrow batches that also sees to overlaps and rules,
+then column expressions over arrays of entities. Nothing is shuffled unless a document's
+chunks are rolled up.
 """
 
 from __future__ import annotations
@@ -18,8 +19,7 @@ from spanloom.catalog import ModelRegistry, Pattern, Profile, Registry
 from spanloom.functions import spans as S
 from spanloom.operators import chunk, model, redact, score
 from spanloom.operators.calibrate import Calibrator
-from spanloom.operators.rules import apply_rules
-from spanloom.operators.scan import scan
+from spanloom.operators.rules import entities
 
 #: Columns that ``analyze`` adds.
 RESULT = (
@@ -63,8 +63,8 @@ class Engine:
     def _active(self, profiles: Sequence[str | Profile] | None) -> list[Profile]:
         return [self.registry.get(p) for p in profiles] if profiles is not None else self.profiles
 
-    def layered(self, df: DataFrame, text_col: str = "text", profiles: Sequence[str | Profile] | None = None, layers: Sequence[str] | None = None, min_confidence: float | None = None) -> DataFrame:
-        """``df`` with the entities after each layer (after_scan, after_rules, after_model), whether the model was asked (asked), and error."""
+    def layered(self, df: DataFrame, text_col: str = "text", profiles: Sequence[str | Profile] | None = None, layers: Sequence[str] | None = None, min_confidence: float | None = None, scan_too: bool = True) -> DataFrame:
+        """``df`` with the entities after each layer (after_scan if ``scan_too``, after_rules, after_model), whether the model was asked (asked), and error."""
         active = self._active(profiles)
         chosen = tuple(layers) if layers is not None else self.options.layers + (("LLM",) if self.options.model.enabled or self._client else ())
         least = self.options.min_confidence if min_confidence is None else min_confidence
@@ -73,11 +73,9 @@ class Engine:
         rules = catalog.active_rules(active) if ruled else []
         text = F.coalesce(F.col(text_col), F.lit(""))
 
-        d = scan(df, patterns, rules, text_col, least, self.options.context_boost, self.options.timed)
+        d = entities(df, patterns, rules, text_col, least, self.options.context_boost, self.options.timed, scan_too)
         if self.options.timed:
             d = d.withColumnRenamed("scan_ms", "processing_time_ms")
-        d = d.withColumn("after_scan", S.as_entities(text, S.without_overlaps(F.col("spans"))))
-        d = d.withColumn("after_rules", apply_rules(text, F.col("after_scan"), F.col("hits")) if ruled else F.col("after_scan")).drop("spans", "hits")
         if "LLM" not in chosen:
             return d.withColumn("after_model", F.col("after_rules")).withColumn("asked", F.lit(False))
 
@@ -90,7 +88,7 @@ class Engine:
             d = model.ask(d, question, self._client_maker(), answer).drop(question)
             proposed.append(answer)
         found = F.concat(*[model.proposals(text, F.col(a)) for a in proposed]) if proposed else S.no_entities()
-        return d.withColumn("after_model", model.merge(F.col("after_rules"), found)).drop(*proposed)
+        return d.withColumn("after_model", S.by_start(model.merge(F.col("after_rules"), found))).drop(*proposed)
 
     def finished(self, d: DataFrame, text_col: str, profiles: Sequence[str | Profile] | None = None, layers: Sequence[str] | None = None, min_confidence: float | None = None) -> DataFrame:
         """The result columns from the columns of ``layered``."""
@@ -99,7 +97,7 @@ class Engine:
         least = self.options.min_confidence if min_confidence is None else min_confidence
         text = F.coalesce(F.col(text_col), F.lit(""))
         sure = F.filter(self.calibrator.apply(F.col("after_model")), lambda e: e["confidence"] >= least)
-        d = d.withColumn("entities", S.by_start(sure))
+        d = d.withColumn("entities", sure)
         d = d.withColumn("score", score.score(F.col("entities"), catalog.active_weights(active)))
         invoked = F.array(*[F.lit(x) for x in ("REGEX", "NER", "RULES") if x in chosen]).cast("array<string>")
         best = score.top(F.col("entities"))
@@ -121,7 +119,7 @@ class Engine:
         """``df`` with the columns ``RESULT``. Columns of those names that ``df`` has are replaced."""
         result = (*RESULT, *["processing_time_ms"] * self.options.timed)
         plain = df.drop(*[c for c in df.columns if c in (*result, "scan_ms", "spans", "hits", "after_scan", "after_rules", "after_model", "asked")])
-        d = self.layered(plain, text_col, profiles, layers, min_confidence)
+        d = self.layered(plain, text_col, profiles, layers, min_confidence, scan_too=False)
         return self.finished(d, text_col, profiles, layers, min_confidence).select(*plain.columns, *result)
 
     def analyze_texts(self, spark: SparkSession, texts: Sequence[str | None], tasks: int = 4, **how) -> DataFrame:

@@ -11,7 +11,7 @@ from spanloom.catalog import Pattern, Profile, Registry, active_patterns, active
 from spanloom.functions import spans as S
 from spanloom.functions.types import ENTITIES
 from spanloom.operators import calibrate, chunk, corpus, evaluate, model, redact, score
-from spanloom.operators.scan import scan, spread
+from spanloom.operators.scan import dealt, scan, spread
 from spanloom.plans import oracle as O
 from spanloom.plans import samples
 from spanloom.plans.engine import Engine, Options
@@ -40,7 +40,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: a text an order."""
-    return spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).selectExpr("o_orderkey AS doc_id", f"{O.TEXT} AS text")
+    return dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).selectExpr("o_orderkey AS doc_id", f"{O.TEXT} AS text")
 
 
 def thousandths(c: Column) -> Column:
@@ -132,7 +132,7 @@ RULE_TEXTS = sample_texts([r.regex for r in active_rules([Registry().get(p) for
 def _samples(spark: SparkSession, sf_dir: str, texts: list[str]) -> DataFrame:
     """doc_id, text: one of the texts an order, in turn."""
     one = F.element_at(F.array(*map(F.lit, texts)), (F.col("o_orderkey") % len(texts) + 1).cast("int"))
-    return spread(read(spark, sf_dir, "orders").select("o_orderkey")).select(F.col("o_orderkey").alias("doc_id"), one.alias("text"))
+    return dealt(read(spark, sf_dir, "orders").select("o_orderkey")).select(F.col("o_orderkey").alias("doc_id"), one.alias("text"))
 
 
 def _samples_sql(texts: list[str]) -> str:
@@ -435,7 +435,7 @@ _FLAGS = (
 
 
 def _examples(spark: SparkSession, sf_dir: str, detected: bool = True) -> DataFrame:
-    t = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).selectExpr("o_orderkey AS doc_id", f"{O.TEXT} AS text", f"{_SET} AS dataset", f"{_EXPECTED} AS want")
+    t = dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).selectExpr("o_orderkey AS doc_id", f"{O.TEXT} AS text", f"{_SET} AS dataset", f"{_EXPECTED} AS want")
     t = t.select("doc_id", "text", "dataset", F.filter(F.array("want"), lambda x: x != "").alias("expected"), F.when(F.col("want") == "", "true_negative").otherwise("true_positive").alias("category"))
     r = Engine(["legal", "therapy"]).analyze(t)
     return r.withColumn("detected", evaluate.detected_types(F.col("entities"))) if detected else r
