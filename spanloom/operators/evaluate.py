@@ -45,10 +45,11 @@ def metrics(scored: DataFrame, *by: str) -> DataFrame:
 def per_type(examples: DataFrame, *by: str) -> DataFrame:
     """A row a type: tp and fn count expected types of positives, fp detected types of negatives."""
     negative = F.col("category").isin(*NEGATIVE)
-    found = examples.where(negative).select(*by, F.explode("detected").alias("type"), F.lit("fp").alias("what"))
-    asked = examples.where(~negative).select(*by, F.explode("expected").alias("type"), "detected")
-    asked = asked.select(*by, "type", F.when(F.array_contains("detected", F.col("type")), "tp").otherwise("fn").alias("what"))
-    return found.unionByName(asked).groupBy(*by, "type").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("tp", "fp", "fn")])
+    found = F.transform("detected", lambda t: F.struct(t.alias("type"), F.lit("fp").alias("what")))
+    asked = F.transform("expected", lambda t: F.struct(t.alias("type"), F.when(F.array_contains("detected", t), "tp").otherwise("fn").alias("what")))
+    # One pass over the examples; an inner explode would have them worked out for a filter of its own.
+    every = examples.select(*by, F.explode_outer(F.when(negative, found).when(~negative, asked)).alias("t")).where("t IS NOT NULL")
+    return every.select(*by, "t.type", "t.what").groupBy(*by, "type").agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("tp", "fp", "fn")])
 
 
 def latency(values: DataFrame, value: str, *by: str) -> DataFrame:
