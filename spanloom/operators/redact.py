@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanloom import bank
-from spanloom.functions.spans import cut
+from spanloom.functions.spans import cut, once
 from spanloom.operators.score import text_hash
 
 logger = logging.getLogger(__name__)
@@ -49,7 +49,7 @@ def targets(entities: Column, types: list[str]) -> Column:
     plain = F.transform(wanted, lambda e, i: F.struct(e["start"].alias("start"), (-e["end"]).alias("far"), i.alias("i"), e["end"].alias("end"), e["category"].alias("category")))
     ordered = F.array_sort(plain)
     step = lambda kept, e: F.when((F.size(kept) == 0) | (e["start"] >= F.try_element_at(kept, F.lit(-1))["end"]), F.concat(kept, F.array(e))).otherwise(kept)
-    return F.aggregate(ordered, F.slice(ordered, 1, 0), step)
+    return once(ordered, lambda x: F.aggregate(x, F.slice(x, 1, 0), step))
 
 
 def token(category: Column, value: Column, salt: Column) -> Column:
