@@ -90,6 +90,6 @@ def compare_models(scored: DataFrame, targets: dict[str, float]) -> DataFrame:
     """A row a model: its precision in each dataset and how many targets it meets, the most first. From outcomes with model and dataset."""
     m = metrics(scored, "model", "dataset")
     target = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(float(v)))])
-    met = m.groupBy("model").agg(F.count_if(F.col("precision") >= F.coalesce(F.try_element_at(target, F.col("dataset")), F.lit(2.0))).alias("targets_met"), F.avg("f1").alias("mean_f1"))
-    wide = m.groupBy("model").pivot("dataset", sorted(targets)).agg(F.first("precision"))
-    return wide.join(met, "model").orderBy(F.col("targets_met").desc(), F.col("mean_f1").desc(), "model")
+    met = F.count_if(F.col("precision") >= F.coalesce(F.try_element_at(target, F.col("dataset")), F.lit(2.0))).alias("targets_met")
+    each = [F.max(F.when(F.col("dataset") == d, F.col("precision"))).alias(d) for d in sorted(targets)]
+    return m.groupBy("model").agg(*each, met, F.avg("f1").alias("mean_f1")).where(F.col("model").isNotNull()).orderBy(F.col("targets_met").desc(), F.col("mean_f1").desc(), "model")
