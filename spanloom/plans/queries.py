@@ -276,7 +276,8 @@ def llm_merge(spark, sf_dir):
     said = ANSWER
     r = Engine(["therapy"], client=lambda: lambda prompt: said).analyze(sentences(spark, sf_dir))
     e = F.col("e")
-    found = r.select("doc_id", F.explode("entities").alias("e")).where(e["detection_layer"] == "LLM")
+    # The inner explode would have the entities worked out for a filter of its own.
+    found = r.select("doc_id", F.explode_outer("entities").alias("e")).where(e["detection_layer"] == "LLM")
     return found.select("doc_id", e["category"].alias("category"), e["start"].alias("start"), e["end"].alias("end"), thousandths(e["confidence"]).alias("confidence"), e["text"].alias("found"))
 
 
