@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.spans import once as _with
 from spanloom.functions.types import ENTITIES
 
 CHUNK_CHARS = 10_000
 
 
-def _with(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x), with x worked out once."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def chunk_ends(text: Column, size: int = CHUNK_CHARS) -> Column:
     """Where chunks end, with a 0 in front.
 
@@ -50,7 +44,7 @@ def explode_chunks(docs: DataFrame, key: str, text_col: str = "text", size: int
     """A row a chunk: key, the columns ``also``, chunk_index, label, text_offset, text. A null text counts as empty."""
     d = docs.select(key, *also, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     d = d.withColumn("__ends", chunk_ends(F.col("__text"), size))
-    d = d.select(key, *also, "__text", "__ends", F.posexplode(F.slice("__ends", F.lit(2), F.size("__ends"))).alias("chunk_index", "__end"))
+    d = d.select(key, *also, "__text", "__ends", F.posexplode_outer(F.slice("__ends", F.lit(2), F.size("__ends"))).alias("chunk_index", "__end"))
     start = F.get("__ends", F.col("chunk_index"))
     return d.select(key, *also, "chunk_index", F.concat(F.lit("chunk "), (F.col("chunk_index") + 1).cast("string")).alias("label"), start.alias("text_offset"), F.substring("__text", start + 1, F.col("__end") - start).alias("text"))
 

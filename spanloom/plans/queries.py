@@ -377,8 +377,8 @@ _LONG_TEXT = "t AS MATERIALIZED (SELECT doc * 10000 + i AS doc_id, text FROM ch)
 
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "orders").selectExpr("o_custkey AS doc_id", "o_orderkey AS ok", f"{O.TEXT} AS line")
-    return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ok", "line"))), lambda x: x["line"]), "\n\n").alias("text"))
+    orders = dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").isNull().alias("last"), "o_orderkey"))).alias("keys"))
+    return orders.selectExpr("o_custkey AS doc_id", f"array_join(transform(keys.o_orderkey, o_orderkey -> {O.TEXT}), '\n\n') AS text")
 
 
 @query(
