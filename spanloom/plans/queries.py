@@ -184,7 +184,7 @@ def rule_context(spark, sf_dir):
 
 def _after_rules(spark, sf_dir) -> DataFrame:
     e = F.col("e")
-    d = Engine(PRO).layered(sentences(spark, sf_dir)).select("doc_id", F.explode("after_rules").alias("e"))
+    d = Engine(PRO).layered(sentences(spark, sf_dir), scan_too=False).select("doc_id", F.explode("after_rules").alias("e"))
     return d.select("doc_id", e["category"].alias("category"), e["category_group"].alias("grp"), e["start"].alias("start"), e["end"].alias("end"), thousandths(e["confidence"]).alias("confidence"), e["detection_layer"].alias("layer"), e["metadata"].alias("metadata"))
 
 
